@@ -152,21 +152,28 @@ def _pruned(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), for the nodes of edges (a, b), two different nodes each.
 
-    Every node hooks to its smallest neighbour if that is smaller; edges are drawn anew between what their ends hooked to,
-    until none is left. Each round is written to the shared folder. Nothing is collected.
+    Every node hooks to the neighbour of the smallest hash if that is smaller than its own; edges are drawn anew between what their ends
+    hooked to, until none is left. The order of hashes is random, so that a long chain too loses a share of its nodes in each
+    round. Each round is written to the shared folder. Nothing is collected.
     """
-    edges = stored(edges.where("a <> b").distinct(), "edges")
+    order = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("node"))
+    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "hooks")
+        best = both.groupBy("a").agg(F.min(order("b")).alias("best"))
+        hooks = stored(best.select(F.col("a").alias("node"), F.least("best", order("a"))["node"].alias("to")), "hooks")
         if labels is None:
             labels = hooks.select("node", F.col("to").alias("root"))
         else:
-            labels = stored(labels.join(hooks.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            labels = labels.join(hooks.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         moved = edges.join(hooks.select(F.col("node").alias("a"), F.col("to").alias("to_a")), "a").join(hooks.select(F.col("node").alias("b"), F.col("to").alias("to_b")), "b")
-        edges = stored(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
+        edges = stored(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), "edges")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = stored(labels, "labels")
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return labels.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

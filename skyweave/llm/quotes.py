@@ -124,19 +124,20 @@ def reply_conversations(messages: DataFrame) -> DataFrame:
     jumps = tree.where("branches").select("conv_id", F.col("turn").alias("at"), F.col("reply_to").alias("to"))
     runs = stored(jumps, "branches")
     if runs.isEmpty():
-        order = tree.withColumn("path", F.array(F.col("turn")).cast("array<bigint>"))
+        order = tree.withColumn("path", F.array(F.lit(0), F.col("turn")).cast("array<bigint>"))
     else:
-        # a run is named by its first turn; its path is that of the run it branches from, up to the turn it answers
+        # a run is named by its first turn. Its turns come one after another, then what branches from it, from its later turns first:
+        # so a turn's path is its run's head, 0 and the turn, and a branch's head its run's head, 1, the turn it answers, negated, and its own first turn
         homes = stored(_carried(tree, F.when(F.col("branches") | F.col("reply_to").isNull(), F.col("turn")), "run", own=True), "homes")
         above = runs.join(homes.select("conv_id", F.col("turn").alias("to"), F.col("run").alias("parent")), ["conv_id", "to"]).select("conv_id", F.col("at").alias("run"), "to", "parent")
         front = stored(homes.where(~F.col("branches") & F.col("reply_to").isNull()).select("conv_id", "run", F.array().cast("array<bigint>").alias("head")), "paths")
         paths = front
         while not front.isEmpty():
-            front = stored(above.join(front.select("conv_id", F.col("run").alias("parent"), "head"), ["conv_id", "parent"]).select("conv_id", "run", F.concat("head", F.array(F.col("to").cast("bigint"), F.col("run").cast("bigint"))).alias("head")), "paths")
+            front = stored(above.join(front.select("conv_id", F.col("run").alias("parent"), "head"), ["conv_id", "parent"]).select("conv_id", "run", F.concat("head", F.array(F.lit(1).cast("bigint"), -F.col("to").cast("bigint"), F.col("run").cast("bigint"))).alias("head")), "paths")
             paths = paths.union(front)
-        order = homes.join(paths, ["conv_id", "run"]).withColumn("path", F.concat("head", F.array(F.col("turn").cast("bigint")))).drop("head", "run")
+        order = homes.join(paths, ["conv_id", "run"]).withColumn("path", F.concat("head", F.array(F.lit(0).cast("bigint"), F.col("turn").cast("bigint")))).drop("head", "run")
     spans = Window.partitionBy("conv_id", "chunk").orderBy("path")
-    first = order.withColumn("chunk", F.floor(F.get("path", F.lit(0)) / SPAN))
+    first = order.withColumn("chunk", F.struct(F.get("path", F.lit(0)).alias("branch"), F.floor(F.get("path", F.lit(1)) / SPAN).alias("span")))
     sizes = first.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     placed = first.withColumn("_n", F.row_number().over(spans) - 1).join(sizes, ["conv_id", "chunk"]).select("conv_id", "turn", "n_quotes", "n_linked", "reply_to", (F.col("before") + F.col("_n")).cast("long").alias("place"))
