@@ -1,0 +1 @@
+"""Inputs are bounded image archives; no operator of this library keeps streaming state."""
