@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Character n-grams of 1 to 3 code points are hashed to so many features.
 FEATURES = 1 << 14
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
@@ -143,6 +145,7 @@ def fit_languages(docs: DataFrame, *, most_rows: int = 3_000, seed: int = 0) ->
     smallest hashes of doc_id; it goes to the driver as features, FEATURES at most for each text. Every fifth row of it only sets
     the temperature. Whole texts are used. No rows, or one language alone, give a model that predicts nothing, or that language.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     frequency, n_docs = document_frequencies(known)
     idf = np.where(frequency > 0, np.log((n_docs + 1) / (frequency + 1)) + 1, 0.0)
@@ -175,6 +178,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     und with score 0 where the text is null or holds no letter. Repeated rows get the same; an empty table gives an empty one; a
     column of docs called lang_pred or score is replaced. lang, source and doc_id are not looked at.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of FEATURES * languages numbers
 
     @F.pandas_udf("lang_pred string, score double")

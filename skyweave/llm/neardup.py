@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, stored
+from .common import by_size, small_batches, stored
 
 #: BANDS bands of ROWS hashes: two texts of similarity 0.8 share none in 1 of 20,000 cases.
 BANDS, ROWS = 25, 5
@@ -36,7 +36,7 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _P and of its inverse modulo 2**64."""
     with np.errstate(over="ignore"):
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, tolerance: float
     pairs pruned; larger ones are not, but verified whole. What pruning leaves makes groups, whose shingle sets are fetched
     once and compared exactly, in blocks of bounded size where a group is large.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs), "signatures")
     by_set = stored(signed.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")), "sets")
     grouped = components(_candidates(by_set, threshold, tolerance))

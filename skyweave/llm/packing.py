@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import ranked, small_batches, stored
 
 #: Id put after each document.
 END = 0
@@ -22,6 +23,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids of the tokenizer in a tokenizers JSON file, special tokens recognised, none added.
 
@@ -86,6 +88,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, width: int = 1024, with_ids:
                     columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
