@@ -81,7 +81,7 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float32) for v in values])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shortlist: int = 160, sample: int = 16_384, seed: int = 0, levels: int = 16, beam: int = 8) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shortlist: int = 256, sample: int = 16_384, seed: int = 0, levels: int = 24, beam: int = 8) -> DataFrame:
     """For each row (query_id, vector) of queries the k rows (vec_id, vector) of vectors of the largest inner product, its own vec_id left out.
 
     query_id, rank (from 1), vec_id, score: the inner product of the original vectors in double precision. Ties go to the smaller
