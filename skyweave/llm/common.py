@@ -80,12 +80,13 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<bigint>")))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str, value: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str, value: Column | None = None, few: bool = False) -> DataFrame:
     """Add `name`: the sum of `value` (default 1, so a rank from 0) over the rows before each row, within keys.
 
     Rows are ordered by bucket, then `order`. A key with a third of all rows is no single task: rows are
     sorted within (keys, bucket) only, and the buckets' sums are added up in a small table. df is read
-    twice, so it should be stored.
+    twice, so it should be stored. few: the caller has bounded the number of keys times buckets, so that table is
+    broadcast and df's rows are shuffled once; else they are shuffled a second time to meet it.
     """
     value = F.lit(1).cast("long") if value is None else value
     slim = df.withColumn("_r_bucket", bucket).withColumn("_r_value", value)
@@ -98,7 +99,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Col
     inner = Window.partitionBy(*keys, "_r_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         slim.withColumn("_r_inner", F.coalesce(F.sum("_r_value").over(inner), F.lit(0)))
-        .join(starts, same, "left")
+        .join(F.broadcast(starts) if few else starts, same, "left")
         .withColumn(name, (F.col("_r_before") + F.col("_r_inner")).cast("long"))
         .drop("_r_bucket", "_r_value", "_r_inner", "_r_b", "_r_before", *[f"_r_{k}" for k in keys])
     )

@@ -11,6 +11,8 @@ from .common import let, ranked, stored, words_of
 
 #: Buckets of a source within which documents are sorted; the table of bucket sums has sources * BUCKETS rows.
 BUCKETS = 256
+#: Sources up to which their plan and their bucket sums are broadcast; above, the joins shuffle.
+BROADCAST_SOURCES = 1_024
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float], most_epochs: float = 3.0) -> dict[str | None, float]:
@@ -54,16 +56,18 @@ def _plan(slim: DataFrame, weights: Sequence[float], most_epochs: float) -> Data
     """One row for each source: source_size, target, epochs, and _last, the place of the last document of the part epoch."""
     sizes = [(r["source"], r["n"]) for r in slim.groupBy("source").agg(F.sum("_size").alias("n")).collect()]
     wanted = targets(sizes, weights, most_epochs)
+    few = len(sizes) <= BROADCAST_SOURCES
+    sent = F.broadcast if few else lambda df: df
     table = slim.sparkSession.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0) for s, n in sizes], "_source string, source_size long, target double, epochs int")
     # keys of weight 0.55, the mean of its range, fall evenly into the buckets; the order is that of the keys in any case
     bucket = F.floor((1 - F.exp(-F.col("_at.key") * 0.55)) * BUCKETS)
-    placed = ranked(slim, ["source"], ["_at"], bucket, "_before", F.col("_size"))
+    placed = ranked(slim, ["source"], ["_at"], bucket, "_before", F.col("_size"), few)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     taken = (F.col("_size") > 0) & (rest - F.col("_before") > F.col("_size") / 2)
-    ends = placed.join(table, placed["source"].eqNullSafe(table["_source"])).groupBy("_source").agg(F.max(F.when(taken, F.col("_at"))).alias("_last"))
+    ends = placed.join(sent(table), placed["source"].eqNullSafe(table["_source"])).groupBy("_source").agg(F.max(F.when(taken, F.col("_at"))).alias("_last"))
     found = {r["_source"]: r["_last"] for r in ends.collect()}
     schema = f"_source string, source_size long, target double, epochs int, _last {slim.schema['_at'].dataType.simpleString()}"
-    return slim.sparkSession.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0, found.get(s)) for s, n in sizes], schema)
+    return sent(slim.sparkSession.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0, found.get(s)) for s, n in sizes], schema))
 
 
 def _taken(keyed: DataFrame, plan: DataFrame) -> DataFrame:
