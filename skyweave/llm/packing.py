@@ -18,6 +18,8 @@ from .common import ranked, small_batches, stored
 
 #: Id put after each document.
 END = 0
+#: Buckets of a length within which pieces are ranked, and rows of their sums (lengths times buckets) up to which these are broadcast.
+BUCKETS, BROADCAST_ROWS = 64, 262_144
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Fixed value: how byte-level BPE cuts a text before merging.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,9 +145,9 @@ def pack(cut: DataFrame, *, width: int = 1024) -> DataFrame:
     base = 1 << 48
     starts = (slots["length"] * base + slots["first"]).to_numpy()
     many, sequence, offset, first = (slots[k].to_numpy() for k in ("many", "sequence", "offset", "first"))
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(64))
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS))
     order = ["doc_id", "start", "ids_crc32"]
-    with_rank = ranked(cut, ["length"], order, bucket, "_rank")
+    with_rank = ranked(cut, ["length"], order, bucket, "_rank", few=len(histogram) * BUCKETS <= BROADCAST_ROWS)
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         length, rank = length.to_numpy(), rank.to_numpy()
