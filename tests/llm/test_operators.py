@@ -256,6 +256,15 @@ def test_mixed_repeats_documents(docs):
     assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter({k: v for k, v in plan.items() if v})
 
 
+def test_many_sources_and_lengths_are_joined_by_shuffles_alike(docs, monkeypatch):
+    rows = lambda df: sorted(map(str, df.collect()))
+    mix, packed = rows(mixing.mix(docs)), rows(packing.pack_documents(docs, queries.tokenizer_path()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    assert rows(mixing.mix(docs)) == mix
+    assert rows(packing.pack_documents(docs, queries.tokenizer_path())) == packed
+
+
 # -- language ID
 
 def test_ftrl_learns_sparse_weights():
