@@ -82,23 +82,29 @@ def _phrase_starts(words: Column, phrases: list[list[str]]) -> Column:
     return F.when(F.size(words) > 0, F.filter(places, lambda x: x["k"].isNotNull()))
 
 
-def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES, rare: int = 8, least_votes: int = 2) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES, least_votes: int = 2) -> DataFrame:
     """For every row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices.
 
-    The index holds, for each template word, its templates and positions there. A file looks up its `rare`
-    licence words of the highest IDF; each place of one votes for (template, place minus position). An
-    alignment with `least_votes` votes stands if every mandatory phrase is where it would put it; the template's
-    label is added then. notices: label, first word and the share of the template's words in place. score: the
+    The index holds, for each template, the `least_votes` places of its mandatory phrases whose words have the highest IDF. All of
+    these words that a file has are looked up; each place of one votes for (template, place minus position). A notice with its phrases
+    in place has every one of its votes, so none is lost, whatever else a file holds. An alignment with `least_votes` votes stands if
+    every mandatory phrase is where it would put it; the template's label is added then. notices: label, first word and the share of the template's words in place. score: the
     greatest such share, 1 where a base phrase was found, else 0. Null and empty texts have no words and no
     label; repeated rows give a result each; an empty table gives an empty one.
     """
-    by_idf = [w for w, _ in licence_words(docs, templates)]
+    rank = {w: k for k, (w, _) in enumerate(licence_words(docs, templates))}
+    keys = [[next((i, k.split()) for i in range(len(t.words)) if t.words[i : i + len(k.split())] == k.split()) for k in t.keys] for t in templates]
     posting: dict[str, list[tuple[int, int]]] = {}
-    for t, template in enumerate(templates):
-        for p, w in enumerate(template.words):
+    anchors: list[list[str]] = []
+    for t, own in enumerate(keys):
+        rarest = sorted({(rank[w], p + j, w) for p, k in own for j, w in enumerate(k)})[:least_votes]
+        if len(rarest) < least_votes:
+            raise ValueError(f"the phrases of {templates[t].label} have fewer than {least_votes} words")
+        anchors.append(sorted({w for _, _, w in rarest}))
+        for _, p, w in rarest:
             posting.setdefault(w, []).append((t, p))
-    postings = F.create_map(*[x for w in by_idf for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in posting[w]]))])
-    keys = [[next((i, k.split()) for i in range(len(t.words)) if t.words[i : i + len(k.split())] == k.split()) for k in t.keys] for t in templates]
+    looked_up = sorted(posting, key=rank.__getitem__)
+    postings = F.create_map(*[x for w in looked_up for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in posting[w]]))])
     phrases = [p.split() for p in BASE]
 
     at = lambda words, run, x: F.coalesce(F.get(words, run["o"] + x["p"]) == x["w"], F.lit(False))  # noqa: E731  template word x is where run (t, o) puts it
@@ -126,7 +132,9 @@ def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATE
             return F.transform(F.filter(aligned, lambda r: verified(words, r)), lambda r: F.struct(F.get(F.lit([t.label for t in templates]), r["t"]).alias("label"), F.greatest(r["o"], F.lit(0)).alias("start"), share(words, r).alias("share")))
 
         none = F.array().cast("array<struct<label:string,start:int,share:double>>")
-        return let(F.slice(F.array_intersect(F.lit(by_idf), words), 1, rare), lambda chosen: F.when(F.size(chosen) >= least_votes, from_rare(chosen)).otherwise(none))
+        # a text that lacks one of them for every template has no notice
+        possible = lambda chosen: F.exists(F.lit(anchors), lambda own: F.size(F.array_except(own, chosen)) == 0)
+        return let(F.array_intersect(F.lit(looked_up), words), lambda chosen: F.when(possible(chosen), from_rare(chosen)).otherwise(none))
 
     hint = "|".join(p.replace(" ", GAP) for p in BASE)
     no_place = F.array().cast("array<struct<i:int,k:int>>")

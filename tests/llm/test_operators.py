@@ -150,6 +150,26 @@ def test_notices_are_found_in_place_only(spark):
     assert got[5]["labels"] == "mpl-2.0" and 0 < got[5]["score"] < 1
 
 
+def test_every_notice_of_a_file_is_found(spark, docs, rows):
+    joined = " and so on ".join(t.text for t in licenses.TEMPLATES)
+    prose = "any author can charge a fee for the following purpose if the conditions are met and the code granted "
+    cases = {-1: joined, -2: "licensed under the apache license version 2 0, released under the MIT license, licensed under the GNU General Public License version 3"} | {-3 - i: prose * 5 + t.text + prose for i, t in enumerate(licenses.TEMPLATES)}
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(cases.items()), "doc_id long, text string"))
+
+    def brute(text):
+        words = licence_words(text)
+        out = []
+        for t in licenses.TEMPLATES:
+            keys = [(k.split(), next(i for i in range(len(t.words)) if t.words[i : i + len(k.split())] == k.split())) for k in t.keys]
+            out += [(t.label, max(o, 0)) for o in range(-len(t.words), len(words)) if all(o + p >= 0 and words[o + p : o + p + len(k)] == k for k, p in keys)]
+        return sorted(out)
+
+    got = by_id(licenses.scan_licenses(frame))
+    want = {d: brute(t) for d, t in [(d, r["text"]) for d, r in rows.items()] + list(cases.items())}
+    assert {d: sorted((x["label"], x["start"]) for x in r["notices"]) for d, r in got.items()} == want
+    assert set(got[-1]["labels"].split(",")) >= {t.label for t in licenses.TEMPLATES} and {"apache-2.0", "mit-notice", "gpl-3.0"} <= set(got[-2]["labels"].split(","))
+
+
 # -- personal data
 
 def luhn(d):
