@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,8 @@ BANDS, ROWS = 25, 5
 HASHES = 128
 #: Hashes compared before the posterior is looked at again.
 STEP = 16
+#: The greatest chance at one look to drop a pair of just the threshold, whatever the posterior says.
+LOSS = 1e-7
 #: A bucket of more distinct texts than this is not paired off; its texts are verified together, in blocks.
 PAIRED = 48
 #: Shingles in a block of a group that is verified together.
@@ -98,7 +101,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     """For 1, 2, ... HASHES compared values, the least number of equal ones at which the pair is not dropped.
 
-    The similarity is uniform beforehand. A byte of each value is kept, so different values agree once in 256; the posterior that the
+    The similarity is uniform beforehand. A byte of a hash of each value is kept, so different values agree once in 256; the posterior that the
     similarity reaches the threshold is taken over a grid.
     """
     s = (np.arange(4000) + 0.5) / 4000
@@ -113,6 +116,21 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     return out
 
 
+def safe_matches(threshold: float, loss: float = LOSS) -> np.ndarray:
+    """For 0, 1, ... HASHES compared values, the greatest number that a pair of just the threshold stays below with a chance of at most `loss`."""
+    p = threshold + (1 - threshold) / 256
+    out = np.zeros(HASHES + 1, dtype=np.int64)
+    for n in range(1, HASHES + 1):
+        chance = np.cumsum([math.comb(n, m) * p**m * (1 - p) ** (n - m) for m in range(n + 1)])
+        out[n] = int(np.searchsorted(chance, loss, side="right"))
+    return out
+
+
+def sampled_bytes(signature: np.ndarray) -> np.ndarray:
+    """A byte of a hash of each whole minimum: the minima of a large set are all small, so their own top bytes would agree between any two."""
+    return (_mixed(signature.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, set_hash (16 bytes, equal for equal shingle sets, null where a text has no word), n, keys, bytes (of the signature)."""
 
@@ -126,15 +144,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([None if x is None else band_keys(x) for x in signed], pa.list_(pa.int64())),
-                    pa.array([None if x is None else (x >> np.uint32(24)).astype(np.uint8).tobytes() for x in signed], pa.binary()),
+                    pa.array([None if x is None else sampled_bytes(x).tobytes() for x in signed], pa.binary()),
                 ], ["doc_id", "set_hash", "n", "keys", "bytes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, set_hash binary, n int, keys array<long>, bytes binary")
 
 
 def _pruned(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b) of the candidate pairs that the posterior does not drop at any look."""
-    least = least_matches(threshold, tolerance)
+    """(a, b) of the candidate pairs that the posterior does not drop at any look, or that LOSS keeps."""
+    least = np.minimum(least_matches(threshold, tolerance), safe_matches(threshold))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

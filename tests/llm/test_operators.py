@@ -464,6 +464,18 @@ def test_pruning_thresholds():
     assert lost < 0.001
 
 
+def test_long_unrelated_texts_are_pruned(spark):
+    rng = np.random.default_rng(3)
+    for size in (100, 450, 3000):
+        words = [[f"w{k}" for k in rng.integers(0, 1 << 40, size)] for _ in range(6)]
+        words.append([*words[0][:-size // 20], *words[1][-(size // 20) :]])
+        signed = neardup.signatures(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string"))
+        one = lambda name: signed.select(F.col("doc_id").alias(name), F.col("bytes").alias(f"bytes_{name}"))
+        assert [tuple(r) for r in neardup._pruned(one("a").join(one("b"), F.col("a") < F.col("b")), 0.8, 1e-5).collect()] == [(0, 6)]
+    safe = neardup.safe_matches(0.8)
+    assert safe[16] == 3 and all(0 <= b - a <= 1 for a, b in zip(safe, safe[1:]))
+
+
 # -- nearest neighbours
 
 def brute_nearest(vectors, queries_, k=20):
