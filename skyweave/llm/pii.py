@@ -36,12 +36,33 @@ def _count(match: Column, low: int, high: int) -> Column:
     return F.length(_digits(match)).between(low, high)
 
 
+#: An IBAN's length by its country's code.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUP = r"\x20?[A-Z0-9]"
+_IBAN_KNOWN = "(?:" + "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:{_GROUP}{{4}}){{{n // 4 - 1}}}" + (rf"{_GROUP}{{{n % 4}}}" if n % 4 else "") for n, codes in _IBAN_LENGTHS.items()) + r")\b"
+#: Of other codes and lengths: as many groups as there are, but none that begins an IBAN of known length.
+_IBAN_OTHER = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_IBAN_KNOWN}){_GROUP}{{4}}){{2,7}}(?:{_GROUP}{{1,3}})?\b"
+
+
+def _iban_part(match: Column) -> Column:
+    """The match, or where its length is none of its code's, the longest part up to a blank that passes the check, if any: the words after an IBAN look like more groups."""
+
+    def longest(words: Column) -> Column:
+        parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+        return F.get(F.filter(parts, lambda p: p.rlike(f"^{_IBAN_OTHER}$") & _mod97(p)), F.lit(0))
+
+    return F.when(match.rlike(f"^{_IBAN_KNOWN}$"), match).otherwise(F.coalesce(let(F.split(match, " "), longest), match))
+
+
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """name; the pattern; what makes a match a finding; words that raise the score if near before it.
+    """name; the pattern; what makes a match a finding; words that raise the score if near before it; the part of a match that is meant, from its start.
 
     A match of score (prior, plus `raise_` if a context word stands within `reach` characters before it) 0.5 or more that passes `check` is a span.
     Each pattern takes a run of its first class from the start or from the end of the last match, and gives
@@ -55,6 +76,7 @@ class Kind:
     prior: float = 0.9
     context: str = ""
     reach: int = 40
+    part: Callable[[Column], Column] = lambda m: m
 
 
 BASE = (
@@ -64,7 +86,7 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: _count(m, 9, 15), context=r"(?i)phone|call|tel|mobile"),
 )
 EXTRA = (
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", "", lambda m: _mod97(m), context=r"(?i)iban|account|bank"),
+    Kind("iban", rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN_KNOWN}|{_IBAN_OTHER})", "", lambda m: _mod97(m), context=r"(?i)iban|account|bank", part=_iban_part),
     Kind("secret", r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|(?i:\b(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\x20\x09-\x0D]{6,})", "", lambda m: F.lit(True), context=r"(?i)key|login"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", lambda m: F.lit(True), prior=0.3, context=r"(?i)ssn|social security|taxpayer"),
 )
@@ -86,7 +108,7 @@ def _found(text: Column, kind: Kind) -> Column:
                     start = F.get(starts, i) + F.length(before)
                     near = F.right(before, F.lit(kind.reach)).rlike(kind.context) if kind.context else F.lit(False)
                     score = F.lit(kind.prior) + F.when(near, F.least(F.lit(RAISE), F.lit(1 - kind.prior))).otherwise(0.0)
-                    return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score"), kind.check(m).alias("ok"))
+                    return let(kind.part(m), lambda p: F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(p)).alias("end"), score.alias("score"), kind.check(p).alias("ok")))
 
                 checked = F.filter(F.transform(matches, one), lambda x: x["ok"] & (x["score"] >= 0.5))
                 return F.transform(checked, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
@@ -96,7 +118,7 @@ def _found(text: Column, kind: Kind) -> Column:
         return F.when(F.size(matches) > 0, let(F.split(text, kind.pattern, -1), placed)).otherwise(F.array().cast(_SPANS))
 
     # a check of single matches comes first: most texts hold none of a kind
-    some = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.exists(m, lambda x: kind.check(x)), spans(m)).otherwise(F.array().cast(_SPANS)))
+    some = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.exists(m, lambda x: kind.check(kind.part(x))), spans(m)).otherwise(F.array().cast(_SPANS)))
     return F.when(F.contains(text, F.lit(kind.hint)), some).otherwise(F.array().cast(_SPANS)) if kind.hint else some
 
 

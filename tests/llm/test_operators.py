@@ -218,6 +218,24 @@ def test_checksums_and_context(spark):
     assert got[1]["pii"][0]["score"] > 0.9 and got[3]["pii"][0]["score"] == pytest.approx(0.6)
 
 
+def test_ibans_before_other_words(spark):
+    def made(code, body):
+        digits = "".join(str(int(c, 36)) for c in body + code + "00")
+        return f"{code}{98 - int(digits) % 97:02}{body}"
+
+    spaced = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+    ibans = ["ES9121000418450200051332", "BE68539007547034", "PL61109010140000071219812874", "GB82WEST12345698765432", "NO9386011117947", made("XX", "12345678ABCD"), made("AT", "1904300234573201"), made("LC", "HEMM000100010012001200023015")]
+    cases = {}
+    for x in ibans:
+        for form in (x, spaced(x)):
+            for after in ("", " EUR", " BIC KREDBEBB", " PLN 1234 ABCD 5678", " 12", ", " + form, " " + spaced(ibans[1]), "\nNEXT"):
+                cases[len(cases)] = ("IBAN " + form + after, [(5, 5 + len(form))] + ([(5 + len(form) + 2, 5 + 2 * len(form) + 2)] if after.startswith(",") else [(6 + len(form), 6 + len(form) + len(spaced(ibans[1])))] if after[1:3] == "BE" else []))
+    cases[-1] = ("IBAN ES9121000418450200051333 EUR", [])
+    cases[-2] = ("ref AB12 CDEF GHIJ ES91 2100 0418 4502 0005 1332 EUR", [(19, 48)])
+    got = by_id(pii.find_pii(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")))
+    assert {k: [(x["start"], x["end"]) for x in r["pii"] if x["kind"] == "iban"] for k, r in got.items()} == {k: w for k, (_, w) in cases.items()}
+
+
 def test_masking(spark):
     out = pii.masked(pii.find_pii(spark.createDataFrame([(i, t, 3) for i, t in enumerate(PII)], "doc_id long, text string, pii int").drop("pii")))
     texts = by_id(out)
