@@ -62,9 +62,10 @@ _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 @dataclass(frozen=True)
 class Kind:
-    """name; the pattern; what makes a match a finding; words that raise the score if near before it; the part of a match that is meant, from its start.
+    """name; the pattern; what makes a match a finding; words that raise the score if near it; the part of a match that is meant, from its start.
 
-    A match of score (prior, plus `raise_` if a context word stands within `reach` characters before it) 0.5 or more that passes `check` is a span.
+    A match of score (prior, plus RAISE if a context word stands within `reach` characters before or after it) 0.5 or more that passes `check` is a span.
+    Matches in a list, with no other words between them, have the context of any of them.
     Each pattern takes a run of its first class from the start or from the end of the last match, and gives
     nothing back: it finds what the plain pattern would, in time linear in the text.
     """
@@ -92,6 +93,10 @@ EXTRA = (
 )
 KINDS = BASE + EXTRA
 RAISE = 0.3
+#: What may stand between two matches of a list.
+_LISTED = r"(?i)^[^\p{L}\p{N}]{0,8}(?:\b(?:and|or)\b[^\p{L}\p{N}]{0,4})?$"
+#: Characters of a piece of a text; windows are cut from pieces, so many of them in a long text take no longer each.
+_PIECE = 512
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
@@ -103,15 +108,36 @@ def _found(text: Column, kind: Kind) -> Column:
             lengths = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: (F.length(b) + F.length(m)).cast("long"))
 
             def each(starts: Column) -> Column:
-                def one(m: Column, i: Column) -> Column:
-                    before = F.get(between, i)
-                    start = F.get(starts, i) + F.length(before)
-                    near = F.right(before, F.lit(kind.reach)).rlike(kind.context) if kind.context else F.lit(False)
-                    score = F.lit(kind.prior) + F.when(near, F.least(F.lit(RAISE), F.lit(1 - kind.prior))).otherwise(0.0)
-                    return let(kind.part(m), lambda p: F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(p)).alias("end"), score.alias("score"), kind.check(p).alias("ok")))
-
-                checked = F.filter(F.transform(matches, one), lambda x: x["ok"] & (x["score"] >= 0.5))
-                return F.transform(checked, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
+                begin = lambda i: F.get(starts, i) + F.length(F.get(between, i))
+
+                def window(pieces: Column, start: Column, end: Column) -> Column:
+                    first = F.floor(F.greatest(start, F.lit(0)) / _PIECE).cast("int")
+                    around = F.array_join(F.slice(pieces, first + 1, F.lit(kind.reach // _PIECE + 2)), "")
+                    return F.substring(around, (F.greatest(start, F.lit(0)) - first * _PIECE + 1).cast("int"), (end - F.greatest(start, F.lit(0))).cast("int"))
+
+                def codes(pieces: Column) -> Column:
+                    """A letter for each match: b with a context word near, a without, a capital where it begins a list."""
+
+                    def code(m: Column, i: Column) -> Column:
+                        start, end = begin(i), begin(i) + F.length(m)
+                        near = window(pieces, start - kind.reach, start).rlike(kind.context) | window(pieces, end, end + kind.reach).rlike(kind.context)
+                        letter = F.when(near, "b").otherwise("a")
+                        return F.when((i > 0) & F.get(between, i).rlike(_LISTED), letter).otherwise(F.upper(letter))
+
+                    return F.array_join(F.transform(matches, code), "")
+
+                def scored(near: Column) -> Column:
+                    def one(m: Column, i: Column) -> Column:
+                        start, score = begin(i), F.lit(kind.prior) + F.when(F.get(near, i), F.least(F.lit(RAISE), F.lit(1 - kind.prior))).otherwise(0.0)
+                        return let(kind.part(m), lambda p: F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(p)).alias("end"), score.alias("score"), kind.check(p).alias("ok")))
+
+                    checked = F.filter(F.transform(matches, one), lambda x: x["ok"] & (x["score"] >= 0.5))
+                    return F.transform(checked, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
+
+                if not kind.context:
+                    return scored(F.array().cast("array<boolean>"))
+                lists = F.regexp_extract_all(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), codes), F.lit("[AB][ab]*+"), F.lit(0))
+                return let(F.flatten(F.transform(lists, lambda x: F.array_repeat(F.lower(x).contains("b"), F.length(x)))), scored)
 
             return let(prefix_sums(lengths), each)
 

@@ -218,6 +218,17 @@ def test_checksums_and_context(spark):
     assert got[1]["pii"][0]["score"] > 0.9 and got[3]["pii"][0]["score"] == pytest.approx(0.6)
 
 
+def test_context_on_both_sides_and_in_lists(spark):
+    a, far = "123-45-6789", " words" * 20
+    many = ["SSNs: " + ", ".join([a] * 700), "\n".join([a] * 90) + " (taxpayers)", f"{a}, {a} and {a} are SSN", f"é😀{'x ' * 700}SSN 😀 {a}"]
+    cases = [(f"SSNs: {a}, 234-56-7891", 2), (f"{a} (SSN)", 1), (f"SSN{far} {a}{far} SSN", 0), (f"part {a}, {a}", 0), (f"SSN {a}{far} {a}", 1), (f"{a}{far} {a} ssn", 1), (f"SSN or {a}; {a} 7", 2), *zip(many, (700, 90, 3, 1)), (f"no.{far} {a}", 0)]
+    got = by_id(pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")))
+    spans = {i: [(x["start"], x["end"]) for x in r["pii"] if x["kind"] == "ssn"] for i, r in got.items()}
+    assert [len(spans[i]) for i in range(len(cases))] == [n for _, n in cases]
+    assert all(cases[i][0][s:e] in (a, "234-56-7891") for i, own in spans.items() for s, e in own)
+    assert spans[4] == [(4, 15)] and spans[5][0][0] > 100
+
+
 def test_ibans_before_other_words(spark):
     def made(code, body):
         digits = "".join(str(int(c, 36)) for c in body + code + "00")
