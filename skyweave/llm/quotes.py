@@ -58,10 +58,17 @@ def _hash(text: Column) -> Column:
     return F.md5(normal(text).cast("binary"))
 
 
+def _parts(text: Column) -> Column:
+    """Lines and sentences (of each line, and of the whole text whatever lines it is wrapped to), empty ones left out."""
+    sentences = lambda x: F.split(x, r"(?<=[.!?\u2026])[\"')\]\u201d\u2019\u00bb]*\s+")
+    lines = F.split(text, "\n")
+    return F.filter(F.concat(lines, sentences(text), F.flatten(F.transform(lines, sentences))), lambda p: F.length(normal(p)) > 0)
+
+
 def _units(body: Column) -> Column:
-    """Hashes by which a body is found: the whole and each of its lines, empty ones left out."""
-    parts = F.concat(F.array(body), F.split(body, "\n"))
-    return F.array_distinct(F.transform(F.filter(parts, lambda p: F.length(normal(p)) > 0), _hash))
+    """Hashes by which a body is found: the whole and each of its lines and sentences, empty ones left out."""
+    whole = F.filter(F.array(body), lambda p: F.length(normal(p)) > 0)
+    return F.array_distinct(F.transform(F.concat(whole, _parts(body)), _hash))
 
 
 def _carried(turns: DataFrame, value: Column, name: str, *, own: bool) -> DataFrame:
@@ -86,21 +93,23 @@ def _before(messages: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, nth, source_conv, source_turn): each quoted passage with the message it comes from, null where none has it.
 
-    A passage is looked up whole, then by its lines. The first message of the same conversation that holds it, if it is an earlier one, comes before any other, of which
-    the first in order of conversation and turn is taken. The index holds one row for each hash and conversation and one for each hash, so that
+    A passage is looked up whole, then by its lines and sentences, so parts of a sentence do not link. The first message of the same conversation that holds it, if it is an earlier one, comes before any other, of which
+    the first in order of conversation and turn is taken. The index holds one row for each hash and conversation and one, with the first two conversations, for each hash, so that
     words said in very many messages link no more rows than they are quoted in.
     """
     parsed = stored(parse_quotes(messages.select("conv_id", "turn", "text").where("conv_id is not null and turn is not null")).select("conv_id", "turn", "body", "quotes"), "quotes")
     passages = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.nth", "q.text")
-    hashes = F.array_distinct(F.concat(F.array(F.struct(F.lit(1).alias("whole"), _hash(F.col("text")).alias("hash"))), F.transform(F.filter(F.split("text", "\n"), lambda p: F.length(normal(p)) > 0), lambda p: F.struct(F.lit(0).alias("whole"), _hash(p).alias("hash")))))
+    hashes = F.array_distinct(F.concat(F.array(F.struct(F.lit(1).alias("whole"), _hash(F.col("text")).alias("hash"))), F.transform(_parts(F.col("text")), lambda p: F.struct(F.lit(0).alias("whole"), _hash(p).alias("hash")))))
     wanted = stored(passages.where(F.length(normal(F.col("text"))) > 0).select("conv_id", "turn", "level", "nth", F.explode(hashes).alias("h")).select("conv_id", "turn", "level", "nth", "h.whole", "h.hash"), "wanted")
     index = parsed.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.explode(_units(F.col("body"))).alias("hash")).join(wanted.select("hash").distinct(), "hash", "left_semi")
     index = stored(index.groupBy("hash", "c").agg(F.min("t").alias("t")), "index")
-    anywhere = index.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("first"))
+    # the first two conversations of each hash: each task sends two rows of one at most, however many hold it
+    two = index.withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy("c"))).where("_n <= 2")
+    anywhere = two.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("first"), F.max(F.struct("c", "t")).alias("second"))
     near = index.select("hash", F.col("c").alias("conv_id"), F.col("t").alias("near"))
     found = wanted.join(near, ["hash", "conv_id"], "left").join(anywhere, "hash", "left")
     earlier = F.when(F.col("near") < F.col("turn"), F.col("near"))
-    other = F.when((F.col("first.c") != F.col("conv_id")), F.col("first"))
+    other = F.when(F.col("first.c") != F.col("conv_id"), F.col("first")).when(F.col("second.c") != F.col("conv_id"), F.col("second"))
     source = F.when(earlier.isNotNull(), F.struct(F.lit(1).alias("near"), F.col("conv_id").alias("c"), earlier.alias("t"))).when(other.isNotNull(), F.struct(F.lit(0).alias("near"), other["c"].alias("c"), other["t"].alias("t")))
     votes = found.withColumn("s", source).where("s is not null").groupBy("conv_id", "turn", "level", "nth", "s").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
     best = votes.groupBy("conv_id", "turn", "level", "nth").agg(F.max_by("s", F.struct("whole", "s.near", "n", -F.col("s.c"), "s.t")).alias("s"))

@@ -578,6 +578,17 @@ def test_quotes_are_parsed_linked_and_ordered(spark):
     assert quotes.reply_conversations(frame.limit(0)).count() == 0
 
 
+def test_quotes_link_past_their_own_conversation_and_by_sentences(spark):
+    rows = [
+        (1, 0, "> The line of all.\nSo it is."), (1, 1, "The line of all."), (2, 3, "The line of all."), (3, 0, "The line of all."), (4, 0, "> The line of all."),
+        (5, 0, "Hello Bob\nFirst we met. Then we went to the very\nlong lake. At last we slept!"), (5, 1, "> Then we went to the\n> very long lake.\nGood."), (5, 2, "> At last we slept!"), (5, 3, "> First we met."), (5, 4, "> went to the very"),
+        (6, 0, "> First we met. Then we went to the very long\n> lake."),
+    ]
+    frame = spark.createDataFrame([(c, t, "x", x) for c, t, x in rows], "conv_id long, turn int, role string, text string")
+    links = {(r["conv_id"], r["turn"]): (r["source_conv"], r["source_turn"]) for r in quotes.link_quotes(frame).collect()}
+    assert links == {(1, 0): (2, 3), (4, 0): (1, 1), (5, 1): (5, 0), (5, 2): (5, 0), (5, 3): (5, 0), (5, 4): (None, None), (6, 0): (5, 0)}
+
+
 def test_conversations_without_quotes_keep_their_order(spark, small):
     got = quotes.reply_conversations(spark.read.parquet(f"{small}/conversations.parquet")).collect()
     want = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{small}/conversations.parquet").collect()}
