@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyweave-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -32,11 +35,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Lower the session's rows of an Arrow batch: batches hold whole texts, and two workers and the JVM share an executor's memory."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Lower the session's rows of an Arrow batch while jobs run inside: batches hold whole texts, and two workers and the JVM share an executor's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that columns an operator adds beside it can't clash with them; `select("name.*")` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def uniform(key: Column, salt: str) -> Column:
+    """A number in (0, 1) from the top 52 bits of the MD5 of a key as text (null as no text) and a salt: the same in any engine."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{salt}")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+
+
+def many_buckets(rows: int, each: int = 20_000) -> int:
+    """Buckets of about `each` rows."""
+    return max(1, -(-rows // each))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

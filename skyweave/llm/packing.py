@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -14,24 +15,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, small_batches, stored
+from .common import many_buckets, ranked, small_batches, stored
 
 #: Id put after each document.
 END = 0
-#: Buckets of a length within which pieces are ranked, and rows of their sums (lengths times buckets) up to which these are broadcast.
-BUCKETS, BROADCAST_ROWS = 64, 262_144
+#: Rows of the sums by length and bucket up to which these are broadcast.
+BROADCAST_ROWS = 262_144
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Fixed value: how byte-level BPE cuts a text before merging.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Blanks in a row above which the fast library's pattern matcher runs out of stack; such texts go to the other.
+LONG_GAP = 65_536
+
+
+def _has_long_gap(text: str) -> bool:
+    return len(text) >= LONG_GAP and any(m.end() - m.start() >= LONG_GAP for m in re.finditer(r"\s+", text))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids of the tokenizer in a tokenizers JSON file, special tokens recognised, none added.
 
     Where the file holds plain byte-level BPE whose ids are in order of merging, its vocabulary runs in tiktoken, which gives the
-    same ids in a fifth of the time; any other file runs in tokenizers.
+    same ids in a fifth of the time; any other file runs in tokenizers, and so does any text with LONG_GAP blanks in a row.
     """
+    from tokenizers import Tokenizer
+
+    whole: list[Tokenizer] = []
+
+    def plainly(text: str) -> np.ndarray:
+        if not whole:
+            whole.append(Tokenizer.from_file(path))
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="u4")
+
     spec = json.loads(Path(path).read_text())
     model, cut = spec["model"], spec.get("pre_tokenizer") or {}
     vocabulary = {k: v for k, v in model["vocab"].items()} if isinstance(model.get("vocab"), dict) else {}
@@ -44,25 +61,23 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         and [plain.get(a + b) for a, b in merges] == list(range(256, 256 + len(merges))) and len(plain) == 256 + len(merges)
         and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", []))
     )
-    if fast:
-        import tiktoken
-
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-        ranks = {bytes(byte_of[c] for c in k): v for k, v in plain.items()}
-        coding = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=added)
-        return lambda text: coding.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
+    if not fast:
+        return plainly
+    import tiktoken
 
-    whole = Tokenizer.from_file(path)
-    return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype="u4")
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    ranks = {bytes(byte_of[c] for c in k): v for k, v in plain.items()}
+    coding = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: plainly(text) if _has_long_gap(text) else coding.encode_to_numpy(text, allowed_special="all")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, width: int = 1024, with_ids: bool = False) -> DataFrame:
     """Cut every document's ids (END last) into pieces of `width`, the last one shorter: doc_id, start, length, ids_crc32, doc_tokens, and ids if asked.
 
-    tokenizer_path must exist on every executor. A null text is empty: one piece of the end id alone.
+    tokenizer_path must exist on every executor. A null or empty text is one piece of the end id alone; a text of any length is coded whole; repeated
+    rows give pieces each; an empty table gives none. Extra columns are not read.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
@@ -90,7 +105,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, width: int = 1024, with_ids:
                     columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
@@ -136,7 +150,7 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 def pack(cut: DataFrame, *, width: int = 1024) -> DataFrame:
     """Add sequence_id and offset to stored pieces. Only the histogram, of `width` lengths at most, goes to the driver, and the patterns back.
 
-    A piece's rank among those of its length picks its place. Ranks follow doc_id and start, so reruns agree;
+    A piece's rank among those of its length picks its place. Ranks follow a hash of doc_id, start and ids, so reruns agree;
     repeated rows take a place each; no pieces give no sequences. Columns besides length stay as they are.
     """
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -145,9 +159,11 @@ def pack(cut: DataFrame, *, width: int = 1024) -> DataFrame:
     base = 1 << 48
     starts = (slots["length"] * base + slots["first"]).to_numpy()
     many, sequence, offset, first = (slots[k].to_numpy() for k in ("many", "sequence", "offset", "first"))
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS))
-    order = ["doc_id", "start", "ids_crc32"]
-    with_rank = ranked(cut, ["length"], order, bucket, "_rank", few=len(histogram) * BUCKETS <= BROADCAST_ROWS)
+    # lengths of many pieces (most are whole ones) have as many buckets as keep each at the same size
+    buckets = {k: b for k, n in histogram.items() if (b := many_buckets(n)) > 1}
+    of = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for kb in buckets.items() for x in kb]), F.col("length")), F.lit(1)) if buckets else F.lit(1).cast("long")
+    hashed = cut.withColumn("_u", F.shiftrightunsigned(F.xxhash64("doc_id", "start", "ids_crc32"), 11) / float(2**53))
+    with_rank = ranked(hashed, ["length"], ["_u", "doc_id", "start", "ids_crc32"], F.floor(F.col("_u") * of), "_rank", few=len(histogram) + sum(buckets.values()) <= BROADCAST_ROWS)
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         length, rank = length.to_numpy(), rank.to_numpy()
@@ -160,5 +176,7 @@ def pack(cut: DataFrame, *, width: int = 1024) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, width: int = 1024, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their sequences. Each document is tokenized once; the pieces are written to the shared folder."""
-    return pack(stored(pieces(docs, tokenizer_path, width=width, with_ids=with_ids), "pieces"), width=width)
+    """Pieces of all documents with their sequences. Each document is tokenized once; the pieces are written to the shared folder, and shuffled once to be ranked."""
+    with small_batches(docs.sparkSession):
+        cut = stored(pieces(docs, tokenizer_path, width=width, with_ids=with_ids), "pieces")
+    return pack(cut, width=width)
