@@ -7,24 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import many_buckets, ranked, stored, uniform
 
-#: Buckets of a shard within which rows are sorted for their slots; the table of bucket sums has shards * BUCKETS rows.
-BUCKETS = 256
 
-
-def race(key: Sequence[Column], shard: int, weight: float) -> Column:
+def race(key: Column, shard: int, weight: float) -> Column:
     """The time at which `shard` would finish in an exponential race for the record; the first wins.
 
-    The hash's top 53 bits make a uniform number in (0, 1); -ln(u) / weight makes a shard of twice the
+    A digest of key and shard makes a uniform number in (0, 1); -ln(u) / weight makes a shard of twice the
     weight win twice as often. The time depends on the key and this shard alone, so another shard that
     joins can only take records, never pass them between the others.
     """
-    bits = F.shiftrightunsigned(F.xxhash64(*key, F.lit(shard)), 11).cast("double")
-    return -F.log((bits + 0.5) / float(2**53)) / F.lit(float(weight))
+    return -F.log(uniform(key, str(shard))) / F.lit(float(weight))
 
 
-def shard_of(key: Sequence[Column], weights: Sequence[float]) -> Column:
+def shard_of(key: Column, weights: Sequence[float]) -> Column:
     """The winning shard (int), smallest number on a tie."""
     if not weights or any(not w > 0 for w in weights):
         raise ValueError("weights must be positive, at least one")
@@ -37,20 +33,21 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
     Key: doc_id alone; a null doc_id is a key like any other. Size: UTF-8 bytes of the text plus 1; a null
     text has none, so size 1 and the checksum of no bytes, as an empty one. Rows repeated in full lie in
     one shard, in slots of their own. An empty table gives an empty result. Extra columns are not read.
-    grown: weights of the shard set to compare with (null result where None).
+    Slots follow a digest of doc_id. grown: weights of the shard set to compare with (null result where None).
     """
-    key, text = [F.col("doc_id")], F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    key, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = stored(docs.select(
         "doc_id",
         (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         shard_of(key, weights).alias("shard"),
         (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+        uniform(key, "slot").alias("order"),
     ), "shards")
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(BUCKETS))
-    return ranked(slim, ["shard"], ["doc_id", "text_crc32", "size"], bucket, "slot")
+    buckets = many_buckets(slim.count() // len(weights) + 1)
+    return ranked(slim, ["shard"], ["order", "doc_id", "text_crc32", "size"], F.floor(F.col("order") * buckets), "slot").drop("order")
 
 
 def write_shards(docs: DataFrame, weights: Sequence[float], path: str) -> None:
     """Write docs, all columns kept, into one folder for each shard. No shuffle: each task writes its rows of every shard."""
-    docs.withColumn("shard", shard_of([F.col("doc_id")], weights)).write.partitionBy("shard").parquet(path)
+    docs.withColumn("shard", shard_of(F.col("doc_id"), weights)).write.partitionBy("shard").parquet(path)
