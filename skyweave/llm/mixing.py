@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, ranked, stored, words_of
+from .common import let, many_buckets, ranked, stored, uniform, whole_row, words_of
 
-#: Buckets of a source within which documents are sorted; the table of bucket sums has sources * BUCKETS rows.
-BUCKETS = 256
-#: Sources up to which their plan and their bucket sums are broadcast; above, the joins shuffle.
-BROADCAST_SOURCES = 1_024
+#: Sources up to which their plan is broadcast, and rows of their bucket sums up to which these are; above, the joins shuffle.
+BROADCAST_SOURCES, BROADCAST_ROWS = 262_144, 262_144
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float], most_epochs: float = 3.0) -> dict[str | None, float]:
@@ -45,29 +43,28 @@ def quality_weight(words: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with _size and _at: what orders a source's documents, the exponential key first."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
+    """docs (with no columns of these names) with _size and _at: what orders a source's documents, the exponential key first."""
     row = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("size"), quality_weight(w).alias("quality")))
-    at = F.struct((-F.log(u) / F.col("_row.quality")).alias("key"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    at = F.struct((-F.log(uniform(F.col("doc_id"), str(seed))) / F.col("_row.quality")).alias("key"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     return docs.withColumn("_row", row).withColumn("_size", F.col("_row.size")).withColumn("_at", at).drop("_row")
 
 
 def _plan(slim: DataFrame, weights: Sequence[float], most_epochs: float) -> DataFrame:
     """One row for each source: source_size, target, epochs, and _last, the place of the last document of the part epoch."""
-    sizes = [(r["source"], r["n"]) for r in slim.groupBy("source").agg(F.sum("_size").alias("n")).collect()]
+    spark = slim.sparkSession
+    counts = slim.groupBy("source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()
+    sizes = [(r["source"], r["n"]) for r in counts]
     wanted = targets(sizes, weights, most_epochs)
-    few = len(sizes) <= BROADCAST_SOURCES
-    sent = F.broadcast if few else lambda df: df
-    table = slim.sparkSession.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0) for s, n in sizes], "_source string, source_size long, target double, epochs int")
+    sent = F.broadcast if len(sizes) <= BROADCAST_SOURCES else lambda df: df
+    table = spark.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0) for s, n in sizes], "_source string, source_size long, target double, epochs int")
     # keys of weight 0.55, the mean of its range, fall evenly into the buckets; the order is that of the keys in any case
-    bucket = F.floor((1 - F.exp(-F.col("_at.key") * 0.55)) * BUCKETS)
-    placed = ranked(slim, ["source"], ["_at"], bucket, "_before", F.col("_size"), few)
+    buckets = many_buckets(max((r["rows"] for r in counts), default=0))
+    bucket = F.floor((1 - F.exp(-F.col("_at.key") * 0.55)) * buckets)
+    placed = ranked(slim, ["source"], ["_at"], bucket, "_before", F.col("_size"), len(sizes) * buckets <= BROADCAST_ROWS)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     taken = (F.col("_size") > 0) & (rest - F.col("_before") > F.col("_size") / 2)
-    ends = placed.join(sent(table), placed["source"].eqNullSafe(table["_source"])).groupBy("_source").agg(F.max(F.when(taken, F.col("_at"))).alias("_last"))
-    found = {r["_source"]: r["_last"] for r in ends.collect()}
-    schema = f"_source string, source_size long, target double, epochs int, _last {slim.schema['_at'].dataType.simpleString()}"
-    return sent(slim.sparkSession.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0, found.get(s)) for s, n in sizes], schema))
+    same = placed["source"].eqNullSafe(table["_source"])
+    return sent(stored(placed.join(sent(table), same).groupBy("_source", "source_size", "target", "epochs").agg(F.max(F.when(taken, F.col("_at"))).alias("_last")), "plan"))
 
 
 def _taken(keyed: DataFrame, plan: DataFrame) -> DataFrame:
@@ -79,11 +76,11 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 0,
     """For every row of docs: doc_id, source, size (words), source_size, target, copies, taken (copies * size).
 
     A target of e.f source sizes is e complete epochs, then documents in order of their exponential keys -ln(u) / quality
-    weight, u from a hash of doc_id and seed, whose sizes' prefix sums stay within the rest; the document across
+    weight, u from a digest of doc_id and seed, whose sizes' prefix sums stay within the rest; the document across
     the end is taken if that comes nearer. Whole documents only, so a source misses its target by half a document at most.
     Null and empty texts have size 0 and no part in the part epoch. A null source is a source of its own. Rows alike in
     doc_id and text are taken together. An empty table gives an empty result. Extra columns are not read.
-    A row for each source goes to the driver.
+    A row for each source, its name and two numbers, goes to the driver: 100 MB for a million sources.
     """
     slim = stored(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix")
     out = _taken(slim, _plan(slim, weights, most_epochs))
@@ -91,11 +88,11 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 0,
 
 
 def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 0, most_epochs: float = 3.0) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it, with docs' columns and nothing else.
+    """The mix itself: each row of docs as often as mix() takes it, with docs' columns, whatever their names, and nothing else.
 
     Only the sources' plan meets the documents again, so texts are not shuffled. A document of no words comes once.
     """
     slim = stored(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix")
-    out = _taken(_keyed(docs, seed), _plan(slim, weights, most_epochs))
+    out = _taken(_keyed(docs.select(whole_row(docs).alias("_whole"), "doc_id", "source", "text"), seed), _plan(slim, weights, most_epochs))
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_copies"))
-    return out.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return out.select("_whole", times.alias("_times")).where("_times > 0").select("_whole", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).select("_whole.*")
