@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -109,16 +110,17 @@ def learn_rules(rows: Sequence[tuple[dict, bool, bool]], *, bins: int = 32, leas
     Grow: the condition of the greatest FOIL gain is added until no good row is covered or none gains. Prune:
     final conditions go while (p - n) / (p + n) over the pruning rows does not fall. A rule stays if, over all
     rows not yet covered, at least `least_covered` and a share `least_precision` of those it covers are bad, in the pruning rows too;
-    then the rows it covers leave, and the next is grown. Thresholds: midpoints between `bins` quantiles.
+    then the rows it covers leave, and the next is grown. Thresholds: midpoints between neighbouring values, at `bins` quantiles and at the ends of each class.
     """
     cuts = {}
     for f in FEATURES:
         values = sorted({r[0][f] for r in rows})
         step = max(1, len(values) // bins)
         cuts[f] = [(values[i - 1] + values[i]) / 2 for i in range(step, len(values), step)]
-        for bad in (False, True):  # the ends of each class are thresholds too
+        for bad in (False, True):  # so are the midpoints between the ends of each class and the next value of the other
             own = sorted(r[0][f] for r in rows if r[1] == bad)
-            cuts[f] += [own[0], math.nextafter(own[-1], math.inf)] if own else []
+            ends = (bisect.bisect_left(values, own[0]), bisect.bisect_right(values, own[-1])) if own else ()
+            cuts[f] += [(values[i - 1] + values[i]) / 2 for i in ends if 0 < i < len(values)]
         cuts[f] = sorted(set(cuts[f]))
     left, rules = list(rows), []
     while any(bad for _, bad, _ in left):
