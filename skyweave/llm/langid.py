@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, whole_row
 
 #: Character n-grams of 1 to 3 code points are hashed to so many features.
 FEATURES = 1 << 14
@@ -138,19 +138,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:FEATURES], int(out[FEATURES])
 
 
-def fit_languages(docs: DataFrame, *, most_rows: int = 3_000, seed: int = 0) -> LanguageModel:
+def fit_languages(docs: DataFrame, *, most_each: int = 750, seed: int = 0) -> LanguageModel:
     """Learn from text and lang of the documents that have both and are not held out.
 
-    The IDF counts all of them. Weights and temperature are fitted on a bounded sample of most_rows, those of the
-    smallest hashes of doc_id; it goes to the driver as features, FEATURES at most for each text. Every fifth row of it only sets
-    the temperature. Whole texts are used. No rows, or one language alone, give a model that predicts nothing, or that language.
+    The IDF counts all of them. Weights and temperature are fitted on a bounded sample: of each language most_each rows, those of the
+    smallest hashes of doc_id, so that a rare language is learned too; it goes to the driver as features, FEATURES at most for each text. Every fifth row of
+    it only sets the temperature. Whole texts are used. No rows, or one language alone, give a model that predicts nothing, or that language.
     """
-    small_batches(docs.sparkSession)
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    frequency, n_docs = document_frequencies(known)
-    idf = np.where(frequency > 0, np.log((n_docs + 1) / (frequency + 1)) + 1, 0.0)
     order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
-    ids = known.select("doc_id").orderBy(*order).limit(most_rows)
+    first = lambda df, *more: df.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order, *more))).where(F.col("nth") <= most_each).drop("nth")
+    ids = first(known.select("doc_id", "lang")).distinct()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +157,11 @@ def fit_languages(docs: DataFrame, *, most_rows: int = 3_000, seed: int = 0) ->
                 [batch.column(0), pa.array([on.astype("<u2").tobytes() for on, _ in kept], pa.binary()), pa.array([c[on].astype("<u4").tobytes() for on, c in kept], pa.binary()), batch.column(2)],
                 ["doc_id", "features", "counts", "lang"])
 
-    drawn = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").mapInArrow(counted, "doc_id long, features binary, counts binary, lang string")
-    rows = drawn.orderBy(*order, "lang", "features", "counts").limit(most_rows).collect()
+    drawn = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, features binary, counts binary, lang string")
+    with small_batches(docs.sparkSession):
+        frequency, n_docs = document_frequencies(known)
+        rows = first(drawn, "features", "counts").orderBy(*order, "lang", "features", "counts").collect()
+    idf = np.where(frequency > 0, np.log((n_docs + 1) / (frequency + 1)) + 1, 0.0)
     languages = tuple(sorted({r["lang"] for r in rows}))
     data = []
     for r in rows:
@@ -178,7 +179,6 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     und with score 0 where the text is null or holds no letter. Repeated rows get the same; an empty table gives an empty one; a
     column of docs called lang_pred or score is replaced. lang, source and doc_id are not looked at.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of FEATURES * languages numbers
 
     @F.pandas_udf("lang_pred string, score double")
@@ -187,8 +187,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         return pd.DataFrame([shared.value.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score"])
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_p", predicted("text")).select(*own, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(whole_row(docs).alias("row"), predicted("text").alias("found")).select(*own, "found.lang_pred", "found.score")
 
 
 def fold(doc_id: int) -> int:
