@@ -10,10 +10,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, small_batches, stored
+from .common import by_size, small_batches, stored, whole_row
 
 #: BANDS bands of ROWS hashes: two texts of similarity 0.8 share none in 1 of 20,000 cases.
 BANDS, ROWS = 25, 5
@@ -22,10 +22,10 @@ HASHES = 128
 STEP = 16
 #: The greatest chance at one look to drop a pair of just the threshold, whatever the posterior says.
 LOSS = 1e-7
-#: A bucket of more distinct texts than this is not paired off; its texts are verified together, in blocks.
-PAIRED = 48
-#: Shingles in a block of a group that is verified together.
-BLOCK = 400_000
+#: Texts in a block of a bucket of candidates, and shingles in a block of a group that is verified.
+BUCKET, BLOCK = 256, 20_000
+#: So many blocks are made before they grow, up to GROWN times; then there are more again.
+FEW, GROWN = 32, 80
 #: Members of groups (16 bytes each) up to which their table is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -132,7 +132,7 @@ def sampled_bytes(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set_hash (16 bytes, equal for equal shingle sets, null where a text has no word), n, keys, bytes (of the signature)."""
+    """doc_id, text_key (a hash of the text), set_hash (16 bytes, equal for equal shingle sets, null where a text has no word), n, keys, bytes (of the signature)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,30 +141,94 @@ def signatures(docs: DataFrame) -> DataFrame:
                 signed = [minhash(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0),
-                    pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
+                    part.column(2),
+                    pa.array([set_hash(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([None if x is None else band_keys(x) for x in signed], pa.list_(pa.int64())),
                     pa.array([None if x is None else sampled_bytes(x).tobytes() for x in signed], pa.binary()),
-                ], ["doc_id", "set_hash", "n", "keys", "bytes"])
+                ], ["doc_id", "text_key", "set_hash", "n", "keys", "bytes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, set_hash binary, n int, keys array<long>, bytes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(make, "doc_id long, text_key long, set_hash binary, n int, keys array<long>, bytes binary")
 
 
-def _pruned(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b) of the candidate pairs that the posterior does not drop at any look, or that LOSS keeps."""
+def set_hash(shingles: np.ndarray) -> bytes | None:
+    return hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None
+
+
+def _blocks(n: Column, each: int) -> Column:
+    """Into how many blocks n units are dealt. All pairs of blocks are compared, so a row travels to as many tasks as there are blocks:
+    FEW at most until blocks are GROWN times `each`."""
+    return F.greatest(F.least(F.ceil(n / each), F.lit(FEW)), F.ceil(n / (each * GROWN)), F.lit(1)).cast("int")
+
+
+def _survivors(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which rows of y the posterior drops at no look when they are compared with x (rows, or one for all), STEP values at a time."""
+    alive, matches = np.arange(len(y)), np.zeros(len(y), dtype=np.int64)
+    for at in range(0, HASHES, STEP):
+        mine = x[at : at + STEP] if x.ndim == 1 else x[alive, at : at + STEP]
+        matches = matches + (mine == y[alive, at : at + STEP]).sum(axis=1)
+        on = matches >= least[at + STEP]
+        alive, matches = alive[on], matches[on]
+        if not len(alive):
+            break
+    return alive
+
+
+def _joined(run: np.ndarray, bytes_: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows that join what surviving pairs connect, in each run (numbered in `run`, in order).
+
+    Each row is compared with the first of its run at once. Rows that survive hang together and need no look at each other; every
+    other row is compared with all of the run that it is not connected to yet. So no surviving pair is left unconnected, and a run of copies takes one look a row.
+    """
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    sizes = np.diff(np.append(starts, len(run)))
+    lead = np.repeat(starts, sizes)
+    others = np.flatnonzero(lead != np.arange(len(run)))
+    kept = others[_survivors(bytes_[lead[others]], bytes_[others], least)]
+    out = list(zip(lead[kept].tolist(), kept.tolist()))
+    lonely = np.ones(len(run), dtype=bool)
+    lonely[kept] = lonely[starts] = False
+    left = np.add.reduceat(lonely, starts) if len(starts) else sizes
+    for k in np.flatnonzero((left > 0) & (sizes > 2)):
+        rows = np.arange(starts[k] + 1, starts[k] + sizes[k])
+        part = np.where(lonely[rows], rows, starts[k])  # names of connected parts
+        open_ = np.ones(len(rows), dtype=bool)
+        for at in np.flatnonzero(lonely[rows]):
+            open_[at] = False  # from here on compared with all of the run
+            rest = np.flatnonzero((part != part[at]) & (open_ | ~lonely[rows]))
+            found = rest[_survivors(bytes_[rows[at]], bytes_[rows[rest]], least)]
+            for other in found[np.unique(part[found], return_index=True)[1]]:
+                out.append((int(rows[at]), int(rows[other])))
+                part[part == part[other]] = part[at]
+    return out
+
+
+def _pruned(met: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """From (key, i, j, id, bytes): edges (a, b) that join what candidate pairs connect, of those with one key, i and j that the posterior drops at no look, or that LOSS keeps."""
     least = np.minimum(least_matches(threshold, tolerance), safe_matches(threshold))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(part: pa.Table) -> pa.RecordBatch:
+        names = [part.column(k).to_numpy() for k in range(3)]
+        run = np.cumsum(np.append(False, np.any([x[1:] != x[:-1] for x in names], axis=0)))
+        pairs = np.array(_joined(run, np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint8).reshape(-1, HASHES), least), dtype=np.int64).reshape(-1, 2)
+        ids = part.column(3).to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for k in (2, 3))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
-            for at in range(0, HASHES, STEP):
-                matches = matches + (x[alive, at : at + STEP] == y[alive, at : at + STEP]).sum(axis=1)
-                on = matches >= least[at + STEP]
-                alive, matches = alive[on], matches[on]
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
+            names = [held.column(k).to_numpy() for k in range(3)]
+            last = int(np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in names], axis=0)))[-1])  # the last run may go on in the next batch
+            if last:
+                yield edges(held.slice(0, last))
+                held = held.slice(last)
+        if held:
+            yield edges(held)
 
-    return pairs.select("a", "b", "bytes_a", "bytes_b").mapInArrow(keep, "a long, b long")
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,18 +327,63 @@ def _verified(groups: DataFrame, threshold: float) -> DataFrame:
 
 
 def _candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges (a, b) within which all links lie: pairs of small buckets that pruning leaves, and every text of a large bucket to its first."""
+    """Edges (a, b) that connect the texts of each bucket as far as pruning leaves pairs. A bucket is compared in blocks, each pair of them a task's unit of work."""
     banded = reps.select("id", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("print")).where("size > 1")
     # buckets of other bands that hold the same texts add nothing
     buckets = buckets.groupBy("size", "first", "print").agg(F.min("key").alias("key"))
-    held = stored(banded.join(buckets, "key").select("key", "id", "size", "first"), "buckets")
-    large = held.where((F.col("size") > PAIRED) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    small = held.where(F.col("size") <= PAIRED).select("key", "id")
-    pairs = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-    own = reps.select("id", "bytes")
-    with_bytes = pairs.join(own.select(F.col("id").alias("a"), F.col("bytes").alias("bytes_a")), "a").join(own.select(F.col("id").alias("b"), F.col("bytes").alias("bytes_b")), "b")
-    return large.union(_pruned(with_bytes, threshold, tolerance))
+    held = banded.join(buckets, "key").select("key", "id", _blocks(F.col("size"), BUCKET).alias("blocks")).join(reps.select("id", "bytes"), "id")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # where there are more blocks than one, those of two blocks are compared all with all
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    met = held.withColumn("block", block).withColumn("other", F.explode(others)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "bytes")
+    return _pruned(met, threshold, tolerance)
+
+
+def _fetched(docs: DataFrame, members: DataFrame, repeated: bool) -> DataFrame:
+    """members (id, doc, set_hash and others) with the shingles of the text of `doc` that has this set. repeated: rows of docs may repeat."""
+    rest = [c for c in members.columns if c not in ("doc", "set_hash")]
+    schema = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in rest) + ", shingles binary"
+    few = members.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null").join(F.broadcast(members) if few else members, "doc").select(*rest, "set_hash", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(rest)
+        for batch in batches:
+            for part in by_size(batch, n + 1):
+                made, wanted = shingle_sets(part.column(n + 1).to_pylist()), part.column(n).to_pylist()
+                on = [k for k, s in enumerate(made) if set_hash(s) == wanted[k]]  # another text may bear the same doc_id
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(on, pa.int64())) for k in range(n)), pa.array([made[k].tobytes() for k in on], pa.binary())], [*rest, "shingles"])
+
+    out = texts.mapInArrow(sets, schema)
+    return out.dropDuplicates(["id"]) if repeated else out
+
+
+def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """A row for every row of docs: doc_id, text_key, class (a number, null for a text alone), class_id, links."""
+    with small_batches(docs.sparkSession):
+        signed = stored(signatures(docs), "signatures")
+    own = signed.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
+    # ids are those of sets, not of documents: they are numbered as they are written
+    by_set = stored(own.withColumn("id", F.monotonically_increasing_id()), "sets")
+    repeated = not signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    grouped = components(_candidates(by_set.select("id", "keys", "bytes"), threshold, tolerance))
+    members = by_set.select("id", "doc", "set_hash", "copies", "n").join(grouped.select(F.col("node").alias("id"), F.col("root").alias("group")), "id")
+    blocks = members.groupBy("group").agg(_blocks(F.sum("n"), BLOCK).alias("blocks"))
+    members = stored(members.join(blocks, "group").select("id", "group", "copies", "blocks", "doc", "set_hash"), "members")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = _fetched(docs, members, repeated).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "shingles")
+    with small_batches(docs.sparkSession):
+        found = stored(_verified(dealt, threshold), "links")
+    classes = stored(components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))).join(by_set.select(F.col("id").alias("node"), "doc"), "node"), "classes")
+    least = classes.groupBy("root").agg(F.min("doc").alias("class_id"))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    of_set = by_set.select("set_hash", "id", "copies", "doc").join(links, "id", "left").join(classes.join(least, "root").select(F.col("node").alias("id"), "root", "class_id"), "id", "left")
+    of_set = of_set.select("set_hash", F.coalesce("root", "id").alias("class"), F.coalesce("class_id", "doc").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("links"))
+    out = signed.where("doc_id is not null").select("doc_id", "text_key", "set_hash").join(of_set, "set_hash", "left")
+    nameless = signed.where("doc_id is null").select("doc_id", "text_key", F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return out.select("doc_id", "text_key", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")).union(nameless)
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
@@ -283,50 +392,25 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, tolerance: float
     Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of threshold or more; words are runs of
     anything but ASCII white space, in their own case. links counts the other documents linked to one, copies each. A class is what links connect.
     A text of one to four words is one shingle. Null texts and those without a word have no links and are a
-    class each. doc_id is taken as unique; rows of one doc_id are copies or not by their texts, rows of null doc_id have no class.
+    class each. Rows that share a doc_id are copies or not by their texts alone; rows of null doc_id have no class and no links. Extra columns are not read; an empty table gives an empty result.
 
-    Texts of equal sets are one to all steps after the first, so copies cost nothing. Buckets of up to PAIRED texts are paired off, the
-    pairs pruned; larger ones are not, but verified whole. What pruning leaves makes groups, whose shingle sets are fetched
-    once and compared exactly, in blocks of bounded size where a group is large.
+    Texts of equal sets are one to all steps after the first, so copies cost nothing. Those that share a bucket of a band are pruned by the
+    posterior; what this leaves makes groups, whose shingle sets are fetched once and compared exactly, all with all. Large buckets and groups are both compared in blocks.
     """
-    small_batches(docs.sparkSession)
-    signed = stored(signatures(docs), "signatures")
-    by_set = stored(signed.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")), "sets")
-    grouped = components(_candidates(by_set, threshold, tolerance))
-    facts = by_set.select(F.col("id"), "copies", "n")
-    members = grouped.join(facts.withColumnRenamed("id", "node"), "node").select(F.col("node").alias("id"), F.col("root").alias("group"), "copies", "n")
-    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    members = stored(members.join(blocks, "group").select("id", "group", "copies", "blocks"), "members")
-    few = members.count() <= BROADCAST_ROWS
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    texts = keyed.join(F.broadcast(members) if few else members, "id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_size(batch, 4):
-                made = shingle_sets(part.column(4).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array([s.tobytes() for s in made], pa.binary())], ["id", "group", "copies", "blocks", "shingles"])
-
-    shingled = texts.select("id", "group", "copies", "blocks", "text").mapInArrow(sets, "id long, group long, copies long, blocks int, shingles binary").dropDuplicates(["id"])
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = shingled.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "shingles")
-    found = stored(_verified(dealt, threshold), "links")
-    classes = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of_set = by_set.select("set_hash", "id", "copies").join(links, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("root", "id").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = signed.select("doc_id", "set_hash").join(of_set, "set_hash", "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, that of the smallest doc_id, and one row where rows repeat a doc_id. Rows of null doc_id stay."""
-    near = near_duplicates(docs, **options).where("doc_id is not null")
-    verdicts = stored(near.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows")).where("class_id <> doc_id or rows > 1"), "verdicts")
-    small = verdicts.count() <= BROADCAST_ROWS
-    gone = verdicts.select(F.col("doc_id").alias("_id"))
-    kept = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_id"), "left_anti")
-    repeated = verdicts.where("class_id = doc_id").select(F.col("doc_id").alias("_id"))
+    return _classified(docs, threshold, tolerance).select("doc_id", "class_id", "links")
+
+
+def one_of_each(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
+    """docs, whatever its other columns, with one row of each class: of the smallest doc_id, and where rows share that, of the smallest hash of the text. Rows of null doc_id and texts without a word stay."""
+    rows = ["class", "doc_id", "text_key"]
+    several = stored(_classified(docs, threshold, tolerance).where("links > 0").groupBy(*rows).agg(F.count("*").alias("rows")), "several")
+    first = several.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("class", "first.doc_id", "first.text_key")
+    gone = stored(several.join(first, rows, "left_anti").select("doc_id", "text_key"), "gone")
+    repeated = several.where("rows > 1").join(first, rows, "left_semi").select("doc_id", "text_key")
+    sent = F.broadcast if several.count() <= BROADCAST_ROWS else lambda df: df
+    keyed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    kept = keyed.join(sent(gone), ["doc_id", "text_key"], "left_anti")
     if repeated.isEmpty():
-        return kept
-    return kept.union(docs.join(F.broadcast(repeated) if small else repeated, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select("row.*")
+    once = kept.join(sent(repeated), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return kept.join(sent(repeated), ["doc_id", "text_key"], "left_anti").union(once).select("row.*")

@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from skyweave.llm import ann, common, langid, licenses, mixing, neardup, packing, pii, queries, quotes, rules, shards
@@ -48,9 +47,8 @@ def by_id(df):
 # -- sharding
 
 def race(doc_id, shard):
-    seed = 42 if doc_id is None else xxhash.xxh64(int(doc_id).to_bytes(8, "little", signed=True), seed=42).intdigest()
-    h = xxhash.xxh64(shard.to_bytes(4, "little"), seed=seed).intdigest()
-    return -np.log(((h >> 11) + 0.5) / 2**53)
+    h = int(hashlib.md5(f"{'' if doc_id is None else doc_id}:{shard}".encode()).hexdigest()[:13], 16)
+    return -np.log((h + 0.5) / 2**52)
 
 
 def test_shards_against_brute_force(docs, odd, empty, rows):
@@ -65,11 +63,11 @@ def test_shards_against_brute_force(docs, odd, empty, rows):
         assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert shards.assign_shards(empty, [1.0] * 16).count() == 0
     with pytest.raises(ValueError):
-        shards.shard_of([F.lit(1)], [1.0, 0.0])
+        shards.shard_of(F.lit(1), [1.0, 0.0])
 
 
 def test_weighted_shards_get_their_part(spark):
-    n = Counter(r["s"] for r in spark.range(20_000).select(shards.shard_of([F.col("id")], [1.0, 3.0]).alias("s")).collect())
+    n = Counter(r["s"] for r in spark.range(20_000).select(shards.shard_of(F.col("id"), [1.0, 3.0]).alias("s")).collect())
     assert abs(n[1] / 20_000 - 0.75) < 0.02
 
 
@@ -309,6 +307,9 @@ def test_many_sources_and_lengths_are_joined_by_shuffles_alike(docs, monkeypatch
     rows = lambda df: sorted(map(str, df.collect()))
     mix, packed = rows(mixing.mix(docs)), rows(packing.pack_documents(docs, queries.tokenizer_path()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    for part in (mixing, packing, shards):
+        monkeypatch.setattr(part, "many_buckets", lambda rows: max(1, rows // 3))
     monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
     assert rows(mixing.mix(docs)) == mix
     assert rows(packing.pack_documents(docs, queries.tokenizer_path())) == packed
@@ -452,7 +453,8 @@ def test_near_duplicates_against_brute_force(spark, middle):
 
 
 def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRED", 4)
+    monkeypatch.setattr(neardup, "BUCKET", 8)
+    monkeypatch.setattr(neardup, "FEW", 5)
     monkeypatch.setattr(neardup, "BLOCK", 2000)
     rng = np.random.default_rng(0)
     base = [f"w{k}" for k in range(150)]
@@ -499,12 +501,48 @@ def test_long_unrelated_texts_are_pruned(spark):
         words = [[f"w{k}" for k in rng.integers(0, 1 << 40, size)] for _ in range(6)]
         words.append([*words[0][:-size // 20], *words[1][-(size // 20) :]])
         signed = neardup.signatures(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string"))
-        one = lambda name: signed.select(F.col("doc_id").alias(name), F.col("bytes").alias(f"bytes_{name}"))
-        assert [tuple(r) for r in neardup._pruned(one("a").join(one("b"), F.col("a") < F.col("b")), 0.8, 1e-5).collect()] == [(0, 6)]
+        met = signed.select(*[F.lit(0).alias(k) for k in ("key", "i", "j")], F.col("doc_id").alias("id"), "bytes")
+        assert [tuple(r) for r in neardup._pruned(met, 0.8, 1e-5).collect()] == [(0, 6)]
     safe = neardup.safe_matches(0.8)
     assert safe[16] == 3 and all(0 <= b - a <= 1 for a, b in zip(safe, safe[1:]))
 
 
+def test_pruning_connects_all_that_survives():
+    rng = np.random.default_rng(5)
+    least = np.minimum(neardup.least_matches(0.8, 1e-5), neardup.safe_matches(0.8))
+    for size in (1, 2, 3, 8, 60):
+        centres = rng.integers(0, 256, (4, 128), dtype=np.uint8)
+        rows, run = [], []
+        for k in range(5):
+            for _ in range(size):
+                own = centres[rng.integers(4)].copy()
+                at = rng.random(128) < rng.choice([0.0, 0.15, 0.6])
+                own[at] = rng.integers(0, 256, at.sum())
+                rows.append(own)
+                run.append(k)
+        bytes_, run = np.array(rows), np.array(run)
+        pairs = [(a, b) for a in range(len(run)) for b in range(a + 1, len(run)) if run[a] == run[b] and len(neardup._survivors(bytes_[a], bytes_[b : b + 1], least))]
+
+        def parts(edges):
+            top = list(range(len(run)))
+            for a, b in edges:
+                top = [top[a] if x == top[b] else x for x in top]
+            return {frozenset(i for i, x in enumerate(top) if x == t) for t in top}
+
+        got = neardup._joined(run, bytes_, least)
+        assert parts(got) == parts(pairs) and len(got) <= len(run) - len(parts(got))
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "x"), (7, a, "x"), (8, b + " more", "x"), (None, a, "x"), (9, c, "x"), (9, None, "x"), (9, c.replace(" ", "  "), "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    got = sorted(((r["doc_id"], r["class_id"], r["links"]) for r in neardup.near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(5, 5, 1), (5, 5, 2), (5, 5, 2), (7, 5, 1), (8, 5, 2), (None, None, 0), (9, 9, 1), (9, 9, 0), (9, 9, 1)], key=str)
+    kept = Counter((r["doc_id"], (r["text"] or "").split(" ")[0]) for r in neardup.one_of_each(frame).collect())
+    assert kept == Counter([(5, "a0"), (5, "b0"), (None, "a0"), (9, "c0"), (9, "")])
+
+
 # -- nearest neighbours
 
 def brute_nearest(vectors, queries_, k=20):
