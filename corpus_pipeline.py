@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm import langid, mixing, neardup, packing, pii
-from skyweave.llm.common import stored
+from skyweave.llm.common import stored, whole_row
 from skyweave.llm.queries import tokenizer_path
 
 #: Calibrated probability below which a text's language is not taken as known.
@@ -15,8 +15,8 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose text has a language that the model knows, with a probability of LEAST_SCORE or more."""
-    predicted = langid.predict_languages(docs, langid.fit_languages(docs))
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    predicted = langid.predict_languages(docs.select("text", whole_row(docs).alias("row")), langid.fit_languages(docs))
+    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put kinds in place of personal data; texts without any stay as they are. n_chars follows the text."""
-    out = pii.masked(pii.find_pii(docs))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    out = pii.masked(pii.find_pii(docs.select("text", whole_row(docs).alias("row"))))
+    n_chars = F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
