@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors in a block of codes, and queries in a block of queries. A pair of blocks is a task's unit of work.
-CODES, QUERIES = 32_768, 512
+#: Vectors in a block of codes, and queries in a block of queries. A pair of blocks is a task's unit of work. Blocks of codes are large, so that few
+#: of them leave a shortlist for each query; a task scores SCORED codes against ASKED queries at once.
+CODES, QUERIES = 262_144, 1_024
+SCORED, ASKED = 16_384, 64
+#: Components of all queries up to which these are broadcast for the exact comparison; above, that join shuffles.
+BROADCAST_COMPONENTS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -77,21 +81,27 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def _matrix(values: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float32) for v in values])
+def _unit(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one in single precision, and their lengths. Whatever doubles hold fits, for the greatest component is taken out first."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in values])
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = x / most
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return (x / norm).astype(np.float32), np.minimum(norm * (most / 2), np.finfo(np.float64).max / 2)[:, 0] * 2
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shortlist: int = 256, sample: int = 16_384, seed: int = 0, levels: int = 24, beam: int = 8) -> DataFrame:
-    """For each row (query_id, vector) of queries the k rows (vec_id, vector) of vectors of the largest inner product, its own vec_id left out.
+    """For each query_id of queries (query_id, vector) the k vec_ids of vectors (vec_id, vector) of the largest inner product, its own left out.
 
     query_id, rank (from 1), vec_id, score: the inner product of the original vectors in double precision. Ties go to the smaller
     vec_id. Vectors that are null or zero or hold a null or a non-finite component take no part; neither do vectors of
-    another length than most. Fewer candidates than k are all returned; an empty table gives an empty result.
+    another length than most, nor null ids. Rows repeated in full count once; an id with several vectors, as query or candidate, is listed once, with its
+    best score. Fewer candidates than k are all returned; an empty table gives an empty result. Extra columns are not read.
 
-    The quantiser is fitted on a bounded sample (the `sample` distinct vectors of the smallest hashes) on the driver and sent to
+    The quantiser is fitted on a bounded sample (the `sample` distinct vectors of the smallest hashes, taken to length one) on the driver and sent to
     all; every vector is coded. Equal vectors are coded once: no more than k + 1 of them, the smallest ids, can be among the
-    nearest. Each block of queries scores each block of codes from its tables, scaled by the stored norm to that of the vector;
-    each pair of blocks leaves its `shortlist` best for a query, of which the query's `shortlist` best overall are compared exactly.
+    nearest. Each block of queries scores each block of codes from its tables, scaled by the stored norm to that of the vector, keeping a running
+    `shortlist` of the best for each query, of which the query's `shortlist` best overall are compared exactly.
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
@@ -99,55 +109,61 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shortlist: i
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return spark.createDataFrame([], schema)
-    good = good.where(F.size("vector") == lengths["n"])
+    good = good.where(F.size("vector") == lengths["n"]).distinct()
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("q")).where(F.col("query_id").isNotNull() & usable(F.col("q")) & (F.size("q") == lengths["n"]))
-    alike = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id")
-    few = good.withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= k + 1)
-    distinct = stored(few.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
-    drawn = [r["vector"] for r in distinct.orderBy(F.xxhash64(F.col("rep"), F.lit(seed)), "rep").limit(sample).select("vector").collect()]
-    fitted = spark.sparkContext.broadcast(fit_quantiser(np.array(drawn, dtype=np.float32), levels=levels, beam=beam, seed=seed))
+    # ids stand for nothing here: vectors and queries are numbered as they are written
+    asked = stored(asked.distinct().withColumn("asked", F.monotonically_increasing_id()), "queries")
+    hashed = good.withColumn("hash", F.xxhash64("vector"))
+    few = hashed.withColumn("nth", F.row_number().over(Window.partitionBy("hash", "vector").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    distinct = stored(few.groupBy("hash", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    drawn = [r["vector"] for r in distinct.orderBy(F.xxhash64(F.get("ids", F.lit(0)), F.lit(seed)), "hash").limit(sample).select("vector").collect()]
+    fitted = spark.sparkContext.broadcast(fit_quantiser(_unit(pd.Series(drawn))[0], levels=levels, beam=beam, seed=seed))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 1024):
                 part = frame.iloc[at : at + 1024]
-                x = _matrix(part["vector"])
+                x, length = _unit(part["vector"])
                 codes, norms = fitted.value.encode(x)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "code": [c.tobytes() for c in codes], "norm": norms, "length": np.linalg.norm(x, axis=1)})
+                yield pd.DataFrame({"number": part["number"].to_numpy(), "code": [c.tobytes() for c in codes], "norm": norms, "length": length})
 
-    codes = stored(distinct.select("rep", "vector").mapInPandas(encode, "rep long, code binary, norm float, length float"), "codes")
+    codes = stored(distinct.select("number", "vector").mapInPandas(encode, "number long, code binary, norm float, length double"), "codes")
     blocks = max(1, -(-codes.count() // CODES))
-    dealt = codes.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
-    groups = max(1, -(-asked.count() // QUERIES))
+    n_asked = asked.count()
+    groups = max(1, -(-n_asked // QUERIES))
     # each block of queries meets each block of codes; this is the query set against all rows, in blocks
-    spread = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    met = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = codes.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    spread = asked.withColumn("group", F.pmod(F.xxhash64("asked"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def score(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "rep": [], "about": []})
-        c = c.sort_values("rep")
+            return pd.DataFrame({"asked": [], "number": [], "about": []})
         code = np.frombuffer(b"".join(c["code"]), dtype=np.uint8).reshape(len(c), -1)
-        scale = (c["length"] / np.maximum(c["norm"], 1e-12)).to_numpy(np.float32)
+        scale = c["length"].to_numpy() / np.maximum(c["norm"].to_numpy(np.float64), 1e-12)
         books, entries = fitted.value.codebooks.shape[:2]
-        reps, out = c["rep"].to_numpy(), []
-        for at in range(0, len(q), 64):
-            part = q.iloc[at : at + 64]
-            table = fitted.value.tables(_matrix(part["q"]))
-            about = np.zeros((len(c), len(part)), dtype=np.float32)
-            for m in range(books):
-                about += table[m * entries + code[:, m].astype(np.int64)]
-            about = (about * scale[:, None]).T
-            keep = min(shortlist, len(c))
-            top = np.argpartition(-about, keep - 1, axis=1)[:, :keep]
-            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), keep), "rep": reps[top].ravel(), "about": np.take_along_axis(about, top, axis=1).ravel()}))
+        numbers, keep, out = c["number"].to_numpy(), min(shortlist, len(c)), []
+        for at in range(0, len(q), ASKED):
+            part = q.iloc[at : at + ASKED]
+            table = fitted.value.tables(_unit(part["q"])[0])
+            best, which = np.zeros((len(part), 0)), np.zeros((len(part), 0), dtype=np.int64)
+            for begin in range(0, len(c), SCORED):
+                some = code[begin : begin + SCORED].astype(np.int64)
+                about = np.zeros((len(some), len(part)), dtype=np.float32)
+                for m in range(books):
+                    about += table[m * entries + some[:, m]]
+                best = np.concatenate([best, (about * scale[begin : begin + SCORED, None]).T], axis=1)
+                which = np.concatenate([which, np.broadcast_to(np.arange(begin, begin + len(some)), (len(part), len(some)))], axis=1)
+                top = np.argpartition(-best, min(keep, best.shape[1]) - 1, axis=1)[:, :keep]
+                best, which = np.take_along_axis(best, top, axis=1), np.take_along_axis(which, top, axis=1)
+            out.append(pd.DataFrame({"asked": np.repeat(part["asked"].to_numpy(), keep), "number": numbers[which].ravel(), "about": best.ravel()}))
         return pd.concat(out)
 
-    scored = spread.groupBy("group", "block").cogroup(met.groupBy("group", "block")).applyInPandas(score, "query_id long, rep long, about float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("about"), "rep")
-    short = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= shortlist).select("query_id", "rep")
-    exact = short.join(distinct, "rep").join(asked, "query_id").withColumn("score", inner_product(F.col("q"), F.col("vector")))
-    ids = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    scored = spread.groupBy("group", "block").cogroup(met.groupBy("group", "block")).applyInPandas(score, "asked long, number long, about double")
+    best = Window.partitionBy("asked").orderBy(F.desc("about"), "number")
+    short = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= shortlist).select("asked", "number")
+    few_asked = n_asked * lengths["n"] <= BROADCAST_COMPONENTS
+    exact = short.join(distinct.select("number", "vector", "ids"), "number").join(F.broadcast(asked) if few_asked else asked, "asked").withColumn("score", inner_product(F.col("q"), F.col("vector")))
+    ids = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").repartition("query_id")
+    once = ids.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return ids.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -582,6 +582,54 @@ def test_nearest_edges(spark):
     assert ann.nearest(frame.where("vec_id = 2"), asked).count() == 0
 
 
+def test_nearest_with_repeated_ids(spark):
+    v1, v2, q, w = [1.0, 0.0], [0.6, 0.8], [0.8, 0.6], [0.0, 1.0]
+    rows = [(7, v1), (7, v2), (7, v2), (20, q), (20, q), (21, w), (40, v1), (40, w), (None, v1)] + [(100 + i, q) for i in range(30)] * 2
+    frame = spark.createDataFrame([(i, v, "x", 1.0) for i, v in rows], "vec_id long, vector array<double>, rep string, score double")
+    asked = frame.where("vec_id % 20 = 0").withColumn("query_id", F.col("vec_id"))
+    got = defaultdict(list)
+    for r in ann.nearest(frame, asked).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    want = {}
+    for own in {i for i, _ in rows if i is not None and i % 20 == 0}:
+        score = defaultdict(lambda: -np.inf)
+        for i, a in rows:
+            for j, b in rows:
+                if i == own and j is not None and j != own:
+                    score[j] = max(score[j], float(np.dot(a, b)))
+        want[own] = [(j, round(s, 9)) for j, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    assert got == want
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rows = [(i, [10.0 ** (300 - 10 * i), 10.0 ** (299 - 10 * i)]) for i in range(45)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    asked = frame.where("vec_id = 40").withColumn("query_id", F.col("vec_id"))
+    assert [r["vec_id"] for r in ann.nearest(frame, asked).orderBy("rank").collect()] == list(range(20))
+
+
+def test_recall_on_many_vectors_of_a_quantiser_that_saw_few(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 48))[rng.integers(300, size=50_000)] + 0.7 * rng.normal(size=(50_000, 48))
+    x = (x * rng.uniform(0.8, 1.2, (50_000, 1))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "vector": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "vectors.parquet")
+    frame = spark.read.parquet(str(tmp_path / "vectors.parquet")).repartition(8)
+    asked = frame.where("vec_id % 400 = 0").withColumn("query_id", F.col("vec_id"))
+    got = defaultdict(set)
+    for r in ann.nearest(frame, asked, sample=4096).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert len(got) == 125 and all(len(v) == 20 for v in got.values())
+    recall = []
+    for i, found in got.items():
+        s = x.astype(float) @ x[i].astype(float)
+        s[i] = -np.inf
+        recall.append(len(found & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_codes_approach_the_vectors():
     x = np.random.default_rng(0).normal(size=(2000, 16)).astype(np.float32)
     q = ann.fit_quantiser(x, levels=6, entries=64)
