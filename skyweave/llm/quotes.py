@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let, ranked, stored
 
-#: A line's quote marks.
-MARKS = r"^(?:[ \t]*>)+"
+#: A line's quote marks, in a form whose matching needs no stack, however many there are.
+MARKS = r"^[ \t>]*>"
 #: Line that only announces a quotation.
 ANNOUNCES = r"^[^\n]{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
-#: Turns of a conversation among which a message looks for the one before it at once.
+#: Turns of a conversation among which a message looks for the one before it at once, and its order is sorted.
 SPAN = 1024
+#: Words below which a passage says too little to be linked across conversations.
+LEAST_WORDS = 4
 
 
 def _depth(line: Column) -> Column:
@@ -94,13 +96,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, nth, source_conv, source_turn): each quoted passage with the message it comes from, null where none has it.
 
     A passage is looked up whole, then by its lines and sentences, so parts of a sentence do not link. The first message of the same conversation that holds it, if it is an earlier one, comes before any other, of which
-    the first in order of conversation and turn is taken. The index holds one row for each hash and conversation and one, with the first two conversations, for each hash, so that
+    the first in order of conversation and turn is taken, if what links has LEAST_WORDS words at least: an "ok" says nothing of another conversation. The index holds one row for each hash and conversation and one, with the first two conversations, for each hash, so that
     words said in very many messages link no more rows than they are quoted in.
     """
     parsed = stored(parse_quotes(messages.select("conv_id", "turn", "text").where("conv_id is not null and turn is not null")).select("conv_id", "turn", "body", "quotes"), "quotes")
-    passages = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.nth", "q.text")
-    hashes = F.array_distinct(F.concat(F.array(F.struct(F.lit(1).alias("whole"), _hash(F.col("text")).alias("hash"))), F.transform(_parts(F.col("text")), lambda p: F.struct(F.lit(0).alias("whole"), _hash(p).alias("hash")))))
-    wanted = stored(passages.where(F.length(normal(F.col("text"))) > 0).select("conv_id", "turn", "level", "nth", F.explode(hashes).alias("h")).select("conv_id", "turn", "level", "nth", "h.whole", "h.hash"), "wanted")
+    passages = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.nth", "q.text").distinct()  # rows may repeat
+    long_enough = lambda t: (F.size(F.split(normal(t), " ")) >= LEAST_WORDS).alias("far")
+    hashes = F.array_distinct(F.concat(F.array(F.struct(F.lit(1).alias("whole"), _hash(F.col("text")).alias("hash"), long_enough(F.col("text")))), F.transform(_parts(F.col("text")), lambda p: F.struct(F.lit(0).alias("whole"), _hash(p).alias("hash"), long_enough(p)))))
+    wanted = stored(passages.where(F.length(normal(F.col("text"))) > 0).select("conv_id", "turn", "level", "nth", F.explode(hashes).alias("h")).select("conv_id", "turn", "level", "nth", "h.whole", "h.hash", "h.far"), "wanted")
     index = parsed.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.explode(_units(F.col("body"))).alias("hash")).join(wanted.select("hash").distinct(), "hash", "left_semi")
     index = stored(index.groupBy("hash", "c").agg(F.min("t").alias("t")), "index")
     # the first two conversations of each hash: each task sends two rows of one at most, however many hold it
@@ -109,46 +112,64 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     near = index.select("hash", F.col("c").alias("conv_id"), F.col("t").alias("near"))
     found = wanted.join(near, ["hash", "conv_id"], "left").join(anywhere, "hash", "left")
     earlier = F.when(F.col("near") < F.col("turn"), F.col("near"))
-    other = F.when(F.col("first.c") != F.col("conv_id"), F.col("first")).when(F.col("second.c") != F.col("conv_id"), F.col("second"))
+    other = F.when(F.col("far"), F.when(F.col("first.c") != F.col("conv_id"), F.col("first")).when(F.col("second.c") != F.col("conv_id"), F.col("second")))
     source = F.when(earlier.isNotNull(), F.struct(F.lit(1).alias("near"), F.col("conv_id").alias("c"), earlier.alias("t"))).when(other.isNotNull(), F.struct(F.lit(0).alias("near"), other["c"].alias("c"), other["t"].alias("t")))
     votes = found.withColumn("s", source).where("s is not null").groupBy("conv_id", "turn", "level", "nth", "s").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
     best = votes.groupBy("conv_id", "turn", "level", "nth").agg(F.max_by("s", F.struct("whole", "s.near", "n", -F.col("s.c"), "s.t")).alias("s"))
     return passages.select("conv_id", "turn", "level", "nth").join(best, ["conv_id", "turn", "level", "nth"], "left").select("conv_id", "turn", "level", "nth", F.col("s.c").alias("source_conv"), F.col("s.t").alias("source_turn"))
 
 
+def _starts(runs: DataFrame) -> DataFrame:
+    """(conv_id, run, start): where each run begins when its conversation is read in reply order, from (conv_id, run, n, parent, to): n turns, branching from the turn
+    `to` of the run `parent`, null for the first run.
+
+    A run's turns come one after another, then what branches from it, from its later turns first, earlier branches first. Pointers to
+    ancestors double, so sizes and starts take as many rounds as the logarithm of the depth, each written to the shared folder.
+    """
+    key = ["conv_id", "run"]
+    up = stored(runs.select(*key, F.col("parent").alias("up"), F.col("n").alias("size")), "sizes")
+    while not up.where("up is not null").isEmpty():
+        # size counts the turns of a run and of what hangs below it to a depth that doubles
+        below = up.where("up is not null").groupBy("conv_id", F.col("up").alias("run")).agg(F.sum("size").alias("below"))
+        above = up.select("conv_id", F.col("run").alias("up"), F.col("up").alias("upper"))
+        up = stored(up.join(below, key, "left").join(above, ["conv_id", "up"], "left").select(*key, F.col("upper").alias("up"), (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), "sizes")
+    branches = stored(runs.where("parent is not null").select(*key, "parent", (-F.col("to")).cast("long").alias("place")).join(up.select(*key, "size"), key), "branches")
+    # what comes before a branch: that from later turns, and earlier branches from the same turn; both sums are made in spans
+    places = stored(branches.groupBy("conv_id", "parent", "place").agg(F.sum("size").alias("size")), "places")
+    earlier = ranked(places, ["conv_id", "parent"], ["place"], F.floor(F.col("place") / SPAN), "earlier", F.col("size")).drop("size")
+    within = ranked(branches, ["conv_id", "parent", "place"], ["run"], F.floor(F.col("run") / SPAN), "within", F.col("size"))
+    local = within.join(earlier, ["conv_id", "parent", "place"]).join(runs.select("conv_id", F.col("run").alias("parent"), F.col("n").alias("of_parent")), ["conv_id", "parent"])
+    at = runs.select(*key, F.col("parent").alias("up")).join(local.select(*key, (F.col("of_parent") + F.col("earlier") + F.col("within")).alias("offset")), key, "left")
+    at = stored(at.select(*key, "up", F.coalesce("offset", F.lit(0)).cast("long").alias("start")), "starts")
+    while not at.where("up is not null").isEmpty():
+        above = at.select("conv_id", F.col("run").alias("up"), F.col("up").alias("upper"), F.col("start").alias("more"))
+        at = stored(at.join(above, ["conv_id", "up"], "left").select(*key, F.col("upper").alias("up"), (F.col("start") + F.coalesce("more", F.lit(0))).alias("start")), "starts")
+    return at.select(*key, "start")
+
+
 def reply_conversations(messages: DataFrame) -> DataFrame:
     """For every row of messages: conv_id, turn, role, body, n_quotes, n_linked, reply_to, place.
 
     body is the text without quotes. reply_to: the turn of the same conversation that its first passage of the least level comes from; a
     message without such a link replies to the turn before it. place: its number, from 0, in its conversation when replies follow what they answer,
-    earlier ones first. Long conversations are ordered in spans of turns. Null texts are empty; rows of null conv_id or turn have no links and no place; rows repeated
-    share theirs; an empty table gives an empty result.
+    earlier ones first. Turns are numbered in spans, so a long conversation is no single task. Null texts are empty; rows of null conv_id or turn have no links and no place; rows repeated
+    share theirs; an empty table gives an empty result. Extra columns are not read.
     """
     links = stored(link_quotes(messages), "links")
     counted = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source_turn").alias("n_linked"), F.min(F.when(F.col("source_conv") == F.col("conv_id"), F.struct("level", "nth", "source_turn"))).alias("first"))
     tree = stored(_before(messages).join(counted, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("first.source_turn", "prev_turn").alias("reply_to"),
         (F.col("first.source_turn").isNotNull() & ~F.col("first.source_turn").eqNullSafe(F.col("prev_turn"))).alias("branches")), "tree")
-    # turns that answer the one before are one run; only branches need the tree, and there are as many as there are such quotes
-    jumps = tree.where("branches").select("conv_id", F.col("turn").alias("at"), F.col("reply_to").alias("to"))
-    runs = stored(jumps, "branches")
-    if runs.isEmpty():
-        order = tree.withColumn("path", F.array(F.lit(0), F.col("turn")).cast("array<bigint>"))
-    else:
-        # a run is named by its first turn. Its turns come one after another, then what branches from it, from its later turns first:
-        # so a turn's path is its run's head, 0 and the turn, and a branch's head its run's head, 1, the turn it answers, negated, and its own first turn
-        homes = stored(_carried(tree, F.when(F.col("branches") | F.col("reply_to").isNull(), F.col("turn")), "run", own=True), "homes")
-        above = runs.join(homes.select("conv_id", F.col("turn").alias("to"), F.col("run").alias("parent")), ["conv_id", "to"]).select("conv_id", F.col("at").alias("run"), "to", "parent")
-        front = stored(homes.where(~F.col("branches") & F.col("reply_to").isNull()).select("conv_id", "run", F.array().cast("array<bigint>").alias("head")), "paths")
-        paths = front
-        while not front.isEmpty():
-            front = stored(above.join(front.select("conv_id", F.col("run").alias("parent"), "head"), ["conv_id", "parent"]).select("conv_id", "run", F.concat("head", F.array(F.lit(1).cast("bigint"), -F.col("to").cast("bigint"), F.col("run").cast("bigint"))).alias("head")), "paths")
-            paths = paths.union(front)
-        order = homes.join(paths, ["conv_id", "run"]).withColumn("path", F.concat("head", F.array(F.lit(0).cast("bigint"), F.col("turn").cast("bigint")))).drop("head", "run")
-    spans = Window.partitionBy("conv_id", "chunk").orderBy("path")
-    first = order.withColumn("chunk", F.struct(F.get("path", F.lit(0)).alias("branch"), F.floor(F.get("path", F.lit(1)) / SPAN).alias("span")))
-    sizes = first.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = first.withColumn("_n", F.row_number().over(spans) - 1).join(sizes, ["conv_id", "chunk"]).select("conv_id", "turn", "n_quotes", "n_linked", "reply_to", (F.col("before") + F.col("_n")).cast("long").alias("place"))
+    # turns that answer the one before are one run, next to each other; only branches need the tree, and there are as many as there are such quotes
+    placed = ranked(tree, ["conv_id"], ["turn"], F.floor(F.col("turn") / SPAN), "place")
+    if not tree.where("branches").isEmpty():
+        homes = stored(_carried(placed, F.when(F.col("branches") | F.col("reply_to").isNull(), F.col("turn")), "run", own=True), "homes")
+        jumps = homes.where("branches").select("conv_id", "run", F.col("reply_to").alias("to"))
+        parents = jumps.join(homes.select("conv_id", F.col("turn").alias("to"), F.col("run").alias("parent")), ["conv_id", "to"])
+        runs = homes.join(jumps.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id", "run").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+        runs = stored(runs.join(parents, ["conv_id", "run"], "left"), "runs")
+        moved = _starts(runs).join(runs.select("conv_id", "run", "first"), ["conv_id", "run"]).select("conv_id", "run", (F.col("start") - F.col("first")).alias("moved"))
+        placed = homes.join(moved, ["conv_id", "run"], "left").withColumn("place", F.col("place") + F.coalesce("moved", F.lit(0)))
+    placed = placed.select("conv_id", "turn", "n_quotes", "n_linked", "reply_to", F.col("place").cast("long").alias("place"))
     bodies = parse_quotes(messages.select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", "body")
     return bodies.join(placed, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "body", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", "place")

@@ -675,6 +675,66 @@ def test_quotes_link_past_their_own_conversation_and_by_sentences(spark):
     assert links == {(1, 0): (2, 3), (4, 0): (1, 1), (5, 1): (5, 0), (5, 2): (5, 0), (5, 3): (5, 0), (5, 4): (None, None), (6, 0): (5, 0)}
 
 
+def threads(rng):
+    """Conversations whose replies are known: (conv, turn) -> (text, reply_to)."""
+    said = {}
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 8))
+    fresh = lambda: " ".join(word() for _ in range(int(rng.integers(1, 9)))) + "."
+    shapes = {
+        "interleaved": lambda t: t - 2 if t > 1 else t - 1, "star": lambda t: 0, "chain": lambda t: t - 1, "comb": lambda t: t - 1 if t < 30 else 59 - t,
+        "random": lambda t: int(rng.integers(0, t)), "near": lambda t: max(0, t - 1 - int(rng.integers(0, 4))), "deep": lambda t: t - 3 if t % 3 else t - 1 if t < 3 else t - 5,
+    }
+    for c, (name, of) in enumerate(shapes.items()):
+        turns = [int(x) for x in np.cumsum(rng.integers(1, 700, 60))] if name in ("random", "comb") else list(range(60))
+        own, lines = {}, {}
+        for k, t in enumerate(turns):
+            to = turns[max(0, of(k))] if k else None
+            own[t], lines[t] = f"Body {c} {t} {fresh()}", []
+            if to is not None and (to != turns[k - 1] or rng.random() < 0.3):
+                mark = rng.choice(["> ", ">", " > "])
+                # the passage one answers, below what that one quoted itself
+                lines[t] = [">" + x for x in lines[to]] + [mark + own[to].upper().replace(" ", "  ")]
+            said[c, t] = ("\n".join([*(["On Monday x wrote:"] if lines[t] else []), *lines[t], own[t]]), own[t], to)
+    return said
+
+
+def test_threads_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SPAN", 16)
+    written = []
+    monkeypatch.setattr(quotes, "stored", lambda df, name: written.append(name) or common.stored(df, name))
+    said = threads(np.random.default_rng(7))
+    frame = spark.createDataFrame([(c, t, "r", x, "b", 1) for (c, t), (x, _, _) in said.items()], "conv_id long, turn int, role string, text string, body string, place int")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.reply_conversations(frame).collect()}
+    place = {}
+    for c in {c for c, _ in said}:
+        below = defaultdict(list)
+        for (d, t), (_, _, to) in sorted(said.items()):
+            if d == c:
+                below[to].append(t)
+        stack = [below[None][0]]
+        while stack:
+            t = stack.pop()
+            place[c, t] = sum(d == c for d, _ in place)
+            stack += reversed(below[t])
+    assert {k: (r["body"], r["reply_to"], r["place"]) for k, r in got.items()} == {k: (b, to, place[k]) for k, (_, b, to) in said.items()}
+    assert all(r["n_linked"] == r["n_quotes"] for r in got.values())
+    # 60 turns: two loops of six rounds and the first tables
+    assert sum(n in ("sizes", "starts") for n in written) <= 16
+
+
+def test_short_words_do_not_link_conversations(spark):
+    rows = [(1, 0, "Ok"), (2, 0, "Thank you very much, Bob"), (3, 0, "x"), (3, 1, "> ok\nno"), (3, 2, "> thank you very much bob\nyes"), (3, 3, "> x\nfine")]
+    links = quotes.link_quotes(spark.createDataFrame([(c, t, "r", x) for c, t, x in rows], "conv_id long, turn int, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["source_conv"], r["source_turn"]) for r in links} == {(3, 1): (None, None), (3, 2): (2, 0), (3, 3): (3, 0)}
+
+
+def test_very_long_and_repeated_messages(spark):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, 0, long), (1, 1, "a"), (1, 2, "> " + long + "\nyes"), (1, 2, "> " + long + "\nyes"), (1, 3, ">" * 5000 + " a"), (1, 4, "\n".join(["> a", "b"] * 3000))]
+    got = quotes.reply_conversations(spark.createDataFrame([(c, t, "r", x, 1) for c, t, x in rows], "conv_id long, turn int, role string, text string, run int")).collect()
+    assert sorted(((r["turn"], r["reply_to"], r["place"], r["n_linked"]) for r in got), key=str) == sorted([(0, None, 0, 0), (1, 0, 1, 0), (2, 0, 4, 1), (2, 0, 4, 1), (3, 1, 2, 1), (4, 1, 3, 3000)], key=str)
+
+
 def test_conversations_without_quotes_keep_their_order(spark, small):
     got = quotes.reply_conversations(spark.read.parquet(f"{small}/conversations.parquet")).collect()
     want = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{small}/conversations.parquet").collect()}
