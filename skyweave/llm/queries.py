@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, mixing, neardup, packing, pii, quotes, rules, shards
+from . import ann, langid, licenses, mixing, neardup, oracles, packing, pii, quotes, rules, shards
 
 
 def tokenizer_path() -> str:
@@ -70,10 +70,27 @@ def op10_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def base_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """What op3 counts before its learned rules."""
+    stats = rules.judge(_table(spark, folder, "documents"), rules.DecisionList(()))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """What op6 finds before its index of notices."""
+    return licenses.scan_licenses(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """What op7 finds without its own kinds."""
+    return op7_checked_spans(spark, folder).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_additive_quantisation, op2_quotation_linking, op3_decision_list, op4_language_id, op5_efraimidis_spirakis, op6_positional_licenses, op7_checked_spans, op8_shortest_pack_first, op9_jaccard_join, op10_rendezvous)}
+    operators = (op1_additive_quantisation, op2_quotation_linking, op3_decision_list, op4_language_id, op5_efraimidis_spirakis, op6_positional_licenses, op7_checked_spans, op8_shortest_pack_first, op9_jaccard_join, op10_rendezvous)
+    return {f.__name__: f for f in (*operators, base_quality, base_licenses, base_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each result rests on Spark's hashes, on a trained model or on code-point spans of patterns that SQL engines do not share. Brute-force tests stand for it."""
-    return {}
+    """For two operators, and for the columns of three others that SQL can express. The rest is trained models, tokenizers or hashes of shingles: brute-force tests stand for them."""
+    return oracles.oracle_sql()
