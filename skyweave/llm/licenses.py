@@ -28,24 +28,50 @@ class Template:
     def words(self) -> list[str]:
         return self.text.split()
 
+    def places(self) -> list[tuple[int, list[str]]]:
+        """Where its mandatory phrases stand in it, and their words."""
+        own = self.words
+        return [(next(i for i in range(len(own)) if own[i : i + len(k)] == k), k) for k in (key.split() for key in self.keys)]
+
 
 #: Notices of public licences, as words.
 TEMPLATES = (
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge",)),
+    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission is hereby granted free of charge to any person obtaining a copy",)),
     Template("mit-notice", "released under the mit license", ("mit license",)),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    Template("apache-2.0-text", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ("except in compliance with the license",)),
+    Template("apache-2.0-text", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("except in compliance with the license",)),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    Template("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     Template("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("redistribute it and or modify it", "gnu general public license")),
+    Template("gpl-2.0-text", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("gnu general public license as published by the free software foundation either version 2",)),
+    Template("gpl-3.0-text", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("gnu general public license as published by the free software foundation either version 3",)),
     Template("lgpl-text", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    Template("agpl-text", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    Template("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
+    Template("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", ("cc by nc sa 4 0",)),
+    Template("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", ("cc by nc nd 4 0",)),
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-text", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international license",)),
+    Template("cc-by-sa-text", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0 international license",)),
+    Template("cc-by-nc-text", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0 international license",)),
+    Template("cc-by-nc-sa-text", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike 4 0 international license",)),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee",)),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistribution and use in source and binary forms",)),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("nor the names of its contributors may be used to endorse or promote products",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee",)),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license v 2 0",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    Template("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ("common development and distribution license",)),
+    Template("eupl-1.2", "licensed under the eupl version 1 2", ("the eupl version 1 2",)),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
+    Template("bsl-text", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", ("free of charge to any person or organization obtaining a copy",)),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented", ("for any purpose including commercial applications and to alter it and redistribute it freely",)),
+    Template("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ("without fee and without a written agreement",)),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license version 1 1",)),
+    Template("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unencumbered software released into the public domain",)),
 )
 
 
@@ -93,7 +119,7 @@ def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATE
     label; repeated rows give a result each; an empty table gives an empty one.
     """
     rank = {w: k for k, (w, _) in enumerate(licence_words(docs, templates))}
-    keys = [[next((i, k.split()) for i in range(len(t.words)) if t.words[i : i + len(k.split())] == k.split()) for k in t.keys] for t in templates]
+    keys = [t.places() for t in templates]
     posting: dict[str, list[tuple[int, int]]] = {}
     anchors: list[list[str]] = []
     for t, own in enumerate(keys):

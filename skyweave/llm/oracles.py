@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BASE
+from .licenses import BASE, TEMPLATES, Template
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -41,11 +41,34 @@ c AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
 
 _PLACES = " UNION ALL ".join(f"SELECT row, i, '{label}' AS label FROM seats WHERE words[i : i + {len(p.split()) - 1}] = {p.split()}" for p, label in BASE.items())
-LICENCES = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+_FOUND = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 seats AS (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM d),
 places AS ({_PLACES}),
-found AS (SELECT row, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN found USING (row)"""
+found AS (SELECT row, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row)"""
+_COUNTED = "doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, a AS first_word, b AS last_word, coalesce(f.labels, '') AS base_labels"
+LICENCES = f"{_FOUND} SELECT {_COUNTED} FROM d LEFT JOIN found f USING (row)"
+
+
+def _notice(t: Template) -> str:
+    """Places (from 1, before the text too) at which all mandatory phrases stand as in the template, and the share of its words in place."""
+    first, rest = t.places()[0], t.places()[1:]
+    tests = [f"words[i : i + {len(first[1]) - 1}] = {first[1]}", *(f"i + {p - first[0]} > 0 AND words[i + {p - first[0]} : i + {p - first[0] + len(k) - 1}] = {k}" for p, k in rest)]
+    return f"SELECT row, '{t.label}' AS label, list_sum(list_transform({t.words}, lambda w, j: CAST(i + j - {first[0] + 1} > 0 AND coalesce(words[i + j - {first[0] + 1}] = w, false) AS INTEGER))) / {len(t.words)} AS share FROM seats WHERE {' AND '.join(tests)}"
+
+
+NOTICES = f"""{_FOUND},
+notices AS ({" UNION ALL ".join(map(_notice, TEMPLATES))}),
+everything AS (SELECT row, label, 1.0::DOUBLE AS share FROM places UNION ALL SELECT * FROM notices),
+best AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM everything GROUP BY row)
+SELECT {_COUNTED}, coalesce(b.labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN found f USING (row) LEFT JOIN best b USING (row)"""
+
+JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+said AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM said GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM said a JOIN said b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * c.n >= 8 * (x.n + y.n - c.n)),
+reach(a, b) AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b)
+SELECT doc_id, coalesce(c, doc_id) AS class_id, coalesce(n, 0) AS links FROM documents LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM linked GROUP BY a) USING (doc_id)"""
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _KINDS = {
@@ -67,4 +90,4 @@ SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_efraimidis_spirakis": MIX, "op10_rendezvous": RENDEZVOUS, "base_quality": QUALITY, "base_licenses": LICENCES, "base_personal_data": PERSONAL}
+    return {"op5_efraimidis_spirakis": MIX, "op6_positional_licenses": NOTICES, "op9_jaccard_join": JACCARD, "op10_rendezvous": RENDEZVOUS, "base_quality": QUALITY, "base_licenses": LICENCES, "base_personal_data": PERSONAL}

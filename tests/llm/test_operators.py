@@ -151,7 +151,9 @@ def test_notices_are_found_in_place_only(spark):
 def test_every_notice_of_a_file_is_found(spark, docs, rows):
     joined = " and so on ".join(t.text for t in licenses.TEMPLATES)
     prose = "any author can charge a fee for the following purpose if the conditions are met and the code granted "
-    cases = {-1: joined, -2: "licensed under the apache license version 2 0, released under the MIT license, licensed under the GNU General Public License version 3"} | {-3 - i: prose * 5 + t.text + prose for i, t in enumerate(licenses.TEMPLATES)}
+    pairs = [a.text + " | " + b.text for i, a in enumerate(licenses.TEMPLATES) for b in licenses.TEMPLATES[i:]]
+    pairs = {-1000 - k: x for k, x in enumerate(pairs)}
+    cases = pairs | {-1: joined, -2: "licensed under the apache license version 2 0, released under the MIT license, licensed under the GNU General Public License version 3"} | {-3 - i: prose * 5 + t.text + prose for i, t in enumerate(licenses.TEMPLATES)}
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(cases.items()), "doc_id long, text string"))
 
     def brute(text):
