@@ -275,6 +275,14 @@ def test_targets_share_what_is_over():
     assert mixing.targets([], (5, 2, 1)) == {} and mixing.targets([("a", 0)], (1,)) == {"a": 0.0}
 
 
+def mix_key(doc_id, text):
+    words = WORD.findall(text or "")
+    mean = len("".join(words)) / len(words) if words else 0
+    quality = max(0.1, min(1.0, len(set(words)) / min(len(words), 400))) if 2 <= mean <= 12 else 0.1
+    u = (int(hashlib.md5(f"{'' if doc_id is None else doc_id}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return -np.log(u) / quality
+
+
 def test_mix_against_brute_force(docs, odd, empty, rows):
     for frame, source in ((docs, [(r["doc_id"], r["text"], r["source"]) for r in rows.values()]), (odd, [(r[0], r[1], r[3]) for r in ODD])):
         got = mixing.mix(frame).collect()
@@ -289,6 +297,18 @@ def test_mix_against_brute_force(docs, odd, empty, rows):
             largest[r["source"]] = max(largest[r["source"]], r["size"])
             assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= 3 * r["size"]
             assert r["taken"] == r["copies"] * r["size"]
+        # which documents the part epoch takes: those of the smallest keys, while its rest is nearer with them
+        chosen = Counter()
+        for s in sizes:
+            keyed = sorted({(mix_key(d, t), d is not None, d or 0, t or "") for d, t, x in source if x == s and WORD.search(t or "")})
+            rest, n = want[s] - (want[s] // sizes[s] * sizes[s] if sizes[s] else 0), 0
+            for _, _, d, t in keyed:
+                times = sum((x, y or "", z) == (d, t, s) for x, y, z in source)
+                if rest - n > len(WORD.findall(t)) / 2:
+                    chosen[s, d] += times
+                n += times * len(WORD.findall(t))
+        epochs = {s: int(want[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
+        assert Counter((r["source"], r["doc_id"]) for r in got if r["size"] and r["copies"] > epochs[r["source"]]) == chosen
         for s in sizes:
             assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1
             # complete epochs first: no document is taken twice more often than another
@@ -778,11 +798,60 @@ def test_pipeline_stages(spark, small):
     assert P.run(spark, small).count() == docs.count()
 
 
+CLASHING = "_at string, _size string, _source string, _copies string, _time string, _times string, _whole string, _row string, target string, epochs string, pii string, _id string, _p string, row string, found string, text_key string, class string, links string, copies string, size string, before string, lang_pred string, score string"
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    import corpus_pipeline as P
+
+    names = [c.split(" ")[0] for c in CLASHING.split(", ")]
+    english = "the house by the river was old and the people of the village said that nobody had lived there for many years number"
+    german = "das alte Haus am Fluss stand leer und die Leute im Dorf sagten dass dort seit vielen Jahren niemand mehr gewohnt hat Nummer"
+    rows = [(i, " ".join([english if i % 2 else german] + [f"{w} {i}{k}" for k, w in enumerate(("haus house", "fluss river", "alt old") * 4)]), "en" if i % 2 else "de", "s", 5, *[f"{c}{i}" for c in names]) for i in range(40)]
+    rows += [(50 + i, rows[i][1], *rows[i][2:5], *[f"{c}{50 + i}" for c in names]) for i in range(4)] + [(60, rows[1][1] + " mail me@host.example.org now", "en", "s", 5, *[f"{c}60" for c in names])]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+    docs = frame
+    for name, stage in P.STAGES[:4]:
+        out = common.stored(stage(spark, docs, ""), name)
+        assert out.columns == frame.columns
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}{r['doc_id']}" for c in names]
+        if name == "near_duplicates":
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(range(40))
+        docs = out
+    assert "pii" in docs.columns and common.stored(P.STAGES[4][1](spark, docs, ""), "packed").count() >= 40
+
+
 def test_pipeline_on_odd_rows(spark, odd, empty):
     import corpus_pipeline as P
 
-    for frame in (odd, empty):
-        out = frame
-        for _, stage in P.STAGES:
-            out = common.stored(stage(spark, out, ""), "odd")
-        assert out.count() >= 0
+    out = odd
+    for name, stage in P.STAGES:
+        before, out = out, common.stored(stage(spark, out, ""), "odd")
+        ids = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        if name != "pack_sequences":
+            assert out.columns == odd.columns and set(ids) <= {r[0] for r in ODD}
+        if name == "language_id":  # of the languages of this table English alone has texts enough to be learned from; what has no letter goes
+            assert not set(ids) & {1, 2, 3, 8}
+        if name == "near_duplicates":
+            assert ids and max(ids.values()) == 1 and not {4, 5} <= set(ids)
+        if name == "mix_sources":
+            assert set(ids) <= {r["doc_id"] for r in before.collect()} and max(ids.values()) <= 3
+    assert out.count() == sum(-(-r["doc_tokens"] // 1024) for r in out.where("start = 0").collect()) > 0
+    out = empty
+    for _, stage in P.STAGES:
+        out = common.stored(stage(spark, out, ""), "odd")
+    assert out.count() == 0 and {"ids", "sequence_id", "offset", "doc_id", "start", "length"} <= set(out.columns)
+
+
+def test_pipeline_packs_a_very_long_gap(spark):
+    from tokenizers import Tokenizer
+
+    texts = {1: " " * 1_000_000 + "x", 2: "a" * 1_000_000, 3: "\n" * 2_000_000}
+    import corpus_pipeline as P
+
+    got = P.pack_sequences(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    for d, t in texts.items():
+        ids = [i for r in sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["start"]) for i in r["ids"]]
+        assert ids == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
