@@ -23,7 +23,7 @@ STEP = 16
 #: The greatest chance at one look to drop a pair of just the threshold, whatever the posterior says.
 LOSS = 1e-7
 #: Texts in a block of a bucket of candidates, and shingles in a block of a group that is verified.
-BUCKET, BLOCK = 256, 20_000
+BUCKET, BLOCK = 256, 10_000
 #: So many blocks are made before they grow, up to GROWN times; then there are more again.
 FEW, GROWN = 32, 80
 #: Members of groups (16 bytes each) up to which their table is broadcast; above, the join shuffles.
