@@ -24,22 +24,29 @@ def _r(c, n: int = 7):
 
 
 class Events:
-    """The daily cube of a folder."""
+    """The daily cube of a folder. What needs a few days reads these alone."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.obs = cubes.event_observations(spark, folder)
-        self.cell = mosaic.daily_mosaic(self.obs.where(X.cloud_shadow_clear(F.col("qa"))))
-        self.grid = cubes.dense_grid(self.obs)
+        self.spark, self.folder = spark, folder
+        self.obs = self.obs_in()
+        self.cell = self.cell_in()
+        self.grid = cubes.dense_grid(self.obs, cubes.EVENT_BANDS)
+
+    def obs_in(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        return cubes.event_observations(self.spark, self.folder, first, last)
+
+    def cell_in(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        return mosaic.daily_mosaic(self.obs_in(first, last).where(X.cloud_shadow_clear(F.col("qa"))))
 
     def at(self, d: int, name: str = "observed") -> DataFrame:
-        return self.cell.where(F.col("d") == d).select(*KEYS, F.col("value").alias(name))
+        return self.cell_in(d, d).select(*KEYS, F.col("value").alias(name))
 
     @property
     def target(self) -> DataFrame:
         return self.grid.join(self.at(T), KEYS, "left")
 
     def filled(self, carry: bool = False) -> DataFrame:
-        return temporal.interpolate(self.cell, self.target, T, N, allow_one_sided=carry)
+        return temporal.interpolate_on_grid(self.cell_in(T - N, T + N), self.grid, T, N, allow_one_sided=carry)
 
     @property
     def scored(self) -> DataFrame:
@@ -52,47 +59,50 @@ class Events:
         return self.obs.groupBy("day", "d").agg((100 * F.avg((~X.cloud_shadow_clear(F.col("qa"))).cast("double"))).alias("cloud"))
 
     @property
-    def coarse(self) -> DataFrame:
-        return self.cell.groupBy("band", "d", F.expr("cast(y div 5 as int)").alias("cy"), F.expr("cast(x div 5 as int)").alias("cx")).agg(F.avg("value").alias("value"))
+    def blocks(self) -> DataFrame:
+        """The grid with the number of each cell's coarse cell."""
+        return self.grid.withColumn("cy", F.expr("cast(y div 5 as int)")).withColumn("cx", F.expr("cast(x div 5 as int)"))
+
+    def coarse_in(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        return self.cell_in(first, last).groupBy("band", "d", F.expr("cast(y div 5 as int)").alias("cy"), F.expr("cast(x div 5 as int)").alias("cx")).agg(F.avg("value").alias("value"))
 
 
 class Parts:
-    """The yearly cube of a folder."""
+    """The yearly cube of a folder. What needs a few years reads these alone."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.cell, self.grid = cubes.part_cells(spark, folder), cubes.part_grid(spark, folder)
+        self.spark, self.folder = spark, folder
+        self.grid = cubes.part_grid(spark, folder)
 
-    def at(self, d: int, name: str) -> DataFrame:
-        return self.cell.where(F.col("d") == d).select("band", "px", F.col("value").alias(name))
+    def cell_in(self, first: int, last: int) -> DataFrame:
+        return cubes.part_cells(self.spark, self.folder, first, last)
 
     @property
     def frames(self) -> DataFrame:
-        target = self.grid.join(self.at(1998, "observed"), ["band", "px"], "left")
-        out = temporal.interpolate(self.cell, target, 1998, 2, keys=("band", "px"))
-        return out.join(self.at(1999, "t1"), ["band", "px"], "left").select("band", "y", "x", "seg", F.col("observed").alias("t0"), "t1", F.col("prediction").alias("l"))
+        out = temporal.interpolate_on_grid(self.cell_in(1996, 2000), self.grid, 1998, 2, keys=("band", "px"), days={"t1": 1999})
+        return out.select("band", "y", "x", "seg", F.col("observed").alias("t0"), "t1", F.col("prediction").alias("l"))
 
     @property
     def unit(self) -> DataFrame:
         return self.frames.select("band", "y", "x", "seg", *[(F.col(c) / 100000.0).alias(c) for c in ("t0", "t1", "l")])
 
-    @property
-    def coarse(self) -> DataFrame:
-        own = self.cell.join(self.grid, ["band", "px"])
+    def coarse_in(self, first: int, last: int) -> DataFrame:
+        own = self.cell_in(first, last).join(self.grid, ["band", "px"])
         return own.groupBy("band", "d", F.expr("cast(y div 5 as int)").alias("cy"), F.expr("cast(x div 5 as int)").alias("cx")).agg((F.avg("value") / 100000.0).alias("value"))
 
     def sharp(self, d: int, name: str) -> DataFrame:
-        return self.grid.select("band", "px", "y", "x").join(self.cell.where(F.col("d") == d).select("band", "px", (F.col("value") / 100000.0).alias(name)), ["band", "px"], "left").select(*KEYS, name)
+        return self.grid.select("band", "px", "y", "x").join(self.cell_in(d, d).select("band", "px", (F.col("value") / 100000.0).alias(name)), ["band", "px"], "left").select(*KEYS, name)
 
     def block(self, d: int, name: str) -> DataFrame:
         cells = self.grid.select(*KEYS).withColumn("cy", F.expr("cast(y div 5 as int)")).withColumn("cx", F.expr("cast(x div 5 as int)"))
-        return cells.join(self.coarse.where(F.col("d") == d).select("band", "cy", "cx", F.col("value").alias(name)), ["band", "cy", "cx"], "left").select(*KEYS, name)
+        return cells.join(self.coarse_in(d, d).select("band", "cy", "cx", F.col("value").alias(name)), ["band", "cy", "cx"], "left").select(*KEYS, name)
 
     @property
     def pair(self) -> DataFrame:
         """The five images of a fusion in one row, from one pass over the cube and one over the blocks."""
         years = lambda d, c: F.max(F.when(F.col("d") == d, F.col("value"))).alias(c)
-        sharp = self.cell.groupBy("band", "px").agg(*[(F.max(F.when(F.col("d") == d, F.col("value"))) / 100000.0).alias(c) for d, c in ((1996, "l1"), (1997, "lt"), (2000, "l2"))])
-        block = self.coarse.groupBy("band", "cy", "cx").agg(years(1996, "m1"), years(1997, "mt"), years(2000, "m2"))
+        sharp = self.cell_in(1996, 2000).groupBy("band", "px").agg(*[(F.max(F.when(F.col("d") == d, F.col("value"))) / 100000.0).alias(c) for d, c in ((1996, "l1"), (1997, "lt"), (2000, "l2"))])
+        block = self.coarse_in(1996, 2000).groupBy("band", "cy", "cx").agg(years(1996, "m1"), years(1997, "mt"), years(2000, "m2"))
         cells = self.grid.withColumn("cy", F.expr("cast(y div 5 as int)")).withColumn("cx", F.expr("cast(x div 5 as int)"))
         return cells.join(sharp, ["band", "px"], "left").join(block, ["band", "cy", "cx"], "left").select(*KEYS, "l1", "m1", "l2", "m2", "lt", "mt")
 
@@ -172,12 +182,12 @@ def _rounded(df: DataFrame, *names: str, n: int = 7) -> DataFrame:
 
 
 # scans, sources, sinks
-_events("scan_scene_filter", lambda e: e.obs.join(e.scenes.where("cloud < 70").select("d"), "d").where(F.col("d").between(FIRST + 5, FIRST + 14) & X.within_box(F.col("x"), F.col("y"), 7, 5, 3)).select("source_id", "d", "band", "y", "x", "dn"),
+_events("scan_scene_filter", lambda e: e.obs_in(FIRST + 5, FIRST + 14).join(e.scenes.where("cloud < 70").select("d"), "d").where(X.within_box(F.col("x"), F.col("y"), 7, 5, 3)).select("source_id", "d", "band", "y", "x", "dn"),
         f"SELECT source_id, d, band, y, x, dn FROM obs JOIN (SELECT d FROM scenes WHERE cloud < 70) USING (d) WHERE d >= {FIRST + 5} AND d < {FIRST + 15} AND abs(x - 7) <= 3 AND abs(y - 5) <= 3")
 _events("cloudy_scene", lambda e: _rounded(e.scenes.where("cloud > 60").orderBy("d").limit(1).select("d", "cloud"), "cloud"), "SELECT d, round(cloud, 7) AS cloud FROM scenes WHERE cloud > 60 ORDER BY d LIMIT 1")
 _RENAMED = {"view": "SR_B5", "click": "SR_B4", "signup": "SR_B3", "error": "SR_B2"}
-_events("coarse_scan_rename", lambda e: e.obs.where(F.col("band").isin(*_RENAMED) & X.coarse_clear(F.col("qa"), F.lit(0))).select("source_id", "d", F.create_map(*[F.lit(x) for kv in _RENAMED.items() for x in kv])[F.col("band")].alias("band"), "y", "x", "dn"),
-        "SELECT source_id, d, CASE band WHEN 'view' THEN 'SR_B5' WHEN 'click' THEN 'SR_B4' WHEN 'signup' THEN 'SR_B3' ELSE 'SR_B2' END AS band, y, x, dn FROM obs WHERE band IN ('view', 'click', 'signup', 'error') AND (qa & 3) = 0 AND (qa & 4) = 0 AND (qa & 768) = 0 AND (qa & 1024) = 0")
+_events("coarse_scan_rename", lambda e: e.obs.where(F.col("band").isin(*_RENAMED) & X.coarse_clear(F.col("qa"), F.col("dn") * 10)).select("source_id", "d", F.create_map(*[F.lit(x) for kv in _RENAMED.items() for x in kv])[F.col("band")].alias("band"), "y", "x", "dn"),
+        "SELECT source_id, d, CASE band WHEN 'view' THEN 'SR_B5' WHEN 'click' THEN 'SR_B4' WHEN 'signup' THEN 'SR_B3' ELSE 'SR_B2' END AS band, y, x, dn FROM obs WHERE band IN ('view', 'click', 'signup', 'error') AND (qa & 3) = 0 AND (qa & 4) = 0 AND (qa & 768) = 0 AND (qa & 1024) = 0 AND dn * 10 < 1500")
 
 
 def _sensor(e: Events, name: str, rest: int) -> DataFrame:
@@ -185,6 +195,16 @@ def _sensor(e: Events, name: str, rest: int) -> DataFrame:
 
 
 _events("sensor_union", lambda e: _sensor(e, "A", 0).unionByName(_sensor(e, "B", 1)).orderBy("ts", "source_id"), "SELECT CASE WHEN source_id % 2 = 0 THEN 'A' ELSE 'B' END AS sensor, source_id, ts, band, y, x, dn * 0.0000275::DOUBLE + (-0.2)::DOUBLE AS value FROM obs WHERE (qa & 63) = 0")
+
+
+def _prepared(e: Events) -> DataFrame:
+    sensor = F.when(F.col("source_id") % 2 == 0, "A").otherwise("B")
+    both = e.obs.withColumn("sensor", sensor).withColumn("radsat", (F.col("source_id") % 7 == 0).cast("int"))
+    return mosaic.prepared(both, ("view", "click"), 24).select("sensor", "source_id", "ts", "band", "y", "x", "value").orderBy("ts", "source_id")
+
+
+_events("prepared_union", _prepared, ", p AS (SELECT CASE WHEN source_id % 2 = 0 THEN 'A' ELSE 'B' END AS sensor, * FROM obs WHERE band IN ('view', 'click') AND (qa & 24) = 0 AND source_id % 7 <> 0) SELECT sensor, source_id, ts, band, y, x, dn * 0.0000275::DOUBLE + (-0.2)::DOUBLE AS value FROM (SELECT *, list_unique(list(band) OVER (PARTITION BY sensor, d, y, x)) AS n FROM p) WHERE n = 2")
+_events("pass_labels", lambda e: e.obs.select("day").distinct().select("day", X.pass_label(F.col("day"), "chip").alias("label")), "SELECT DISTINCT day, 'chip_' || replace(CAST(day AS VARCHAR), '-', '') AS label FROM obs")
 _events("report_layers", lambda e: pipeline.report_layers(e.filled(True), e.scored.select(*KEYS, "truth", "held")),
         """SELECT t.band, t.y, t.x, coalesce(observed, -9999.0) AS truth, coalesce(observed, -9999.0) AS allowed, coalesce(carry, -9999.0) AS prediction, coalesce(observed, carry, -9999.0) AS filled, coalesce(carry - observed, -9999.0) AS signed_error, CAST(held AS INT) AS holdout,
  CAST((vb IS NOT NULL)::INT + (va IS NOT NULL)::INT AS INT) AS support, st AS status, coalesce(CAST(ab AS DOUBLE), -9999.0) AS before_age, coalesce(CAST(aa AS DOUBLE), -9999.0) AS after_age, CAST(CASE WHEN observed IS NOT NULL THEN 1 WHEN st > 0 THEN st + 1 ELSE 0 END AS INT) AS origin FROM tmp t JOIN held USING (y, x)""")
@@ -198,7 +218,7 @@ _events("qa_coarse", lambda e: e.obs.where(X.coarse_clear(F.col("qa"), F.col("dn
 
 
 def _wide(e: Events, d: int = T) -> DataFrame:
-    return e.cell.where(F.col("d") == d).groupBy("y", "x").pivot("band", ["view", "click", "signup"]).agg(F.max("value"))
+    return e.cell_in(d, d).groupBy("y", "x").pivot("band", ["view", "click", "signup"]).agg(F.max("value"))
 
 
 _WIDE = f"wide AS (SELECT y, x, max(value) FILTER (band = 'view') AS \"view\", max(value) FILTER (band = 'click') AS click, max(value) FILTER (band = 'signup') AS signup FROM cell WHERE d = {T} GROUP BY ALL)"
@@ -207,8 +227,8 @@ _WIDE = f"wide AS (SELECT y, x, max(value) FILTER (band = 'view') AS \"view\", m
 def _guarded(e: Events) -> DataFrame:
     first = lambda b, name: F.max(F.when(F.col("band") == b, F.col("dn"))).alias(name)
     bad = F.max((~X.extended_clear(F.col("qa"))).cast("int")) == 1
-    p = e.obs.where(F.col("d").between(T - 2, T)).groupBy("y", "x").agg((first("view", "nir") * 100).alias("nir"), (first("click", "red") * 100).alias("red"), (first("signup", "green") * 100).alias("green"), (bad & (F.count("*") > 2)).alias("bad"), (F.max(F.col("qa").bitwiseAND(F.lit(64))) > 0).alias("water_bit"), F.avg("qa").alias("occurrence"), (F.max(F.col("qa").bitwiseAND(F.lit(8))) > 0).alias("cloud_bit"))
-    return focal.water_guarded_mask(p.withColumn("band", F.lit("all")).withColumn("occurrence", F.when(F.col("occurrence") > 60, F.col("occurrence")))).select("y", "x", "masked")
+    p = e.obs_in(T - 2, T).groupBy("y", "x").agg((first("view", "nir") * 100).alias("nir"), (first("click", "red") * 100).alias("red"), (first("signup", "green") * 100).alias("green"), (bad & (F.count("*") > 2)).alias("bad"), (F.max(F.col("qa").bitwiseAND(F.lit(64))) > 0).alias("water_bit"), F.avg("qa").alias("occurrence"), (F.max(F.col("qa").bitwiseAND(F.lit(8))) > 0).alias("cloud_bit"))
+    return focal.water_guarded_mask(p.withColumn("band", F.lit("all")), occurrence=60).select("y", "x", "masked")
 
 
 _OFF6 = ", ".join(f"({a}, {b})" for a, b in X.circle_offsets(6.0))
@@ -225,8 +245,8 @@ _events("fcc_stretch", lambda e: _wide(e).select("y", "x", *[F.floor(X.stretch(F
 
 
 def _stage_diff(p: Parts) -> DataFrame:
-    both = correct.adaptive_correction(correct.global_correction(p.frames).withColumnRenamed("corrected", "g"))
-    return both.where("t0 is null").select(*KEYS, _r(F.abs(F.col("corrected") - F.col("g")), 3).alias("diff"))
+    both = correct.corrections(p.frames)
+    return both.where("t0 is null").select(*KEYS, _r(F.abs(F.col("seg_corrected") - F.col("scene_corrected")), 3).alias("diff"))
 
 
 _parts("stage_diff", _stage_diff, _corrected("frames") + "SELECT band, y, x, round(abs((l + delta) - (l + (gt + gs))), 3) AS diff FROM frames JOIN gd USING (band) LEFT JOIN sd USING (band, seg) WHERE t0 IS NULL")
@@ -238,9 +258,10 @@ _parts("crop_mask", lambda p: p.grid.where(F.col("seg").isin(1, 4)).select(*KEYS
 # joins
 _events("reference_anti_join", lambda e: e.cell.join(e.scenes.where(F.col("d") == T).select("d"), "d", "left_anti").select("d", *KEYS, "value"), f"SELECT d, band, y, x, value FROM cell WHERE d <> {T}")
 _events("sparse_window", lambda e: e.cell.where(F.abs(F.col("d") - T) >= 10).select("d", *KEYS, "value"), f"SELECT d, band, y, x, value FROM cell WHERE abs(d - {T}) >= 10")
-_parts("bilinear_resample", lambda p: _rounded(focal.bilinear(p.coarse.where("d = 1998"), p.grid, 5), "value", n=4), _bilinear(1998, "bl") + " SELECT band, y, CAST(x AS INT) AS x, round(value, 4) AS value FROM bl")
+_parts("bilinear_resample", lambda p: _rounded(focal.bilinear(p.coarse_in(1998, 1998), p.grid, 5), "value", n=4), _bilinear(1998, "bl") + " SELECT band, y, CAST(x AS INT) AS x, round(value, 4) AS value FROM bl")
 _events("aoi_semi_join", lambda e: e.cell.join(e.grid.where("(x + y) % 4 = 0").select("y", "x").distinct(), ["y", "x"], "left_semi").select("d", *KEYS, "value"), "SELECT d, band, y, x, value FROM cell WHERE (x + y) % 4 = 0")
-_events("sample_points", lambda e: e.cell.join(F.broadcast(e.obs.sparkSession.createDataFrame([(1, 2), (5, 7), (9, 14)], "y int, x int")), ["y", "x"]).where(F.col("d") == T).select(*KEYS, "value"), f"SELECT band, y, x, value FROM cell JOIN (VALUES (1, 2), (5, 7), (9, 14)) p(y, x) USING (y, x) WHERE d = {T}")
+_POINTS = [(y, (3 * y + k) % 15) for y in range(10) for k in (0, 7)]
+_events("sample_points", lambda e: e.cell.join(F.broadcast(e.spark.createDataFrame(_POINTS, "y int, x int")), ["y", "x"]).select("d", *KEYS, "value"), f"SELECT d, band, y, x, value FROM cell JOIN (VALUES {', '.join(map(str, _POINTS))}) p(y, x) USING (y, x)")
 
 # aggregation
 _events("region_mean", lambda e: e.cell.where(X.within_box(F.col("x"), F.col("y"), 7, 5, 3)).groupBy("band", "d").agg(_r(F.avg("value")).alias("mean")), "SELECT band, d, round(avg(value), 7) AS mean FROM cell WHERE abs(x - 7) <= 3 AND abs(y - 5) <= 3 GROUP BY ALL")
@@ -270,8 +291,8 @@ _events("clearest_scene", lambda e: e.scenes.orderBy("cloud", "d").limit(1).sele
 _events("golden_day", lambda e: e.scenes.where("cloud < 100").select("d", _r(F.col("cloud"), 6).alias("cloud_pct")).orderBy("cloud_pct", "d").limit(1), "SELECT d, round(cloud, 6) AS cloud_pct FROM scenes WHERE cloud < 100 ORDER BY 2, 1 LIMIT 1")
 _events("sample_pixels", lambda e: segment.sample_pixels(e.grid.select("y", "x").distinct(), 50))
 _AT = f", now AS (SELECT * FROM cell WHERE d = {T})"
-_events("focal_mean", lambda e: _rounded(focal.focal(e.cell.where(F.col("d") == T), 1.5), "focal"), _AT + _focal("now", 1.5) + " SELECT band, y, x, round(focal, 7) AS focal FROM foc")
-_events("focal_max", lambda e: focal.focal(e.cell.where((F.col("d") == T) & (F.col("value") > 60)), 6.0, "max"), f", now AS (SELECT * FROM cell WHERE d = {T} AND value > 60)" + _focal("now", 6.0, how="max") + " SELECT band, y, x, focal FROM foc")
+_events("focal_mean", lambda e: _rounded(focal.focal(e.cell_in(T, T), 1.5), "focal"), _AT + _focal("now", 1.5) + " SELECT band, y, x, round(focal, 7) AS focal FROM foc")
+_events("focal_max", lambda e: focal.focal(e.cell_in(T, T).where("value > 60"), 6.0, "max"), f", now AS (SELECT * FROM cell WHERE d = {T} AND value > 60)" + _focal("now", 6.0, how="max") + " SELECT band, y, x, focal FROM foc")
 
 
 def _square_sql(radius: int) -> str:
@@ -279,7 +300,7 @@ def _square_sql(radius: int) -> str:
     return ", s0 AS (SELECT band, y, x, observed AS value FROM tmp)" + step("s0", "s1") + step("s1", "s2") + " SELECT band, y, x, round(value, 7) AS value FROM s2"
 
 
-_events("focal_square", lambda e: _rounded(focal.fill_square(e.target.select(*KEYS, F.col("observed").alias("value")), 2), "value"), _square_sql(2))
+_events("focal_square", lambda e: _rounded(focal.fill_square(e.target.select(*KEYS, F.col("observed").alias("value")), 10), "value"), _square_sql(10))
 
 
 def _fit_pairs(p: Parts) -> DataFrame:
@@ -297,17 +318,21 @@ def _patched(e: Events) -> DataFrame:
     return e.filled(True).select(*KEYS, F.col("observed").alias("raw"), F.col("filled").alias("patched"))
 
 
-_events("edge_blend", lambda e: _rounded(focal.edge_blend(_patched(e)).select(*KEYS, "blended"), "blended"), _PATCHED + _focal("pt", 1.5, "patched") + " SELECT pt.band, pt.y, pt.x, round(coalesce(raw, focal), 7) AS blended FROM pt LEFT JOIN foc USING (band, y, x)")
+_events("edge_blend", lambda e: _rounded(focal.edge_blend(_patched(e)).select(*KEYS, "blended"), "blended", n=9), _PATCHED + _focal("pt", 1.5, "patched") + " SELECT pt.band, pt.y, pt.x, round(coalesce(raw, focal), 9) AS blended FROM pt LEFT JOIN foc USING (band, y, x)")
 _events("feather_safe", lambda e: _rounded(focal.feather(_patched(e)).select(*KEYS, "feathered"), "feathered"), _PATCHED + ", mk AS (SELECT band, y, x, CASE WHEN raw IS NULL THEN 0.0 ELSE 1.0 END AS m FROM pt)" + _focal("mk", 5.0, "m") + " SELECT pt.band, pt.y, pt.x, round(coalesce(raw, 0) * CASE WHEN raw IS NULL THEN 0 ELSE focal END + patched * (1 - CASE WHEN raw IS NULL THEN 0 ELSE focal END), 7) AS feathered FROM pt LEFT JOIN foc USING (band, y, x)")
 
 # time
 _AGES = "CAST(ab AS DOUBLE) AS before_age_days, CAST(aa AS DOUBLE) AS after_age_days, CAST((vb IS NOT NULL)::INT + (va IS NOT NULL)::INT AS INT) AS support_count"
 _events("temporal_strict", lambda e: e.filled().select(*KEYS, "prediction", "status"), "SELECT band, y, x, strict AS prediction, st0 AS status FROM tmp")
 _events("temporal_carry", lambda e: e.filled(True).select(*KEYS, "prediction", "status"), "SELECT band, y, x, carry AS prediction, st AS status FROM tmp")
+_events("temporal_masked", lambda e: temporal.interpolate(e.cell_in(T - N, T + N).withColumn("ok", F.col("value") < 60), e.target, "2024-01-16", N, valid="ok").select(*KEYS, "prediction", "support_count"),
+        f", mb AS (SELECT band, y, x, arg_max(value, d) FILTER (d < {T}) AS vb, max(d) FILTER (d < {T}) AS db, arg_min(value, d) FILTER (d > {T}) AS va, min(d) FILTER (d > {T}) AS da FROM cell WHERE value < 60 AND abs(d - {T}) BETWEEN 1 AND {N} GROUP BY ALL) SELECT g.band, g.y, g.x, vb + (CAST({T} - db AS DOUBLE) / (({T} - db) + (da - {T}))) * (va - vb) AS prediction, CAST((vb IS NOT NULL)::INT + (va IS NOT NULL)::INT AS INT) AS support_count FROM grid g LEFT JOIN mb USING (band, y, x)")
+_events("compare_results", lambda e: metrics.compare(e.filled(), e.filled(True), KEYS, "prediction", 1e-10), "SELECT band, y, x, strict AS a, carry AS b FROM tmp WHERE (strict IS NULL) <> (carry IS NULL) OR abs(strict - carry) > 1e-10")
 _events("temporal_diagnostics", lambda e: e.filled(True).select(*KEYS, "before_age_days", "after_age_days", "support_count", "status"), f"SELECT band, y, x, {_AGES}, st AS status FROM tmp")
 _events("temporal_filled", lambda e: e.filled(True), f"SELECT band, y, x, observed, carry AS prediction, coalesce(observed, carry) AS filled, {_AGES}, st AS status, CAST(CASE WHEN observed IS NOT NULL THEN 1 WHEN st > 0 THEN st + 1 ELSE 0 END AS INT) AS filled_origin FROM tmp")
 _events("linear_impute", lambda e: _rounded(temporal.linear_impute(e.cell, e.target, T).select(*KEYS, "prediction", "filled"), "prediction", "filled", n=8), _FIT + " SELECT t.band, t.y, t.x, round(mv - slope * mt, 8) AS prediction, round(coalesce(observed, mv - slope * mt), 8) AS filled FROM tmp t LEFT JOIN fit USING (band, y, x)")
-_events("pass_frames", lambda e: _rounded(temporal.pass_frames(e.cell, T), "raw", "imputed", "patched", n=8), _FIT.replace(f" WHERE d <> {T}", "") + f" SELECT c.band, c.y, c.x, c.d, round(value, 8) AS raw, round(slope * (c.d - {T}) + (mv - slope * mt), 8) AS imputed, round(coalesce(value, slope * (c.d - {T}) + (mv - slope * mt)), 8) AS patched FROM cell c JOIN fit USING (band, y, x)")
+_events("pass_frames", lambda e: _rounded(temporal.pass_frames(mosaic.daily_mosaic(e.obs), e.cell, T), "raw", "imputed", "patched", n=8),
+        _FIT.replace(f" WHERE d <> {T}", "") + f", pass AS (SELECT d, band, y, x, arg_max(dn, source_id) AS raw FROM obs GROUP BY ALL) SELECT p.band, p.y, p.x, p.d, round(raw, 8) AS raw, round(slope * (p.d - {T}) + (mv - slope * mt), 8) AS imputed, round(coalesce(c.value, slope * (p.d - {T}) + (mv - slope * mt)), 8) AS patched FROM pass p LEFT JOIN cell c USING (band, y, x, d) LEFT JOIN fit USING (band, y, x)")
 
 # correction
 _parts("stage_temporal", lambda p: p.frames.select(*KEYS, F.coalesce("t0", "l", "t1").alias("temporal")), "SELECT band, y, x, coalesce(t0, l, t1) AS temporal FROM frames")
@@ -329,9 +354,12 @@ _C = lambda name: F.col(name)
 _parts("dual_fusion", lambda p: _rounded(p.pair.select(*KEYS, fusion.dual_residual(_C("l1"), _C("m1"), _C("l2"), _C("m2"), _C("mt"), _W1, _W2).alias("fused")), "fused", n=4), ", v AS (SELECT band, y, x, mt + 0.75::DOUBLE * (l1 - m1) + 0.25::DOUBLE * (l2 - m2) AS v FROM pair) SELECT band, y, x, round(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, v)) END, 4) AS fused FROM v")
 _parts("fusion_single_residual", lambda p: _rounded(p.pair.select(*KEYS, fusion.single_residual(_C("l1"), _C("m1"), _C("mt")).alias("fused")), "fused", n=4), ", v AS (SELECT band, y, x, mt + (l1 - m1) AS v FROM pair) SELECT band, y, x, round(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, v)) END, 4) AS fused FROM v")
 
+_parts("residual_colour", lambda p: _rounded(p.pair.select(*KEYS, X.residual_colour(_C("l1") - _C("m1")).alias("shade")), "shade", n=4), " SELECT band, y, x, round(CASE WHEN l1 - m1 IS NOT NULL THEN greatest(0.0, least(1.0, (l1 - m1 + 0.15::DOUBLE) / 0.3::DOUBLE)) END, 4) AS shade FROM pair")
+_parts("fusion_same_date", lambda p: _rounded(p.pair.select(*KEYS, fusion.single_residual(_C("l1"), _C("m1"), _C("m1")).alias("fused")), "fused"), " SELECT band, y, x, round(CASE WHEN l1 IS NOT NULL AND m1 IS NOT NULL THEN greatest(0.0, least(1.0, l1)) END, 7) AS fused FROM pair")
+
 
 def _single_delta(p: Parts) -> DataFrame:
-    m = [focal.bilinear(p.coarse.where(F.col("d") == d), p.grid, 5).withColumnRenamed("value", n) for d, n in ((1996, "mg"), (1998, "mt"))]
+    m = [focal.bilinear(p.coarse_in(d, d), p.grid, 5).withColumnRenamed("value", n) for d, n in ((1996, "mg"), (1998, "mt"))]
     return _rounded(p.sharp(1996, "lg").join(m[0], KEYS).join(m[1], KEYS).select(*KEYS, fusion.single_delta(_C("lg"), _C("mg"), _C("mt")).alias("fused")), "fused", n=4)
 
 
@@ -339,7 +367,7 @@ _parts("fusion_single_delta", _single_delta, _bilinear(1996, "b1") + _bilinear(1
 
 
 def _fuse(e: Events) -> DataFrame:
-    blocks = e.grid.withColumn("cy", F.expr("cast(y div 5 as int)")).withColumn("cx", F.expr("cast(x div 5 as int)")).join(e.coarse, ["band", "cy", "cx"]).select(*KEYS, "d", "value")
+    blocks = e.blocks.join(e.coarse_in(), ["band", "cy", "cx"]).select(*KEYS, "d", "value")
     return _rounded(fusion.fuse_date(e.cell, blocks, e.grid, T - 6, T, FIRST, FIRST + 29, N).select(*KEYS, "fused"), "fused")
 
 
@@ -351,12 +379,34 @@ def _fill_sql(t: int, name: str) -> str:
 _events("fuse_date", _fuse, ", ec AS (SELECT band, d, y // 5 AS cy, x // 5 AS cx, avg(value) AS value FROM cell GROUP BY ALL)" + _fill_sql(T - 6, "mg") + _fill_sql(T, "mt") + f" SELECT g.band, g.y, g.x, round(f.value + (mt.value - mg.value), 7) AS fused FROM grid g LEFT JOIN (SELECT * FROM cell WHERE d = {T - 6}) f USING (band, y, x) JOIN mg ON mg.band = g.band AND mg.cy = g.y // 5 AND mg.cx = g.x // 5 JOIN mt ON mt.band = g.band AND mt.cy = g.y // 5 AND mt.cx = g.x // 5")
 
 
+def _fused_1999(p: Parts) -> DataFrame:
+    return fusion.window_fusion(focal.moving_fit(_fit_pairs(p), 15), p.block(1999, "value"))
+
+
 def _window_fusion(p: Parts) -> DataFrame:
-    fit = focal.moving_fit(_fit_pairs(p), 15)
-    return _rounded(fit.join(p.block(1999, "now"), KEYS).select(*KEYS, (F.col("alpha") * F.col("now") + F.col("beta")).alias("fused")), "fused", n=3)
+    return _rounded(_fused_1999(p).select(*KEYS, "fused"), "fused", n=3)
 
 
 _parts("fusion_window_fit", _window_fusion, _MOVING + " SELECT ab.band, ab.y, ab.x, round(alpha * c.value + (mf - alpha * mc), 3) AS fused FROM ab LEFT JOIN (SELECT * FROM pc WHERE d = 1999) c ON c.band = ab.band AND c.cy = ab.y // 5 AND c.cx = ab.x // 5")
+_parts("fusion_window_ndvi", lambda p: _rounded(fusion.fused_index(_fused_1999(p), "A", "R", ["y", "x"]), "ndvi", n=3),
+       _MOVING + ", fu AS (SELECT ab.band, ab.y, ab.x, alpha * c.value + (mf - alpha * mc) AS fused FROM ab LEFT JOIN (SELECT * FROM pc WHERE d = 1999) c ON c.band = ab.band AND c.cy = ab.y // 5 AND c.cx = ab.x // 5), w AS (SELECT y, x, max(fused) FILTER (band = 'A') AS a, max(fused) FILTER (band = 'R') AS r FROM fu GROUP BY ALL) SELECT y, x, round((a - r) / nullif(a + r, 0), 3) + 0.0 AS ndvi FROM w")
+
+
+def _season_window(e: Events) -> DataFrame:
+    """Rules of the target day applied to the coarse image of every eighth day."""
+    two = F.col("band").isin("view", "click")
+    blocks = e.blocks.where(two)
+    own = e.coarse_in(T, T).select("band", "cy", "cx", F.col("value").alias("coarse"))
+    pairs = blocks.join(e.at(T, "fine"), KEYS, "left").join(own, ["band", "cy", "cx"], "left").select(*KEYS, "fine", "coarse")
+    coarse = blocks.join(e.coarse_in().where((F.col("d") - FIRST) % 8 == 0), ["band", "cy", "cx"]).select(*KEYS, "d", "value")
+    fused = fusion.window_fusion(focal.moving_fit(pairs, 15), coarse)
+    return _rounded(fusion.fused_index(fused, "view", "click", ["d", "y", "x"]), "ndvi", n=5)
+
+
+_events("season_window_ndvi", _season_window, f""", ec AS (SELECT band, d, CAST(y // 5 AS INT) AS cy, CAST(x // 5 AS INT) AS cx, avg(value) AS value FROM cell WHERE band IN ('view', 'click') GROUP BY ALL),
+fp AS (SELECT g.band, g.y, g.x, f.value AS fine, c.value AS coarse FROM grid g LEFT JOIN (SELECT * FROM cell WHERE d = {T}) f USING (band, y, x) LEFT JOIN (SELECT * FROM ec WHERE d = {T}) c ON c.band = g.band AND c.cy = g.y // 5 AND c.cx = g.x // 5 WHERE g.band IN ('view', 'click')),
+""" + _MOVING[_MOVING.index("mv AS"):] + f""", fu AS (SELECT ab.band, ab.y, ab.x, c.d, alpha * c.value + (mf - alpha * mc) AS fused FROM ab JOIN (SELECT * FROM ec WHERE (d - {FIRST}) % 8 = 0) c ON c.band = ab.band AND c.cy = ab.y // 5 AND c.cx = ab.x // 5),
+w AS (SELECT d, y, x, max(fused) FILTER (band = 'view') AS a, max(fused) FILTER (band = 'click') AS b FROM fu GROUP BY ALL) SELECT d, y, x, round((a - b) / nullif(a + b, 0), 5) + 0.0 AS ndvi FROM w""")
 
 
 def _season(e: Events) -> DataFrame:
@@ -373,15 +423,7 @@ _events("holdout_stripes", lambda e: e.grid.select(*KEYS, holdout.holdout(F.col(
 _events("holdout_scene", lambda e: e.grid.select(*KEYS, holdout.holdout(F.col("x"), F.col("y"), 15, 10, "scene").alias("held")), "SELECT band, y, x, true AS held FROM grid")
 _events("holdout_diagonal", lambda e: e.grid.select(*KEYS, holdout.diagonal_gap(F.col("x"), F.col("y"), 8, 3, 1).alias("held")), "SELECT band, y, x, (x + y) % 8 <= 3 AS held FROM grid")
 _events("holdout_disc", lambda e: e.grid.select(*KEYS, (holdout.disc_gap(F.col("x"), F.col("y"), 15, 10) | holdout.disc_gap(F.col("x"), F.col("y"), 15, 10, 0.22, -2, -3)).alias("held")), "SELECT band, y, x, (y-5)*(y-5) + (x-7)*(x-7) <= 10.24 OR (y-3)*(y-3) + (x-4)*(x-4) <= 4.84 AS held FROM grid")
-_events("holdout_other_day", lambda e: holdout.other_day_gap(e.cell, e.grid, T - 1), f"SELECT g.band, g.y, g.x, c.value IS NULL AS held FROM grid g LEFT JOIN (SELECT * FROM cell WHERE d = {T - 1}) c USING (band, y, x)")
-
-
-def _score(e: Events) -> DataFrame:
-    """Bands two at a time have enough common truth."""
-    return e.scored
-
-
-_events("score_coverage", lambda e: metrics.coverage(_score(e), 5), ", cv AS (SELECT CAST(count(*) FILTER (eligible) / 5 AS BIGINT) AS eligible_pixels, CAST(count(*) FILTER (scored) / 5 AS BIGINT) AS scored_pixels FROM el) SELECT eligible_pixels, scored_pixels, eligible_pixels - scored_pixels AS unresolved_pixels, CASE WHEN eligible_pixels > 0 THEN CAST(scored_pixels AS DOUBLE) / eligible_pixels END AS coverage_fraction FROM cv")
+_events("holdout_other_day", lambda e: holdout.other_day_gap(e.cell_in(T - 1, T - 1), e.grid, T - 1), f"SELECT g.band, g.y, g.x, c.value IS NULL AS held FROM grid g LEFT JOIN (SELECT * FROM cell WHERE d = {T - 1}) c USING (band, y, x)")
 
 
 def _unit_scores(p: Parts) -> DataFrame:
@@ -391,6 +433,7 @@ def _unit_scores(p: Parts) -> DataFrame:
 
 _PHELD = """, ph AS (SELECT band, y, x, t0 AS truth, l AS prediction, t1 AS baseline, (pow((CAST(x AS DOUBLE)/50-0.49)/0.23, 2) + pow((CAST(y AS DOUBLE)/40-0.51)/0.28, 2) < 1) OR (pow((CAST(x AS DOUBLE)/50-0.65)/0.14, 2) + pow((CAST(y AS DOUBLE)/40-0.40)/0.17, 2) < 1) AS held FROM unit),
 ps AS (SELECT *, held AND count(truth) OVER (PARTITION BY y, x) = 3 AND count(prediction) OVER (PARTITION BY y, x) = 3 AS scored FROM ph)"""
+_parts("score_coverage", lambda p: metrics.coverage(_unit_scores(p), 3), _PHELD + ", n AS (SELECT CAST(count(*) FILTER (held AND t = 3) / 3 AS BIGINT) AS eligible_pixels, CAST(count(*) FILTER (scored) / 3 AS BIGINT) AS scored_pixels FROM (SELECT *, count(truth) OVER (PARTITION BY y, x) AS t FROM ps)) SELECT eligible_pixels, scored_pixels, eligible_pixels - scored_pixels AS unresolved_pixels, CASE WHEN eligible_pixels > 0 THEN CAST(scored_pixels AS DOUBLE) / eligible_pixels END AS coverage_fraction FROM n")
 _parts("score_bands", lambda p: _rounded(metrics.band_scores(_unit_scores(p), 3), "rmse", "mae", "bias", "pearson_r", "r2", n=4), _PHELD + f", s AS (SELECT band, CASE WHEN scored THEN prediction END AS p, CASE WHEN scored THEN truth END AS t FROM ps), m AS (SELECT band, {_scores('p', 't')} FROM s GROUP BY band) SELECT band, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(bias, 4) AS bias, round(pearson_r, 4) AS pearson_r, round(r2, 4) AS r2 FROM m")
 _events("observed_preserved", lambda e: metrics.violations(e.filled(True)), "SELECT count(*) FILTER (observed IS NOT NULL AND observed IS DISTINCT FROM coalesce(observed, carry)) AS violations FROM tmp")
 _parts("benchmark_metrics", lambda p: _rounded(metrics.benchmark(_unit_scores(p)), "rmse", "mae", "r_squared", "reduction_percent", n=3), _PHELD + ", m AS (SELECT band, count(*) AS n, sqrt(avg((prediction-truth)*(prediction-truth))) AS rmse, avg(abs(prediction-truth)) AS mae, CASE WHEN min(truth) < max(truth) AND min(prediction) < max(prediction) THEN pow(covar_pop(prediction, truth), 2) / (var_pop(prediction) * var_pop(truth)) END AS r2, sqrt(avg((prediction-truth)*(prediction-truth)) FILTER (baseline IS NOT NULL)) AS own, sqrt(avg((baseline-truth)*(baseline-truth))) AS base FROM ph WHERE truth > 0 AND prediction IS NOT NULL GROUP BY band) SELECT band, n, round(rmse, 3) AS rmse, round(mae, 3) AS mae, round(r2, 3) AS r_squared, round(CASE WHEN base > 0 THEN 100 * (base - own) / base END, 3) AS reduction_percent FROM m")
@@ -400,7 +443,7 @@ def _stage_scores(p: Parts) -> DataFrame:
     """Half of the target withheld in stripes; each stage scored there."""
     held = holdout.holdout(F.col("x"), F.col("y"), 50, 40, "stripes")
     f = p.unit.withColumn("truth", F.col("t0")).withColumn("held", held).withColumn("t0", F.when(~held, F.col("t0"))).withColumn("l", F.coalesce("l", "t1"))
-    both = correct.adaptive_correction(correct.global_correction(f).withColumnRenamed("corrected", "g")).withColumnRenamed("corrected", "a")
+    both = correct.corrections(f).withColumnsRenamed({"scene_corrected": "g", "seg_corrected": "a"})
     return _rounded(metrics.stage_metrics(both, ["l", "g", "a"]), "rmse", "mae", "improvement_percent", n=3)
 
 

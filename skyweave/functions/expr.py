@@ -65,6 +65,16 @@ def stretch(v: Column, low: float, high: float) -> Column:
     return clip((v - low) / (high - low))
 
 
+def residual_colour(residual: Column, most: float = 0.15) -> Column:
+    """A residual as a shade from 0 to 1: -most is 0, none 0.5, most 1."""
+    return stretch(residual, -most, most)
+
+
+def pass_label(day: Column, prefix: str) -> Column:
+    """The name under which a pass is stored: the prefix and the date without its dashes."""
+    return F.concat(F.lit(f"{prefix}_"), F.replace(day.cast("string"), F.lit("-"), F.lit("")))
+
+
 def within_box(x: Column, y: Column, cx: float, cy: float, r: float) -> Column:
     return (F.abs(x - cx) <= r) & (F.abs(y - cy) <= r)
 
@@ -84,6 +94,13 @@ def checked_date(text: str) -> datetime.date:
     return datetime.date.fromisoformat(text)
 
 
+def day_number(when: int | str) -> int:
+    """Days since 1970-01-01 of a canonical date; a number is one already."""
+    if isinstance(when, int) and not isinstance(when, bool):
+        return when
+    return (checked_date(when) - datetime.date(1970, 1, 1)).days
+
+
 def checked_window(days) -> int:
     if isinstance(days, bool) or not isinstance(days, int) or days < 1:
         raise ValueError(f"a window is a positive whole number of days: {days!r}")

@@ -7,7 +7,7 @@ the first gives 1.0: it counts the difference twice. Both are kept; neither is c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("reference", "temporal_bias")
@@ -31,44 +31,57 @@ def _checked(mode: str) -> None:
         raise ValueError(f"mode must be one of {MODES}")
 
 
-def global_delta(frames: DataFrame, mode: str = "reference") -> DataFrame:
-    """band, delta (missing means count as 0, the spatial part only where both exist), spatial (unguarded), temporal."""
+def deltas(frames: DataFrame, mode: str = "reference", least_clear: int = 30) -> DataFrame:
+    """band, seg, delta, own_delta: what the scene and what the segment adds to the baseline, from one pass over frames.
+
+    The scene's statistics are the sums of its segments', so cells without a segment (a row of seg null) count too. Scene: missing means count as 0, the spatial
+    part only where both exist. Segment: its own bias if both means exist and enough of it is clear, else the scene's; its spatial part if both exist, else the scene's unguarded one.
+    """
     _checked(mode)
+    clear, gap = F.col("t0").isNotNull(), F.col("t0").isNull()
+    of = {"t": F.col("t0"), "l": F.when(clear, F.col("l")), "g": F.when(gap, F.col("t1")), "c": F.when(clear, F.col("t1"))}
+    sums = frames.groupBy("band", "seg").agg(*[f(c).alias(f"{f.__name__[0]}{k}") for k, c in of.items() for f in (F.sum, F.count)])
+    scene = Window.partitionBy("band")  # over a row for each segment
+    own = {k: F.try_divide(F.col(f"s{k}"), F.col(f"c{k}")) for k in of}
+    whole = {k: F.try_divide(F.sum(f"s{k}").over(scene), F.sum(f"c{k}").over(scene)) for k in of}
+    means = sums.select("band", "seg", F.col("ct").alias("n"), *[c.alias(k) for k, c in own.items()], *[c.alias(f"g{k}") for k, c in whole.items()])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    temporal = zero(F.col("mt")) - zero(F.col("ml"))
-    both = F.col("mg").isNotNull() & F.col("mc").isNotNull()
-    spatial = F.when(both, F.col("mg") - F.col("mc")).otherwise(0.0) if mode == "reference" else F.lit(0.0)
-    unguarded = zero(F.col("mg")) - zero(F.col("mc")) if mode == "reference" else F.lit(0.0)
-    return _means(frames, "band").select("band", (temporal + spatial).alias("delta"), temporal.alias("g_temporal"), unguarded.alias("g_spatial"))
+    col = F.col
+    g_temporal = zero(col("gt")) - zero(col("gl"))
+    use = mode == "reference"
+    g_spatial = F.coalesce(col("gg") - col("gc"), F.lit(0.0)) if use else F.lit(0.0)
+    spatial = F.coalesce(col("g") - col("c"), zero(col("gg")) - zero(col("gc"))) if use else F.lit(0.0)
+    temporal = F.coalesce(F.when(col("n") >= least_clear, col("t") - col("l")), g_temporal)
+    return means.select("band", "seg", (g_temporal + g_spatial).alias("delta"), F.when(col("seg").isNotNull(), temporal + spatial).alias("own_delta"))
+
+
+def corrections(frames: DataFrame, mode: str = "reference", least_clear: int = 30) -> DataFrame:
+    """frames with `scene_corrected` and `seg_corrected`: l + the scene's and l + the segment's delta; a cell without a segment has no second one. One pass for the deltas, one join."""
+    d = deltas(frames, mode, least_clear).withColumnsRenamed({"band": "_band", "seg": "_seg"})
+    j = frames.join(d, (frames["band"] == d["_band"]) & frames["seg"].eqNullSafe(d["_seg"]), "left")
+    return j.select(*frames.columns, (F.col("l") + F.col("delta")).alias("scene_corrected"), (F.col("l") + F.col("own_delta")).alias("seg_corrected"))
 
 
 def global_correction(frames: DataFrame, mode: str = "reference") -> DataFrame:
-    """frames with `corrected` = l + the band's delta. The table of bands is broadcast."""
-    return frames.join(F.broadcast(global_delta(frames, mode)), "band", "left").withColumn("corrected", F.col("l") + F.col("delta")).drop("delta", "g_temporal", "g_spatial")
+    """frames with `corrected` = l + the scene's delta."""
+    return corrections(frames, mode).drop("seg_corrected").withColumnRenamed("scene_corrected", "corrected")
 
 
 def segment_deltas(frames: DataFrame, mode: str = "reference", least_clear: int = 30) -> DataFrame:
-    """band, seg, delta: a segment's own bias if both means exist and enough of it is clear, else the scene's; likewise the spatial part."""
-    _checked(mode)
-    s = _means(frames.where("seg is not null"), "band", "seg").join(F.broadcast(global_delta(frames, mode)), "band")
-    own = F.col("mt").isNotNull() & F.col("ml").isNotNull() & (F.col("n") >= least_clear)
-    temporal = F.when(own, F.col("mt") - F.col("ml")).otherwise(F.col("g_temporal"))
-    both = F.col("mg").isNotNull() & F.col("mc").isNotNull()
-    spatial = F.when(both, F.col("mg") - F.col("mc")).otherwise(F.col("g_spatial")) if mode == "reference" else F.lit(0.0)
-    return s.select("band", "seg", (temporal + spatial).alias("delta"), (F.col("g_temporal") + F.col("g_spatial")).alias("g_delta"))
+    """band, seg, delta of the segments."""
+    return deltas(frames, mode, least_clear).where("seg is not null").select("band", "seg", F.col("own_delta").alias("delta"))
 
 
 def adaptive_correction(frames: DataFrame, mode: str = "reference", least_clear: int = 30) -> DataFrame:
-    """frames with `corrected` = l + the segment's delta; a cell without a segment stays missing. The table of segments (k rows a band) is broadcast."""
-    deltas = segment_deltas(frames, mode, least_clear).select("band", "seg", "delta")
-    return frames.join(F.broadcast(deltas), ["band", "seg"], "left").withColumn("corrected", F.when(F.col("seg").isNotNull(), F.col("l") + F.col("delta"))).drop("delta")
+    """frames with `corrected` = l + the segment's delta; a cell without a segment stays missing."""
+    return corrections(frames, mode, least_clear).drop("scene_corrected").withColumnRenamed("seg_corrected", "corrected")
 
 
 def ring_adaptive(frames: DataFrame, ring: Column) -> DataFrame:
     """Segment biases of the cells in a ring around the gap; a missing baseline mean counts as 0, an unlisted segment's delta is 0."""
     near = frames.where(ring & F.col("t0").isNotNull())
     deltas = near.groupBy("band", "seg").agg((F.avg("t0") - F.coalesce(F.avg("l"), F.lit(0.0))).alias("delta"))
-    return frames.join(F.broadcast(deltas), ["band", "seg"], "left").withColumn("corrected", F.col("l") + F.coalesce("delta", F.lit(0.0))).drop("delta")
+    return frames.join(deltas, ["band", "seg"], "left").withColumn("corrected", F.col("l") + F.coalesce("delta", F.lit(0.0))).drop("delta")
 
 
 def texture_heuristic(frames: DataFrame, share: float = 0.35, least_clear: int = 100) -> DataFrame:
@@ -82,7 +95,7 @@ def texture_heuristic(frames: DataFrame, share: float = 0.35, least_clear: int =
 def legacy_spatial_delta(frames: DataFrame) -> DataFrame:
     """l + the reference's gap mean minus clear mean of the segment, 0 where either is missing."""
     d = frames.groupBy("band", "seg").agg((_gap("t1") - _clear("t1")).alias("delta"))
-    return frames.join(F.broadcast(d), ["band", "seg"], "left").withColumn("corrected", F.col("l") + F.coalesce("delta", F.lit(0.0))).drop("delta")
+    return frames.join(d, ["band", "seg"], "left").withColumn("corrected", F.col("l") + F.coalesce("delta", F.lit(0.0))).drop("delta")
 
 
 def fill_tracker(raw: Column, temporal: Column) -> Column:

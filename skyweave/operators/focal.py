@@ -8,14 +8,49 @@ from pyspark.sql import functions as F
 from ..functions.expr import circle_offsets
 
 
-def _offsets(radius: float):
-    return F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in circle_offsets(radius)]))
+def _widths(radius: float) -> list[int]:
+    """For dy of 0, 1, ... how far a circle reaches along x."""
+    return [max(dx for y, dx in circle_offsets(radius) if y == dy) for dy in range(int(radius) + 1)]
+
+
+def _merged(how: str, widths: list[int]) -> dict:
+    """Names and partial aggregates of each width."""
+    if how not in ("avg", "max"):
+        raise ValueError(f"no such statistic: {how!r}")
+    return {f"{f}{w}": f for w in sorted(set(widths)) for f in (("sum", "count") if how == "avg" else ("max",))}
 
 
 def focal(cells: DataFrame, radius: float, how: str = "avg", value: str = "value") -> DataFrame:
-    """avg or max over a circle. Every valid cell sends its value to its neighbours, partial sums meet: no join."""
-    sent = cells.where(F.col(value).isNotNull()).withColumn("o", _offsets(radius))
-    return sent.groupBy("band", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(getattr(F, how)(value).alias("focal"))
+    """avg or max over a circle, at every place that a valid cell reaches, on the grid or beyond.
+
+    Values are sent along x, where a partial aggregate for each width of the circle meets, then these along y: 2 (2 r + 1) rows for a cell, not the circle's area, and no join.
+    """
+    widths = _widths(radius)
+    parts = _merged(how, widths)
+    reach = lambda c, n: F.explode(F.sequence(c - n, c + n))
+    along_x = cells.where(F.col(value).isNotNull()).select("band", "y", F.col("x").alias("_x"), F.col(value).cast("double").alias("_v"), reach(F.col("x"), max(widths)).alias("x"))
+    within = lambda w: F.when(F.abs(F.col("x") - F.col("_x")) <= w, F.col("_v"))
+    rows = along_x.groupBy("band", "y", "x").agg(*[getattr(F, f)(within(int(name[len(f):]))).alias(name) for name, f in parts.items()])
+    along_y = rows.select("band", F.col("y").alias("_y"), "x", *parts, reach(F.col("y"), len(widths) - 1).alias("y"))
+    far = F.abs(F.col("y") - F.col("_y"))
+    at = lambda f: F.coalesce(*[F.when(far == dy, F.col(f"{f}{w}")) for dy, w in enumerate(widths)])
+    grouped = along_y.groupBy("band", "y", "x")
+    if how == "max":
+        out = grouped.agg(F.max(at("max")).alias("focal"))
+    else:
+        out = grouped.agg(F.try_divide(F.sum(at("sum")), F.sum(at("count"))).alias("focal"))
+    return out.where("focal is not null")
+
+
+def focal_on_grid(cells: DataFrame, radius: float, value: str, name: str = "focal") -> DataFrame:
+    """cells with the mean of `value` over a circle, for tables that have a row for each cell of the grid: two window passes, no row is sent anywhere else."""
+    widths = _widths(radius)
+    parts = _merged("avg", widths)
+    line = Window.partitionBy("band", "y").orderBy("x")
+    column = Window.partitionBy("band", "x").orderBy("y")
+    rows = cells.select("*", *[getattr(F, f)(F.col(value)).over(line.rangeBetween(-int(k[len(f):]), int(k[len(f):]))).alias(f"_{k}") for k, f in parts.items()])
+    total = lambda f: sum((F.coalesce(F.sum(f"_{f}{widths[abs(d)]}").over(column.rangeBetween(d, d)), F.lit(0)) for d in range(1 - len(widths), len(widths))), F.lit(0.0))
+    return rows.select(*cells.columns, F.try_divide(total("sum"), total("count")).alias(name))
 
 
 def box_sums(cells: DataFrame, radius: int, columns: dict) -> DataFrame:
@@ -47,35 +82,47 @@ def moving_fit(pairs: DataFrame, radius: int) -> DataFrame:
 
 
 def bilinear(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
-    """Coarse values (band, cy, cx, value) at fine cells (band, y, x): four neighbours, clamped at the edge, all of which must be valid."""
-    gy, gx = (F.col("y") + 0.5) / factor - 0.5, (F.col("x") + 0.5) / factor - 0.5
+    """Coarse values (band, cy, cx, value) at fine cells (band, y, x): four neighbours, clamped at the edge, all of which must be valid.
+
+    Each coarse cell goes to the squares of four that it is a corner of, so that fine cells meet their square's four values in one join.
+    """
     edge = coarse.agg(F.max("cy").alias("my"), F.max("cx").alias("mx"))
-    four = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)]))
-    at = fine.select("band", "y", "x").withColumn("o", four).crossJoin(F.broadcast(edge))  # one row
-    wy = F.when(F.col("o.dy") == 1, gy - F.floor(gy)).otherwise(1 - (gy - F.floor(gy)))
-    wx = F.when(F.col("o.dx") == 1, gx - F.floor(gx)).otherwise(1 - (gx - F.floor(gx)))
-    near = at.select("band", "y", "x", (wy * wx).alias("w"), F.greatest(F.lit(0), F.least(F.floor(gy) + F.col("o.dy"), F.col("my"))).cast("int").alias("cy"), F.greatest(F.lit(0), F.least(F.floor(gx) + F.col("o.dx"), F.col("mx"))).cast("int").alias("cx"))
-    j = near.join(coarse.select("band", "cy", "cx", "value"), ["band", "cy", "cx"], "left")
-    return j.groupBy("band", "y", "x").agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("value"))
+
+    def corners(c: str, most: str):
+        """(start of a square, whether c is its far side) along one axis; beyond the edges the last cell stands for both sides."""
+        one = lambda at, far: F.struct(at.cast("long").alias("at"), F.lit(far).alias("far"))
+        inner = F.array(one(F.col(c), 0), one(F.col(c) - 1, 1))
+        low = F.when(F.col(c) == 0, F.array(one(F.lit(-1), 0))).otherwise(F.array().cast("array<struct<at:bigint,far:int>>"))
+        high = F.when(F.col(c) == F.col(most), F.array(one(F.col(c), 1))).otherwise(F.array().cast("array<struct<at:bigint,far:int>>"))
+        return F.explode(F.concat(inner, low, high))
+
+    sent = coarse.crossJoin(F.broadcast(edge)).withColumn("_y", corners("cy", "my")).withColumn("_x", corners("cx", "mx"))  # of one row
+    is_ = lambda fy, fx: F.max(F.when((F.col("_y.far") == fy) & (F.col("_x.far") == fx), F.col("value")))
+    squares = sent.groupBy("band", F.col("_y.at").alias("_oy"), F.col("_x.at").alias("_ox")).agg(is_(0, 0).alias("v00"), is_(0, 1).alias("v01"), is_(1, 0).alias("v10"), is_(1, 1).alias("v11"))
+    gy, gx = (F.col("y") + 0.5) / factor - 0.5, (F.col("x") + 0.5) / factor - 0.5
+    wy, wx = gy - F.floor(gy), gx - F.floor(gx)
+    start = lambda g, most: F.least(F.floor(g), F.col(most).cast("long"))
+    j = fine.select("band", "y", "x").crossJoin(F.broadcast(edge)).select("band", "y", "x", start(gy, "my").alias("_oy"), start(gx, "mx").alias("_ox")).join(squares, ["band", "_oy", "_ox"], "left")
+    value = F.col("v00") * ((1 - wy) * (1 - wx)) + F.col("v01") * ((1 - wy) * wx) + F.col("v10") * (wy * (1 - wx)) + F.col("v11") * (wy * wx)
+    return j.select("band", "y", "x", value.alias("value"))
 
 
 def edge_blend(stages: DataFrame, radius: float = 1.5, patched: str = "patched", raw: str = "raw") -> DataFrame:
-    """The focal mean of the patched image where raw is missing, raw where it is valid."""
-    smooth = focal(stages.select("band", "y", "x", F.col(patched).alias("value")), radius)
-    return stages.join(smooth, ["band", "y", "x"], "left").withColumn("blended", F.coalesce(raw, "focal")).drop("focal")
+    """The focal mean of the patched image where raw is missing, raw where it is valid. stages has a row for each cell of the grid."""
+    return focal_on_grid(stages, radius, patched, "_focal").withColumn("blended", F.coalesce(raw, "_focal")).drop("_focal")
 
 
 def feather(stages: DataFrame, radius: float = 5.0, raw: str = "raw", local: str = "patched") -> DataFrame:
-    """raw * w + local * (1 - w) with w the focal mean of raw's mask. raw is the masked target; where it is missing w counts as 0, so nothing withheld leaks."""
-    weight = focal(stages.select("band", "y", "x", F.col(raw).isNotNull().cast("double").alias("value")), radius)
-    w = F.when(F.col(raw).isNotNull(), F.col("focal")).otherwise(0.0)
-    return stages.join(weight, ["band", "y", "x"], "left").withColumn("feathered", F.coalesce(F.col(raw), F.lit(0.0)) * w + F.col(local) * (1 - w)).drop("focal")
+    """raw * w + local * (1 - w) with w the focal mean of raw's mask. raw is the masked target; where it is missing w counts as 0, so nothing withheld leaks. stages has a row for each cell of the grid."""
+    masked = stages.withColumn("_mask", F.col(raw).isNotNull().cast("double"))
+    w = F.when(F.col(raw).isNotNull(), F.col("_focal")).otherwise(0.0)
+    return focal_on_grid(masked, radius, "_mask", "_focal").withColumn("feathered", F.coalesce(F.col(raw), F.lit(0.0)) * w + F.col(local) * (1 - w)).drop("_focal", "_mask")
 
 
-def water_guarded_mask(pixels: DataFrame, radius: float = 6.0) -> DataFrame:
-    """pixels (band, y, x, bad, nir, red, green, water_bit, occurrence, cloud_bit) with `masked`: dilated bad cells or dark land, never water, and every cloud."""
+def water_guarded_mask(pixels: DataFrame, radius: float = 6.0, occurrence: float = 20) -> DataFrame:
+    """pixels (band, y, x, bad, nir, red, green, water_bit, occurrence, cloud_bit) with `masked`: dilated bad cells or dark land, never water (above `occurrence` percent of the time, by its bit or by its index), and every cloud."""
     grown = focal(pixels.where("bad").select("band", "y", "x", F.lit(1.0).alias("value")), radius, "max")
     j = pixels.join(grown, ["band", "y", "x"], "left")
-    water = F.col("water_bit") | (F.coalesce("occurrence", F.lit(0.0)) > 20) | F.coalesce((F.col("green") - F.col("nir")) / F.when(F.col("green") + F.col("nir") != 0, F.col("green") + F.col("nir")) > 0, F.lit(False))
+    water = F.col("water_bit") | (F.coalesce("occurrence", F.lit(0.0)) > occurrence) | F.coalesce((F.col("green") - F.col("nir")) / F.when(F.col("green") + F.col("nir") != 0, F.col("green") + F.col("nir")) > 0, F.lit(False))
     shadow = F.coalesce((F.col("nir") < 12000) & (F.col("red") < 9000), F.lit(False)) & ~water
     return j.withColumn("masked", ((F.col("focal").isNotNull() | shadow) & ~water) | F.col("cloud_bit")).drop("focal")

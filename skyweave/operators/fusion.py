@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip
-from .temporal import interpolate
+from ..functions.expr import clip, normalized_difference
+from .temporal import interpolate_on_grid
 
 
 def pair_weights(t1: int, t2: int, when: int) -> tuple[float, float]:
@@ -35,9 +35,19 @@ def fuse_date(fine: DataFrame, coarse: DataFrame, grid: DataFrame, golden: int,
     season = coarse.where(F.col("d").between(first, last))
 
     def filled(day: int, name: str) -> DataFrame:
-        own = season.where(F.col("d") == day).select("band", "y", "x", F.col("value").alias("observed"))
-        return interpolate(season, grid.join(own, ["band", "y", "x"], "left"), day, max_distance).select("band", "y", "x", F.col("filled").alias(name))
+        return interpolate_on_grid(season, grid, day, max_distance).select("band", "y", "x", F.col("filled").alias(name))
 
     sharp = fine.where(F.col("d") == golden).select("band", "y", "x", F.col("value").alias("l_golden"))
     j = grid.join(sharp, ["band", "y", "x"], "left").join(filled(golden, "m_golden"), ["band", "y", "x"]).join(filled(when, "m_target"), ["band", "y", "x"])
     return j.withColumn("fused", single_delta(F.col("l_golden"), F.col("m_golden"), F.col("m_target")))
+
+
+def window_fusion(rules: DataFrame, coarse: DataFrame) -> DataFrame:
+    """Rules (band, y, x, alpha, beta) of a golden day applied to coarse images on the fine grid (band, y, x, value and whatever else, such as a day): `fused` = alpha * value + beta."""
+    return coarse.join(rules.select("band", "y", "x", "alpha", "beta"), ["band", "y", "x"]).withColumn("fused", F.col("alpha") * F.col("value") + F.col("beta")).drop("alpha", "beta")
+
+
+def fused_index(fused: DataFrame, nir: str, red: str, keys: list[str]) -> DataFrame:
+    """keys and the normalised difference of two bands of fused images."""
+    wide = fused.where(F.col("band").isin(nir, red)).groupBy(*keys).pivot("band", [nir, red]).agg(F.max("fused"))
+    return wide.select(*keys, normalized_difference(F.col(nir), F.col(red)).alias("ndvi"))

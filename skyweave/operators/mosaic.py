@@ -7,12 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import bits_clear, reflectance
+
 
 def daily_mosaic(observations: DataFrame, keys: Sequence[str] = ("day", "d", "band", "y", "x")) -> DataFrame:
     """Of the valid observations of a key, the one of the greatest source_id. A partial and a final hash aggregate, no sort."""
     return observations.where("dn is not null").groupBy(*keys).agg(F.max_by("dn", "source_id").alias("value"))
 
 
+def prepared(observations: DataFrame, bands: Sequence[str], mask: int = 63, image: Sequence[str] = ("sensor", "d", "y", "x")) -> DataFrame:
+    """Observations (with qa and radsat) of these bands as reflectances: quality bits clear, nothing saturated, and every band valid at that place of that image.
+
+    The bands share a mask: a cell that one of them lacks is missing in all. Negative reflectances stay.
+    """
+    good = observations.where(F.col("band").isin(*bands) & bits_clear(F.col("qa"), mask) & (F.col("radsat") == 0) & F.col("dn").isNotNull())
+    valid = F.size(F.collect_set("band").over(Window.partitionBy(*image)))
+    return good.withColumn("_n", valid).where(F.col("_n") == len(set(bands))).drop("_n").withColumn("value", reflectance(F.col("dn")))
+
+
 def quality_mosaic(cells: DataFrame, when: int) -> DataFrame:
     """For each band and cell the value and day nearest `when`, the earlier one on a tie, that day itself left out."""
     best = F.max_by(F.struct("value", "d"), F.struct(-F.abs(F.col("d") - when), -F.col("d")))

@@ -7,48 +7,86 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import checked_window
+from ..functions.expr import checked_window, day_number
 
 KEYS = ("band", "y", "x")
 
 
-def brackets(cells: DataFrame, when: int, max_distance: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def _days_twice(first: int, last: int) -> Column:
+    """Whether a day occurs twice in a group of days of a range: the days seen are bits of a few longs."""
+    parts = range(first, last + 1, 62)
+    if len(parts) > 16:
+        return F.count("d") > F.count_distinct("d")
+    seen = [F.bit_count(F.coalesce(F.bit_or(F.when(F.col("d").between(p, p + 61), F.expr(f"shiftleft(1L, d - ({p}))"))), F.lit(0))) for p in parts]
+    return F.count("d") > sum(seen[1:], seen[0])
+
+
+def brackets(cells: DataFrame, when: int | str, max_distance: int, keys: Sequence[str] = KEYS, days: dict[str, int] | None = None) -> DataFrame:
     """For each key the nearest values before and after day `when`, not further than max_distance (inclusive), that day left out.
 
-    One partial and one final aggregate: the as-of join in both directions at once.
+    One partial and one final aggregate: the as-of join in both directions at once. days: names of more columns, the values of these days, from the same
+    pass. A day that occurs twice in a series fails the query when it runs: days must be mosaicked first.
     """
-    n = checked_window(max_distance)
-    before, after = F.col("d") < when, F.col("d") > when
+    t, n, days = day_number(when), checked_window(max_distance), days or {}
+    near = F.abs(F.col("d") - t).between(1, n)
     at = lambda test, c: F.when(test, F.col(c))
-    near = cells.where(F.abs(F.col("d") - when).between(1, n) & F.col("value").isNotNull())
-    return near.groupBy(*keys).agg(
-        F.max_by(at(before, "value"), at(before, "d")).alias("vb"), F.max(at(before, "d")).alias("db"), F.min_by(at(after, "value"), at(after, "d")).alias("va"), F.min(at(after, "d")).alias("da"))
+    before, after = near & (F.col("d") < t), near & (F.col("d") > t)
+    first, last = min([t - n, *days.values()]), max([t + n, *days.values()])
+    rows = cells.where(F.col("d").between(first, last) & (near | F.col("d").isin(*days.values())) & F.col("value").isNotNull())
+    once = F.when(_days_twice(first, last), F.raise_error(F.lit("a day occurs twice in a series"))).otherwise(F.max(at(before, "d")))
+    return rows.groupBy(*keys).agg(
+        F.max_by(at(before, "value"), at(before, "d")).alias("vb"), once.alias("db"), F.min_by(at(after, "value"), at(after, "d")).alias("va"), F.min(at(after, "d")).alias("da"),
+        *[F.max(at(F.col("d") == d, "value")).alias(name) for name, d in days.items()])
 
 
 def interpolated(vb: Column, va: Column, age_before: Column, age_after: Column) -> Column:
     return vb + (age_before.cast("double") / (age_before + age_after)) * (va - vb)
 
 
-def interpolate(cells: DataFrame, target: DataFrame, when: int, max_distance: int = 32, *, allow_one_sided: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every row of target (keys, observed) with prediction, filled, ages, support_count, status and filled_origin.
+def _usable(cells: DataFrame, valid: str | None, columns: Sequence[str]) -> DataFrame:
+    """cells that a mask lets through, after a look at the columns' names and the mask's type."""
+    missing = [c for c in [*columns, *([valid] if valid else [])] if c not in cells.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    if valid and dict(cells.dtypes)[valid] != "boolean":
+        raise ValueError(f"{valid} must be boolean")
+    return cells.where(valid) if valid else cells
 
-    status: 0 unresolved, 1 interpolated, 2 prior, 3 future. filled_origin: 0 none, 1 observed, else status + 1. Ages stay where one side
-    alone was found; status is of the prediction, also where the target was observed.
-    """
-    j = target.join(brackets(cells, when, max_distance, keys), list(keys), "left")
+
+def _estimates(joined: DataFrame, t: int, kept: Sequence[str], allow_one_sided: bool) -> DataFrame:
     both = F.col("db").isNotNull() & F.col("da").isNotNull()
-    age_b, age_a = F.lit(when) - F.col("db"), F.col("da") - F.lit(when)
+    age_b, age_a = F.lit(t) - F.col("db"), F.col("da") - F.lit(t)
     prediction, status = F.when(both, interpolated(F.col("vb"), F.col("va"), age_b, age_a)), F.when(both, 1)
     if allow_one_sided:
         prediction = prediction.when(F.col("db").isNotNull(), F.col("vb")).when(F.col("da").isNotNull(), F.col("va"))
         status = status.when(F.col("db").isNotNull(), 2).when(F.col("da").isNotNull(), 3)
-    out = j.withColumn("prediction", prediction).withColumn("status", status.otherwise(0))
+    out = joined.withColumn("prediction", prediction).withColumn("status", status.otherwise(0))
     return out.select(
-        *target.columns, "prediction", F.coalesce("observed", "prediction").alias("filled"), age_b.cast("double").alias("before_age_days"), age_a.cast("double").alias("after_age_days"),
+        *kept, "prediction", F.coalesce("observed", "prediction").alias("filled"), age_b.cast("double").alias("before_age_days"), age_a.cast("double").alias("after_age_days"),
         (F.col("db").isNotNull().cast("int") + F.col("da").isNotNull().cast("int")).alias("support_count"), "status",
         F.when(F.col("observed").isNotNull(), 1).when(F.col("status") > 0, F.col("status") + 1).otherwise(0).alias("filled_origin"))
 
 
+def interpolate(cells: DataFrame, target: DataFrame, when: int | str, max_distance: int = 32, *, allow_one_sided: bool = False, keys: Sequence[str] = KEYS, valid: str | None = None) -> DataFrame:
+    """Every row of target (keys, observed) with prediction, filled, ages, support_count, status and filled_origin.
+
+    when: a day's number or its date as YYYY-MM-DD. valid: a boolean column of cells; what it does not let through is missing.
+    status: 0 unresolved, 1 interpolated, 2 prior, 3 future. filled_origin: 0 none, 1 observed, else status + 1. Ages stay where one side
+    alone was found; status is of the prediction, also where the target was observed. Bad arguments raise ValueError; a day that occurs twice in a series fails the query.
+    """
+    t = day_number(when)
+    _usable(target, None, [*keys, "observed"])
+    j = target.join(brackets(_usable(cells, valid, [*keys, "d", "value"]), t, max_distance, keys), list(keys), "left")
+    return _estimates(j, t, target.columns, allow_one_sided)
+
+
+def interpolate_on_grid(cells: DataFrame, grid: DataFrame, when: int | str, max_distance: int = 32, *, allow_one_sided: bool = False, keys: Sequence[str] = KEYS, days: dict[str, int] | None = None) -> DataFrame:
+    """interpolate() for the cells of a grid, the target day's own values (observed) and those of other `days` taken in the same pass over cells."""
+    t, days = day_number(when), days or {}
+    j = grid.join(brackets(cells, t, max_distance, keys, {"observed": t, **days}), list(keys), "left")
+    return _estimates(j, t, [*grid.columns, "observed", *days], allow_one_sided)
+
+
 def check_unique_days(cells: DataFrame, keys: Sequence[str] = KEYS) -> None:
     if not cells.groupBy(*keys, "d").count().where("count > 1").isEmpty():
         raise ValueError("a day occurs twice in a series")
@@ -83,11 +121,15 @@ def linear_impute(cells: DataFrame, target: DataFrame, when: int, keys: Sequence
     return target.join(fit, list(keys), "left").select(*target.columns, F.col("intercept").alias("prediction"), F.coalesce("observed", "intercept").alias("filled"))
 
 
-def pass_frames(cells: DataFrame, origin: int) -> DataFrame:
-    """For each observed day: raw, what the fit gives, and the fit only where the raw is missing."""
-    fit = linear_fit(cells, origin)
+def pass_frames(passes: DataFrame, clear: DataFrame, origin: int) -> DataFrame:
+    """For each pass of a cell: raw as it was seen (clouds too), what the fit of the clear days gives, and the fit put where the pass is not clear.
+
+    passes and clear: band, y, x, d, value; a cell of too few clear days has no fit.
+    """
     p = F.col("slope") * (F.col("d") - origin) + F.col("intercept")
-    return cells.join(fit, list(KEYS)).select(*KEYS, "d", F.col("value").alias("raw"), p.alias("imputed"), F.coalesce("value", p).alias("patched"))
+    own = clear.select(*KEYS, "d", F.col("value").alias("_clear"))
+    j = passes.select(*KEYS, "d", F.col("value").alias("raw")).join(own, [*KEYS, "d"], "left").join(linear_fit(clear, origin), list(KEYS), "left")
+    return j.select(*KEYS, "d", "raw", p.alias("imputed"), F.coalesce("_clear", p).alias("patched"))
 
 
 def support_class(cells: DataFrame, grid: DataFrame, when: int) -> DataFrame:

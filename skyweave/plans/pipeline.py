@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.correct import adaptive_correction, fill_tracker, global_correction
+from ..operators.correct import corrections, fill_tracker
 from ..operators.focal import edge_blend
 
 
@@ -17,13 +17,11 @@ def stages(frames: DataFrame, mode: str = "reference", radius: float = 1.5) -> D
 
     The baseline falls back on the reference image; each stage fills the gaps of the target alone.
     """
-    safe = frames.withColumn("l", F.coalesce("l", "t1"))
-    whole = global_correction(safe, mode).withColumnRenamed("corrected", "_global")
-    both = adaptive_correction(whole, mode).withColumnRenamed("corrected", "_adaptive")
-    patched = both.withColumn("raw", F.col("t0")).withColumn("patched", F.coalesce("t0", "_adaptive"))
+    both = corrections(frames.withColumn("l", F.coalesce("l", "t1")), mode)
+    patched = both.withColumn("raw", F.col("t0")).withColumn("patched", F.coalesce("t0", "seg_corrected"))
     out = edge_blend(patched, radius)
     return out.select(
-        "band", "y", "x", F.col("t0").alias("broken"), F.coalesce("t0", "l").alias("temporal"), F.coalesce("t0", "_global").alias("global"), F.col("patched").alias("adaptive"), "blended", "seg",
+        "band", "y", "x", F.col("t0").alias("broken"), F.coalesce("t0", "l").alias("temporal"), F.coalesce("t0", "scene_corrected").alias("global"), F.col("patched").alias("adaptive"), "blended", "seg",
         fill_tracker(F.col("t0"), F.coalesce("t0", "l")).alias("tracker"))
 
 

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyweave import catalog
 from skyweave.functions import expr as X
-from skyweave.operators import correct, focal, fusion, holdout, metrics, temporal
+from skyweave.operators import correct, focal, fusion, holdout, metrics, mosaic, segment, temporal
 from skyweave.plans import pipeline
 from skyweave.sources import cubes
 
@@ -69,19 +70,47 @@ def test_linear_series_are_found_exactly(spark):
 
 
 def test_arguments_are_checked(spark):
-    for bad in (0, True, 1.5):
+    for bad in (0, True, 1.5, -3, "7"):
         with pytest.raises(ValueError):
             X.checked_window(bad)
-    for bad in ("2022-7-1", "20220701", "2022-02-30", None):
+    for bad in ("2022-7-1", "20220701", "2022-02-30", None, "2022-07-01T00:00"):
         with pytest.raises(ValueError):
             X.checked_date(bad)
     with pytest.raises(ValueError):
         temporal.check_unique_days(spark.createDataFrame([("b", 0, 0, 1, 0.1), ("b", 0, 0, 1, 0.2)], CELLS))
-    for call in (lambda: holdout.holdout(F.lit(1), F.lit(1), 3, 3, "moon"), lambda: correct.global_delta(None, "other"), lambda: fusion.pair_weights(1, 1, 2), lambda: cubes.checked_manifest({"units": "dn"})):
+    for call in (lambda: holdout.holdout(F.lit(1), F.lit(1), 3, 3, "moon"), lambda: correct.deltas(None, "other"), lambda: fusion.pair_weights(1, 1, 2), lambda: cubes.checked_manifest({"units": "dn"}), lambda: focal.focal(None, 1.5, "median")):
         with pytest.raises(ValueError):
             call()
 
 
+def test_interpolation_checks_what_it_gets(spark):
+    cells = spark.createDataFrame([("b", 0, 0, 100, 0.1, True, 1), ("b", 0, 0, 110, 0.2, True, 1)], CELLS + ", ok boolean, flag int")
+    target = spark.createDataFrame([("b", 0, 0, None)], "band string, y int, x int, observed double")
+    for bad in ({"when": "1970-4-16"}, {"max_distance": 0}, {"max_distance": True}, {"valid": "flag"}, {"valid": "absent"}, {"target": target.drop("observed")}, {"cells": cells.drop("value")}):
+        with pytest.raises(ValueError):
+            temporal.interpolate(**({"cells": cells, "target": target, "when": 105} | bad))
+    assert temporal.interpolate(cells, target, "1970-04-16", valid="ok").first()["prediction"] == pytest.approx(0.15)
+    assert temporal.interpolate(cells.withColumn("ok", F.col("d") < 105), target, 105, valid="ok").first()["prediction"] is None
+    for distance in (5, 32, 700):
+        twice = cells.union(cells.where("d = 110"))
+        with pytest.raises(Exception, match="a day occurs twice in a series"):
+            temporal.interpolate(twice, target, 105, distance).collect()
+        assert temporal.interpolate(twice, target, 300, 20).first()["status"] == 0  # outside the window
+
+
+def test_days_on_a_grid_come_from_one_pass(spark):
+    rng = np.random.default_rng(4)
+    rows = [("b", 0, x, d, float(rng.random())) for x in range(20) for d in range(90, 121) if rng.random() < 0.4]
+    cells = spark.createDataFrame(rows, CELLS)
+    grid = spark.createDataFrame([("b", 0, x) for x in range(22)], "band string, y int, x int")
+    own = {(r[2], r[3]): r[4] for r in rows}
+    one = {r["x"]: r for r in temporal.interpolate_on_grid(cells, grid, 105, 6, allow_one_sided=True, days={"late": 118}).collect()}
+    target = grid.join(cells.where("d = 105").select("band", "y", "x", F.col("value").alias("observed")), ["band", "y", "x"], "left")
+    for r in temporal.interpolate(cells, target, 105, 6, allow_one_sided=True).collect():
+        assert all(one[r["x"]][k] == r[k] for k in ("observed", "prediction", "filled", "status", "support_count", "filled_origin"))
+        assert one[r["x"]]["late"] == own.get((r["x"], 118))
+
+
 def test_holdout_counts(spark):
     g = spark.range(167 * 167).select((F.col("id") % 167).cast("int").alias("x"), F.expr("cast(id div 167 as int)").alias("y"))
     for pattern, n in (("cloud", 6385), ("stripes", 8489), ("scene", 27889)):
@@ -158,6 +187,43 @@ def test_expressions(spark):
     assert len(X.circle_offsets(1.5)) == 9 and len(X.circle_offsets(5)) == 81 and len(X.circle_offsets(6)) == 113
 
 
+def brute_focal(values, radius, how):
+    offsets = X.circle_offsets(radius)
+    out = {}
+    for y, x in {(a + dy, b + dx) for a, b in values for dy, dx in offsets}:
+        near = [values[y + dy, x + dx] for dy, dx in offsets if (y + dy, x + dx) in values]
+        if near:
+            out[y, x] = max(near) if how == "max" else sum(near) / len(near)
+    return out
+
+
+@pytest.mark.parametrize("radius", [1.0, 1.5, 2.3, 5.0, 6.0])
+def test_circles_against_brute_force(spark, radius):
+    rng = np.random.default_rng(3)
+    values = {(y, x): float(rng.normal()) for y in range(14) for x in range(17) if rng.random() < 0.15}
+    cells = spark.createDataFrame([("b", y, x, v) for (y, x), v in values.items()] + [("b", 0, 40, None)], "band string, y int, x int, value double")
+    for how in ("avg", "max"):
+        got = {(r["y"], r["x"]): r["focal"] for r in focal.focal(cells, radius, how).collect()}
+        want = brute_focal(values, radius, how)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    dense = spark.createDataFrame([("b", y, x, values.get((y, x))) for y in range(14) for x in range(17)], "band string, y int, x int, value double")
+    want = brute_focal(values, radius, "avg")
+    for r in focal.focal_on_grid(dense, radius, "value").collect():
+        assert r["focal"] == pytest.approx(want.get((r["y"], r["x"])), abs=1e-12)
+
+
+def test_bilinear_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    values = {(y, x): float(rng.normal()) for y in range(4) for x in range(5) if rng.random() < 0.85}
+    coarse = spark.createDataFrame([("b", y, x, v) for (y, x), v in values.items()], "band string, cy int, cx int, value double")
+    fine = spark.createDataFrame([("b", y, x) for y in range(24) for x in range(30)], "band string, y int, x int")
+    my, mx = (max(k[i] for k in values) for i in (0, 1))
+    for r in focal.bilinear(coarse, fine, 5).collect():
+        gy, gx = (r["y"] + 0.5) / 5 - 0.5, (r["x"] + 0.5) / 5 - 0.5
+        four = [((gy - np.floor(gy) if dy else 1 - gy + np.floor(gy)) * (gx - np.floor(gx) if dx else 1 - gx + np.floor(gx)), values.get((min(my, max(0, int(np.floor(gy)) + dy)), min(mx, max(0, int(np.floor(gx)) + dx))))) for dy in (0, 1) for dx in (0, 1)]
+        assert r["value"] == (None if any(v is None for _, v in four) else pytest.approx(sum(w * v for w, v in four)))
+
+
 def test_bilinear_keeps_a_plane(spark):
     coarse = spark.createDataFrame([("b", y, x, float(y + 2 * x)) for y in range(4) for x in range(4)], "band string, cy int, cx int, value double")
     fine = spark.createDataFrame([("b", y, x) for y in range(5, 15) for x in range(5, 15)], "band string, y int, x int")
@@ -172,13 +238,111 @@ def test_feather_does_not_leak(spark):
 
 
 def test_cube_round_trip(spark, tmp_path):
-    manifest = {"units": cubes.UNITS, "bands": list(cubes.BANDS), "width": 16, "height": 16}
+    manifest = {"units": cubes.UNITS, "bands": list(cubes.BANDS), "target_date": "2022-07-01", "crs": "EPSG:32616", **cubes.chip_grid(730_011.0, 4_638_444.0, 480)}
     cells = spark.createDataFrame([(datetime.date(2022, 7, 1), "SR_B5", 0, 0, 0.5)], "day date, band string, y int, x int, value double")
     cubes.write_cube(cells, str(tmp_path / "cube"), manifest)
     back, read = cubes.read_cube(spark, str(tmp_path / "cube"))
-    assert read == manifest and back.select("day", "band", "y", "x", "value").collect() == cells.collect()
+    assert read == manifest | {"qa_clear_fraction_by_date": {"2022-07-01": 0.0}} and back.select("day", "band", "y", "x", "value").collect() == cells.collect()
     assert cubes.snapped(31.0, 89.0) == (30.0, 90.0, 2)
     record = json.loads(pipeline.run_record({"window": 5}, ["2022-07-01"], {"rmse": None}, {"cube": b"x"}))
     assert len(record["sha256"]["cube"]) == 64
     with pytest.raises(ValueError):
         pipeline.run_record({}, [], {"rmse": float("nan")}, {})
+    for bad in ({"crs": "EPSG:4326"}, {"crs": "Michigan"}, {"transform": [30, 0, 5, 0, -30, 90]}, {"transform": [30, 1, 30, 0, -30, 90]}, {"target_date": "2022-7-1"}, {"width": 9}, {"height": 513}, {"bands": ["SR_B4"]}):
+        with pytest.raises(ValueError):
+            cubes.checked_manifest(manifest | bad)
+    for bad in (cells.withColumn("y", F.lit(16)), cells.withColumn("x", F.lit(-1)), cells.withColumn("band", F.lit("SR_B2")), cells.withColumn("day", F.lit("2022-07-02").cast("date"))):
+        with pytest.raises(ValueError):
+            cubes.write_cube(bad, str(tmp_path / "bad"), manifest)
+
+
+def test_chip_grid_lies_on_whole_steps():
+    g = cubes.chip_grid(730_011.0, 4_638_444.0, 5000)
+    assert g["width"] == g["height"] == 167 and g["transform"] == [30, 0, 727_500, 0, -30, 4_640_970]
+
+
+def test_clear_fractions(spark):
+    manifest = {"bands": ["a", "b"], "width": 2, "height": 2}
+    day = datetime.date(2022, 7, 1)
+    cells = spark.createDataFrame([(day, "a", 0, 0, 1.0), (day, "b", 0, 0, 1.0), (day, "a", 0, 1, 1.0), (day, "b", 0, 1, None)], "day date, band string, y int, x int, value double")
+    assert cubes.clear_fractions(cells, manifest) == {"2022-07-01": 0.25}
+
+
+def test_layers_are_written_and_read(spark, tmp_path):
+    cells = spark.createDataFrame([("b", 0, x, d, 0.1 * x) for x in range(4) for d in (100, 110)], CELLS)
+    target = spark.createDataFrame([("b", 0, x, None if x else 0.7) for x in range(4)], "band string, y int, x int, observed double")
+    truth = target.select("band", "y", "x", F.lit(0.5).alias("truth"), (F.col("x") > 1).alias("held"))
+    layers = pipeline.report_layers(temporal.interpolate(cells, target, 105), truth)
+    pipeline.write_layers(layers, str(tmp_path / "layers"))
+    back = spark.read.parquet(str(tmp_path / "layers"))
+    assert sorted(back.select(*layers.columns).collect()) == sorted(layers.collect()) and len(layers.columns) == 14
+    stages = pipeline.stages(spark.createDataFrame([("b", 0, x, None if x else 0.3, 0.2, 0.2, 0) for x in range(4)], "band string, y int, x int, t0 double, t1 double, l double, seg int"))
+    pipeline.write_layers(stages, str(tmp_path / "stages"))
+    assert spark.read.parquet(str(tmp_path / "stages")).where("broken is null").count() == 3
+
+
+def test_bands_share_a_mask(spark):
+    rows = [("A", 1, 0, 0, "v", 10.0, 0, 0), ("A", 1, 0, 0, "c", 20.0, 0, 0), ("A", 1, 0, 1, "v", 10.0, 0, 0), ("A", 1, 0, 1, "c", 20.0, 8, 0), ("A", 1, 0, 2, "v", 10.0, 0, 1), ("A", 1, 0, 2, "c", 20.0, 0, 0), ("B", 1, 0, 3, "v", None, 0, 0), ("B", 1, 0, 3, "c", 1.0, 0, 0), ("B", 1, 0, 4, "v", -9000.0, 64, 0), ("B", 1, 0, 4, "c", 1.0, 0, 0), ("B", 1, 0, 4, "x", 1.0, 1, 1)]
+    frame = spark.createDataFrame(rows, "sensor string, d int, y int, x int, band string, dn double, qa int, radsat int")
+    got = {(r["sensor"], r["x"], r["band"]): r["value"] for r in mosaic.prepared(frame, ("v", "c")).collect()}
+    assert got.keys() == {("A", 0, "v"), ("A", 0, "c"), ("B", 4, "v"), ("B", 4, "c")} and got["B", 4, "v"] < -0.4
+
+
+def test_passes_keep_their_clouds(spark):
+    clear = spark.createDataFrame([("b", 0, 0, d, 1.0 + d) for d in (0, 2, 8)] + [("b", 0, 1, 0, 5.0)], CELLS)
+    passes = clear.union(spark.createDataFrame([("b", 0, 0, 5, 99.0), ("b", 0, 1, 3, 7.0), ("b", 0, 2, 3, 1.0)], CELLS))
+    got = {(r["x"], r["d"]): (r["raw"], r["imputed"], r["patched"]) for r in temporal.pass_frames(passes, clear, 0).collect()}
+    assert got[0, 5] == (99.0, pytest.approx(6.0), pytest.approx(6.0)) and got[0, 2] == (3.0, pytest.approx(3.0), 3.0)
+    assert got[1, 3] == (7.0, None, None) and got[2, 3] == (1.0, None, None) and got[1, 0] == (5.0, None, 5.0)
+
+
+def test_segments_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(2)
+    centres = np.array([[0.1, 0.2], [0.5, 0.5], [0.9, 0.1], [0.4, 0.9]])
+    rows = [(i // 40, i % 40, *(float(v) for v in centres[rng.integers(4)] + 0.03 * rng.normal(size=2))) for i in range(1200)] + [(99, 0, None, 0.3)]
+    pixels = spark.createDataFrame(rows, "y int, x int, a double, b double")
+    runs = [{(r["y"], r["x"]): r["seg"] for r in segment.kmeans_segments(pixels.repartition(n), ["a", "b"], n=600).collect()} for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == 1200 and set(runs[0].values()) == {0, 1, 2, 3}
+    points = {(y, x): np.array([a, b]) for y, x, a, b in rows if a is not None}
+    mean = [np.mean([points[k] for k, s in runs[0].items() if s == i], axis=0) for i in range(4)]
+    # labels are in order of the centres, and every pixel is of the nearest one
+    assert [tuple(m) for m in mean] == sorted(tuple(m) for m in mean)
+    scale = np.std([p for p in points.values()], axis=0)
+    assert all(s == int(np.argmin([np.sum(((points[k] - m) / scale) ** 2) for m in mean])) for k, s in runs[0].items())
+
+
+def test_sampling_is_repeatable(spark):
+    cells = spark.range(900).select((F.col("id") % 30).cast("int").alias("y"), F.expr("cast(id div 30 as int)").alias("x"))
+    runs = [sorted((r["y"], r["x"]) for r in segment.sample_pixels(cells.repartition(n), 50).collect()) for n in (1, 5, 13)]
+    assert runs[0] == runs[1] == runs[2] and len(set(runs[0])) == 50 and len({y for y, _ in runs[0]}) > 15
+
+
+def test_same_date_gives_the_fine_image_back(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b)) for a, b in rng.uniform(0.01, 0.99, (50, 2))]
+    for r in spark.createDataFrame(rows, "l double, m double").select("l", fusion.single_residual(F.col("l"), F.col("m"), F.col("m")).alias("f"), fusion.dual_residual(F.col("l"), F.col("m"), F.col("l"), F.col("m"), F.col("m"), 0.3, 0.7).alias("g")).collect():
+        assert r["f"] == pytest.approx(r["l"]) and r["g"] == pytest.approx(r["l"])
+
+
+def test_window_fusion_follows_its_rules(spark):
+    rules = spark.createDataFrame([("n", 0, x, 2.0, 0.1) for x in range(3)] + [("r", 0, x, 1.0, 0.0) for x in range(3)], "band string, y int, x int, alpha double, beta double")
+    coarse = spark.createDataFrame([(b, 0, x, d, 0.1 * (x + d)) for b in "nr" for x in range(3) for d in (1, 2)], "band string, y int, x int, d int, value double")
+    for r in fusion.fused_index(fusion.window_fusion(rules, coarse), "n", "r", ["d", "y", "x"]).collect():
+        m = 0.1 * (r["x"] + r["d"])
+        assert r["ndvi"] == pytest.approx((2 * m + 0.1 - m) / (2 * m + 0.1 + m))
+
+
+def test_results_are_compared_with_a_tolerance(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.1), (4, 1.0)], "k int, v double")
+    b = spark.createDataFrame([(1, 0.5 + 1e-12), (2, 0.3), (3, 0.2), (5, 1.0)], "k int, v double")
+    assert sorted(r["k"] for r in metrics.compare(a, b, ["k"], "v", 1e-10).collect()) == [2, 3, 4, 5]
+
+
+def test_days_that_are_needed_are_read_alone(spark, small, capsys):
+    catalog.Events(spark, small).filled(True).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+    catalog.Parts(spark, small).frames.explain("formatted")
+    assert "GreaterThanOrEqual(l_shipdate," in capsys.readouterr().out
+    pipeline.stages(catalog.Parts(spark, small).frames).explain("formatted")
+    assert capsys.readouterr().out.split("===== Subqueries")[0].count("Location:") <= 6
