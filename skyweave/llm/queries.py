@@ -49,12 +49,17 @@ def op6_positional_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents")).drop("notices")
 
 
-def op7_checked_spans(spark: SparkSession, folder: str) -> DataFrame:
-    docs = pii.find_pii(_table(spark, folder, "documents").select("doc_id", "text"))
+def _personal_data(spark: SparkSession, folder: str, kinds: tuple[pii.Kind, ...]) -> DataFrame:
+    docs = pii.find_pii(_table(spark, folder, "documents").select("doc_id", "text"), kinds)
     names = [k.name for k in pii.BASE]
     base = F.filter("pii", lambda x: x["kind"].isin(names))
     counts = [F.size(F.array_remove(F.transform("pii", lambda x: x["kind"] == k), False)).cast("long").alias(f"n_{k}") for k in names]
-    return docs.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+    top = F.coalesce(F.array_max(F.transform("pii", lambda x: x["score"])), F.lit(0.0))
+    return docs.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"), top.alias("top_score"))
+
+
+def op7_checked_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return _personal_data(spark, folder, pii.KINDS)
 
 
 def op8_shortest_pack_first(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +88,7 @@ def base_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 def base_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """What op7 finds without its own kinds."""
-    return op7_checked_spans(spark, folder).drop("spans")
+    return _personal_data(spark, folder, pii.BASE).drop("spans", "top_score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -367,6 +367,50 @@ def test_language_accuracy_on_held_out(spark, middle):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got if r["held_out"]]) > 0.97
 
 
+def test_languages_against_brute_force(docs, rows):
+    """The same predictions from n-grams taken one by one, with the model's numbers."""
+    model = langid.fit_languages(docs)
+    n_docs = sum(1 for r in rows.values() if langid.fold(r["doc_id"]) and r["lang"] is not None and r["text"] is not None)
+
+    def features(text):
+        codes = [32 if ord(c) < 65 or ord(c) == 160 else ord(c) for c in text.lower()]
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(codes) - n + 1):
+                h = n * 0x51ED27 + 1
+                for k in range(n):
+                    h = (h ^ (codes[i + k] * (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)[k] & 0xFFFFFFFF)) * 0x2C1B3C6D & 0xFFFFFFFF
+                out[h >> 18] += 1
+        return out
+
+    found = Counter(f for r in rows.values() if langid.fold(r["doc_id"]) and r["lang"] is not None and r["text"] is not None for f in features(r["text"]))
+    got = by_id(langid.predict_languages(docs, model))
+    for d, r in list(rows.items())[:60]:
+        if not any(map(str.isalpha, r["text"] or "")):
+            continue
+        x = {f: n**0.5 * (np.log((n_docs + 1) / (found[f] + 1)) + 1 if found[f] else 0.0) for f, n in features(r["text"]).items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        z = (sum((v / norm * model.weights[f] for f, v in x.items()), np.zeros(len(model.languages))) + model.weights[-1]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[d]["lang_pred"] == model.languages[int(p.argmax())] and got[d]["score"] == pytest.approx(p.max(), abs=1e-9)
+
+
+def test_rare_languages_are_learned(spark):
+    words = {"aa": "kala mena tori", "bb": "zu xyv qwer"}
+    rows = [(i, " ".join(words["bb" if i % 500 == 7 else "aa"].split() * (1 + i % 3)), "bb" if i % 500 == 7 else "aa") for i in range(4000)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_each=100)
+    assert model.languages == ("aa", "bb") and model.predict("xyv qwer zu")[0] == "bb" and model.predict("tori kala")[0] == "aa"
+
+
+def test_the_session_keeps_its_batch_size(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    langid.predict_languages(docs, langid.fit_languages(docs)).count()
+    packing.pack_documents(docs, queries.tokenizer_path()).count()
+    neardup.near_duplicates(docs).count()
+    assert spark.conf.get(key) == before
+
+
 def test_language_edges(spark, docs, odd, empty):
     model = langid.fit_languages(docs)
     got = langid.predict_languages(odd, model)
