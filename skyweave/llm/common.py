@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -58,9 +59,9 @@ def uniform(key: Column, salt: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def many_buckets(rows: int, each: int = 20_000) -> int:
-    """Buckets of about `each` rows."""
-    return max(1, -(-rows // each))
+def many_buckets(rows: int) -> int:
+    """As many buckets as there are rows in one: neither the buckets nor the table of their sums grows faster than the root of the rows."""
+    return max(1, math.isqrt(rows))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

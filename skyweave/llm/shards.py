@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import many_buckets, ranked, stored, uniform
 
+#: Rows of the sums by shard and bucket up to which these are broadcast.
+BROADCAST_ROWS = 262_144
+
 
 def race(key: Column, shard: int, weight: float) -> Column:
     """The time at which `shard` would finish in an exponential race for the record; the first wins.
@@ -45,7 +48,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
         uniform(key, "slot").alias("order"),
     ), "shards")
     buckets = many_buckets(slim.count() // len(weights) + 1)
-    return ranked(slim, ["shard"], ["order", "doc_id", "text_crc32", "size"], F.floor(F.col("order") * buckets), "slot").drop("order")
+    return ranked(slim, ["shard"], ["order", "doc_id", "text_crc32", "size"], F.floor(F.col("order") * buckets), "slot", few=len(weights) * buckets <= BROADCAST_ROWS).drop("order")
 
 
 def write_shards(docs: DataFrame, weights: Sequence[float], path: str) -> None:
