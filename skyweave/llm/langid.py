@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, whole_row
@@ -138,6 +138,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:FEATURES], int(out[FEATURES])
 
 
+def _first(rows: list[tuple[str, tuple]], n: int) -> list[tuple]:
+    """Of (language, row) the n smallest rows of each language, in order."""
+    of: dict[str, list[tuple]] = {}
+    for lang, row in rows:
+        of.setdefault(lang, []).append(row)
+    return sorted(x for own in of.values() for x in sorted(own)[:n])
+
+
 def fit_languages(docs: DataFrame, *, most_each: int = 750, seed: int = 0) -> LanguageModel:
     """Learn from text and lang of the documents that have both and are not held out.
 
@@ -146,9 +154,7 @@ def fit_languages(docs: DataFrame, *, most_each: int = 750, seed: int = 0) -> La
     it only sets the temperature. Whole texts are used. No rows, or one language alone, give a model that predicts nothing, or that language.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
-    first = lambda df, *more: df.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order, *more))).where(F.col("nth") <= most_each).drop("nth")
-    ids = first(known.select("doc_id", "lang")).distinct()
+    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / float(2**53)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +163,26 @@ def fit_languages(docs: DataFrame, *, most_each: int = 750, seed: int = 0) -> La
                 [batch.column(0), pa.array([on.astype("<u2").tobytes() for on, _ in kept], pa.binary()), pa.array([c[on].astype("<u4").tobytes() for on, c in kept], pa.binary()), batch.column(2)],
                 ["doc_id", "features", "counts", "lang"])
 
-    drawn = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, features binary, counts binary, lang string")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = []
     with small_batches(docs.sparkSession):
         frequency, n_docs = document_frequencies(known)
-        rows = first(drawn, "features", "counts").orderBy(*order, "lang", "features", "counts").collect()
+        if sizes:
+            # hashes below twice the share that is wanted leave about 2 * most_each ids of each language, never fewer than are wanted in practice
+            cut = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, 2.0 * most_each / n)]), F.col("lang"))
+            likely = known.select("doc_id", "lang", place.alias("place")).where(F.col("place") < cut).distinct().collect()
+            ids = [x[1:] for x in _first([(r["lang"], (r["place"], r["doc_id"], r["lang"])) for r in likely], most_each)]
+            chosen = docs.sparkSession.createDataFrame(ids, known.select("doc_id", "lang").schema)
+            drawn = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, features binary, counts binary, lang string")
+            at = {x: k for k, x in enumerate(ids)}
+            found = [(r["lang"], (at[r["doc_id"], r["lang"]], bytes(r["features"]), bytes(r["counts"]), r["lang"])) for r in drawn.distinct().collect()]
+            rows = sorted(_first(found, most_each))
     idf = np.where(frequency > 0, np.log((n_docs + 1) / (frequency + 1)) + 1, 0.0)
-    languages = tuple(sorted({r["lang"] for r in rows}))
+    languages = tuple(sorted({r[3] for r in rows}))
     data = []
-    for r in rows:
-        on = np.frombuffer(r["features"], dtype="<u2").astype(np.int64)
-        data.append((on, _weighted(np.frombuffer(r["counts"], dtype="<u4"), idf[on]), languages.index(r["lang"])))
+    for _, features, counts, lang in rows:
+        on = np.frombuffer(features, dtype="<u2").astype(np.int64)
+        data.append((on, _weighted(np.frombuffer(counts, dtype="<u4"), idf[on]), languages.index(lang)))
     fit, rest = [x for k, x in enumerate(data) if k % 5], data[::5] if len(data) >= 10 else []
     weights = train(fit if rest else data, len(languages)) if languages else np.zeros((FEATURES + 1, 0))
     logits = np.array([x @ weights[on] + weights[-1] for on, x, _ in rest])
