@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, langid, licenses, mixing, neardup, oracles, packing, pii, quotes, rules, shards
+from .common import small_batches, stored
 
 
 def tokenizer_path() -> str:
@@ -38,7 +39,8 @@ def op3_decision_list(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     predicted = langid.predict_languages(docs.select("doc_id", "text"), langid.fit_languages(docs))
-    return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    with small_batches(spark):
+        return stored(predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"), "languages")
 
 
 def op5_efraimidis_spirakis(spark: SparkSession, folder: str) -> DataFrame:
