@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm import langid, mixing, neardup, packing, pii
-from skyweave.llm.common import stored, whole_row
+from skyweave.llm.common import small_batches, stored, whole_row
 from skyweave.llm.queries import tokenizer_path
 
 #: Calibrated probability below which a text's language is not taken as known.
@@ -14,9 +14,10 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose text has a language that the model knows, with a probability of LEAST_SCORE or more."""
+    """Keep the documents whose text has a language that the model knows, with a probability of LEAST_SCORE or more. The result is written here, while batches of texts are small."""
     predicted = langid.predict_languages(docs.select("text", whole_row(docs).alias("row")), langid.fit_languages(docs))
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    with small_batches(spark):
+        return stored(predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*"), "language_id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        if 0 < k < len(STAGES) - 1:  # the first has written its own
             docs = stored(docs, name)
     return docs
