@@ -41,8 +41,11 @@ c AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
 
 _PLACES = " UNION ALL ".join(f"SELECT row, i, '{label}' AS label FROM seats WHERE words[i : i + {len(p.split()) - 1}] = {p.split()}" for p, label in BASE.items())
+#: Words with which a phrase or a notice's first mandatory phrase starts: only there is anything looked for.
+_STARTS = ", ".join(f"'{w}'" for w in sorted({p.split()[0] for p in BASE} | {t.places()[0][1][0] for t in TEMPLATES}))
 _FOUND = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
-seats AS (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM d),
+heard AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+seats AS MATERIALIZED (SELECT row, words, i FROM heard JOIN d USING (row) WHERE word IN ({_STARTS})),
 places AS ({_PLACES}),
 found AS (SELECT row, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row)"""
 _COUNTED = "doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, a AS first_word, b AS last_word, coalesce(f.labels, '') AS base_labels"
