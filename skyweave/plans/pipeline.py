@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.correct import corrections, fill_tracker
@@ -26,12 +26,17 @@ def stages(frames: DataFrame, mode: str = "reference", radius: float = 1.5) -> D
 
 
 def report_layers(result: DataFrame, truth: DataFrame, nodata: float = -9999.0) -> DataFrame:
-    """The eleven analytical layers as columns; missing numbers take nodata, for export only. result is interpolate()'s, truth has band, y, x, truth, held."""
-    j = result.join(truth, ["band", "y", "x"], "left")
+    """The eleven analytical layers as columns; missing numbers take nodata, for export only. result is interpolate()'s, truth has band, y, x, truth, held for all bands.
+
+    The signed error is of eligible cells alone: withheld, with truth in every band.
+    """
+    bands = F.count("*").over(Window.partitionBy("y", "x"))
+    eligible = F.col("held") & (F.count("truth").over(Window.partitionBy("y", "x")) == bands)
+    j = result.join(truth, ["band", "y", "x"], "left").withColumn("_eligible", eligible)
     put = lambda c: F.coalesce(c, F.lit(nodata))
     return j.select(
         "band", "y", "x", put(F.col("truth")).alias("truth"), put(F.col("observed")).alias("allowed"), put(F.col("prediction")).alias("prediction"), put(F.col("filled")).alias("filled"),
-        put(F.col("prediction") - F.col("truth")).alias("signed_error"), F.coalesce(F.col("held").cast("int"), F.lit(255)).alias("holdout"), F.col("support_count").alias("support"), "status",
+        put(F.when(F.col("_eligible"), F.col("prediction") - F.col("truth"))).alias("signed_error"), F.coalesce(F.col("held").cast("int"), F.lit(255)).alias("holdout"), F.col("support_count").alias("support"), "status",
         put(F.col("before_age_days")).alias("before_age"), put(F.col("after_age_days")).alias("after_age"), F.col("filled_origin").alias("origin"))
 
 

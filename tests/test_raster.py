@@ -281,6 +281,14 @@ def test_layers_are_written_and_read(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "stages")).where("broken is null").count() == 3
 
 
+def test_signed_errors_are_of_eligible_cells(spark):
+    cells = spark.createDataFrame([(b, 0, x, d, 0.5) for b in "ab" for x in range(4) for d in (100, 110)], CELLS)
+    truth = spark.createDataFrame([(b, 0, x, None if (b, x) == ("b", 1) else 0.25, x < 3) for b in "ab" for x in range(4)], "band string, y int, x int, truth double, held boolean")
+    result = temporal.interpolate(cells, truth.select("band", "y", "x", F.lit(None).cast("double").alias("observed")), 105)
+    errors = {(r["band"], r["x"]): r["signed_error"] for r in pipeline.report_layers(result, truth).collect()}
+    assert errors == {(b, x): 0.25 if x in (0, 2) else -9999.0 for b in "ab" for x in range(4)}
+
+
 def test_bands_share_a_mask(spark):
     rows = [("A", 1, 0, 0, "v", 10.0, 0, 0), ("A", 1, 0, 0, "c", 20.0, 0, 0), ("A", 1, 0, 1, "v", 10.0, 0, 0), ("A", 1, 0, 1, "c", 20.0, 8, 0), ("A", 1, 0, 2, "v", 10.0, 0, 1), ("A", 1, 0, 2, "c", 20.0, 0, 0), ("B", 1, 0, 3, "v", None, 0, 0), ("B", 1, 0, 3, "c", 1.0, 0, 0), ("B", 1, 0, 4, "v", -9000.0, 64, 0), ("B", 1, 0, 4, "c", 1.0, 0, 0), ("B", 1, 0, 4, "x", 1.0, 1, 1)]
     frame = spark.createDataFrame(rows, "sensor string, d int, y int, x int, band string, dn double, qa int, radsat int")
