@@ -49,7 +49,7 @@ def parse_quotes(messages: DataFrame) -> DataFrame:
         return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r, n: F.struct(
             F.get(x, r["a"])["depth"].alias("level"), n.alias("nth"), F.array_join(F.transform(F.slice(x, r["a"] + 1, r["b"] - r["a"] + 1), lambda v: v["line"]), "\n").alias("text")))
 
-    quoted = text.rlike(r"(?m)^[ \t]*>")
+    quoted = text.rlike(r"(?:^|\n)[ \t]*>")
     none = F.array().cast("array<struct<level:int,nth:int,text:string>>")
     parsed = let(lines, lambda x: F.struct(own(x).alias("body"), runs(x).alias("quotes")))
     whole = F.struct(F.btrim(text, F.lit(" \n\t\r")).alias("body"), none.alias("quotes"))
