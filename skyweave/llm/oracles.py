@@ -91,6 +91,52 @@ spans AS ({_SPANS}),
 found AS (SELECT row, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _KINDS)}, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(m) AS BIGINT), ',' ORDER BY nth, start) AS listed FROM spans GROUP BY row)
 SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in _KINDS)}, sha256(coalesce(listed, '')) AS base_sha256 FROM d LEFT JOIN found USING (row)"""
 
+#: The exact nearest, which op1 gives where its shortlist reaches them: on a table of hundreds of vectors it does, on larger ones its recall is measured.
+NEAREST = """WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+usual AS (SELECT len(v) AS n FROM e GROUP BY n ORDER BY count(*) DESC, n LIMIT 1),
+v AS (SELECT vec_id, v FROM e JOIN usual ON len(v) = n),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_reduce(list_prepend(0::DOUBLE, list_transform(q.v, lambda x, i: x * c.v[i])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id),
+placed AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM placed WHERE rank <= 20"""
+
+
+def _normal(text: str) -> str:
+    return rf"trim(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _sentences(text: str) -> str:
+    return rf"string_split_regex({text}, '[.!?\x{{2026}}][\x22\x27)\]\x{{201d}}\x{{2019}}\x{{00bb}}]*[\s\x0B]+')"
+
+
+def _said(text: str) -> str:
+    """Lines and sentences, of each line and of the whole, as they are compared; empty ones left out."""
+    lines = f"string_split({text}, chr(10))"
+    return f"list_filter(list_transform(list_concat({lines}, {_sentences(text)}, flatten(list_transform({lines}, lambda y: {_sentences('y')}))), lambda z: {_normal('z')}), lambda z: z <> '')"
+
+
+#: Replies are ordered by the turns on the way to them.
+QUOTES = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+cut AS (SELECT row, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+l AS (SELECT row, i, length(replace(regexp_extract(line, '^[ \t>]*>'), '>', '>>')) - length(regexp_extract(line, '^[ \t>]*>')) AS depth, trim(regexp_replace(line, '^[ \t>]*>', ''), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM cut),
+near AS (SELECT *, coalesce(lag(depth) OVER o <> depth, true) AS starts, coalesce(lead(depth) OVER o, 0) AS below FROM l WINDOW o AS (PARTITION BY row ORDER BY i)),
+own AS (SELECT row, string_agg(line, chr(10) ORDER BY i) FILTER (depth = 0 AND NOT (below > 0 AND regexp_matches(line, '^.{{0,200}}\b(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$'))) AS body, max(depth) > 0 AS quotes FROM near GROUP BY row),
+b AS (SELECT d.*, trim(CASE WHEN quotes THEN coalesce(body, '') ELSE text END, ' ' || chr(10) || chr(9) || chr(13)) AS body FROM d JOIN own USING (row)),
+runs AS (SELECT *, sum(CAST(starts AND depth > 0 AS INTEGER)) OVER (PARTITION BY row ORDER BY i) - 1 AS nth FROM near),
+passages AS (SELECT DISTINCT conv_id, turn, level, nth, r.text FROM (SELECT row, depth AS level, nth, string_agg(line, chr(10) ORDER BY i) AS text FROM runs WHERE depth > 0 GROUP BY row, depth, nth) r JOIN d USING (row) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+wanted AS (SELECT DISTINCT conv_id, turn, level, nth, text, 1 AS whole, {_normal("text")} AS said FROM passages WHERE {_normal("text")} <> '' UNION SELECT conv_id, turn, level, nth, text, 0, unnest({_said("text")}) FROM passages),
+held AS (SELECT said, c, min(t) AS t FROM (SELECT conv_id AS c, turn AS t, unnest(list_concat([{_normal("body")}], {_said("body")})) AS said FROM b WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE said <> '' GROUP BY said, c),
+sources AS (SELECT w.*, h.c, h.t, h.c = w.conv_id AS near FROM wanted w JOIN held h USING (said) WHERE CASE WHEN h.c = w.conv_id THEN h.t < w.turn ELSE len(string_split(said, ' ')) >= 4 END),
+first AS (SELECT conv_id, turn, level, nth, text, whole, said, first(struct_pack(near := near, c := c, t := t) ORDER BY near DESC, c) AS s FROM sources GROUP BY conv_id, turn, level, nth, text, whole, said),
+votes AS (SELECT conv_id, turn, level, nth, s, max(whole) AS whole, count(*) AS n FROM first GROUP BY conv_id, turn, level, nth, s),
+best AS (SELECT conv_id, turn, level, nth, first(s ORDER BY whole DESC, s.near DESC, n DESC, s.c, s.t DESC) AS s FROM votes GROUP BY conv_id, turn, level, nth),
+counted AS (SELECT conv_id, turn, count(*) AS n_quotes, count(s) AS n_linked, first(s.t ORDER BY level, nth, s.t) FILTER (s.c = conv_id) AS source FROM passages LEFT JOIN best USING (conv_id, turn, level, nth) GROUP BY conv_id, turn),
+turns AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM d WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+tree AS (SELECT conv_id, turn, n_quotes, n_linked, coalesce(source, before) AS reply_to FROM turns LEFT JOIN counted USING (conv_id, turn)),
+walk AS (SELECT conv_id, turn, [turn] AS path FROM tree WHERE reply_to IS NULL UNION ALL SELECT t.conv_id, t.turn, list_append(path, t.turn) FROM walk w JOIN tree t ON t.conv_id = w.conv_id AND t.reply_to = w.turn),
+places AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS place FROM walk)
+SELECT b.conv_id, b.turn, role, body, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to, place FROM b LEFT JOIN tree USING (conv_id, turn) LEFT JOIN places USING (conv_id, turn)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_efraimidis_spirakis": MIX, "op6_positional_licenses": NOTICES, "op9_jaccard_join": JACCARD, "op10_rendezvous": RENDEZVOUS, "base_quality": QUALITY, "base_licenses": LICENCES, "base_personal_data": PERSONAL}
+    return {"op1_additive_quantisation": NEAREST, "op2_quotation_linking": QUOTES, "op5_efraimidis_spirakis": MIX, "op6_positional_licenses": NOTICES, "op9_jaccard_join": JACCARD, "op10_rendezvous": RENDEZVOUS, "base_quality": QUALITY, "base_licenses": LICENCES, "base_personal_data": PERSONAL}
