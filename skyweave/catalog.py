@@ -292,7 +292,7 @@ series AS (SELECT *, vb + (CAST(d - db AS DOUBLE) / ((d - db) + (da - d))) * (va
 _events("series_fill", lambda e: temporal.series_fill(e.cell, e.grid, FIRST, FIRST + 29, N), _SERIES + " SELECT band, y, x, d, value, prediction, coalesce(value, prediction) AS filled FROM series")
 _events("clearest_scene", lambda e: e.scenes.orderBy("cloud", "d").limit(1).select("d", _r(F.col("cloud")).alias("cloud")), "SELECT d, round(cloud, 7) AS cloud FROM scenes ORDER BY scenes.cloud, d LIMIT 1")
 _events("golden_day", lambda e: e.scenes.where("cloud < 100").select("d", _r(F.col("cloud"), 6).alias("cloud_pct")).orderBy("cloud_pct", "d").limit(1), "SELECT d, round(cloud, 6) AS cloud_pct FROM scenes WHERE cloud < 100 ORDER BY 2, 1 LIMIT 1")
-_events("sample_pixels", lambda e: segment.sample_pixels(e.grid.select("y", "x").distinct(), 50))
+_events("sample_pixels", lambda e: segment.sample_pixels(e.grid.select("y", "x").distinct(), 50), " SELECT y, x FROM (SELECT DISTINCT y, x FROM grid) ORDER BY md5(concat_ws(':', y, x)), y, x LIMIT 50")
 _AT = f", now AS (SELECT * FROM cell WHERE d = {T})"
 _events("focal_mean", lambda e: _rounded(focal.focal(e.cell_in(T, T), 1.5), "focal"), _AT + _focal("now", 1.5) + " SELECT band, y, x, round(focal, 7) AS focal FROM foc")
 _events("focal_max", lambda e: focal.focal(e.cell_in(T, T).where("value > 60"), 6.0, "max"), f", now AS (SELECT * FROM cell WHERE d = {T} AND value > 60)" + _focal("now", 6.0, how="max") + " SELECT band, y, x, focal FROM foc")
