@@ -24,6 +24,8 @@ STEP = 16
 LOSS = 1e-7
 #: Texts in a block of a bucket of candidates, and shingles in a block of a group that is verified.
 BUCKET, BLOCK = 256, 10_000
+#: Texts of a block that are compared at once with as many of another.
+SIDE = 1024
 #: So many blocks are made before they grow, up to GROWN times; then there are more again.
 FEW, GROWN = 32, 80
 #: Members of groups (16 bytes each) up to which their table is broadcast; above, the join shuffles.
@@ -279,22 +281,47 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs, those that first join two parts."""
-    parent, out = list(range(n)), []
+def _joining(linked: np.ndarray, part: np.ndarray, at: int, to: int) -> list[tuple[int, int]]:
+    """Of the links (row at + r, column to + c) those that first join two parts, named in `part`, which takes them in."""
+    out = []
+    for r in np.flatnonzero(linked.any(axis=1)):
+        columns = np.flatnonzero(linked[r]) + to
+        names, first = np.unique(part[columns], return_index=True)
+        other = names != part[at + r]
+        if other.any():
+            out += [(at + int(r), int(c)) for c in columns[first[other]]]
+            part[np.isin(part, names[other])] = part[at + r]
+    return out
 
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for a, b in pairs:
-        p, q = top(int(a)), top(int(b))
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((int(a), int(b)))
-    return out
+def _compared(left: list[np.ndarray], right: list[np.ndarray] | None, copies: tuple[np.ndarray, np.ndarray], threshold: float, side: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Links of each set of left and of right (None: left with itself), those to copies counted each, and edges between them, right's numbered after left's.
+
+    `side` times `side` pairs are held at once, so short texts, of which a block has many, take no more memory than long ones.
+    """
+    same = right is None
+    right = left if same else right
+    after = 0 if same else len(left)
+    sizes = [np.array([len(x) for x in s]) for s in (left, right)]
+    links = [np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)]
+    if same:
+        links[1] = links[0]
+    part, edges = np.arange(after + len(right)), []
+    for i in range(0, len(left), side):
+        for j in range(i if same else 0, len(right), side):
+            rows, columns = slice(i, i + side), slice(j, j + side)
+            inter = _intersections(left[rows], right[columns])
+            union = sizes[0][rows, None] + sizes[1][None, columns] - inter
+            # in whole numbers of shingles, so that a similarity of just the threshold counts
+            linked = inter >= np.ceil(threshold * union - 1e-6)
+            diagonal = same and i == j
+            if diagonal:
+                np.fill_diagonal(linked, False)
+            links[0][rows] += linked @ copies[1][columns]
+            if not diagonal:
+                links[1][columns] += linked.T @ copies[0][rows]
+            edges += _joining(linked, part, i, after + j)
+    return *links, edges
 
 
 def _verified(groups: DataFrame, threshold: float) -> DataFrame:
@@ -308,19 +335,10 @@ def _verified(groups: DataFrame, threshold: float) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "to": [], "links": []}, dtype="int64")
         a, b = ([np.frombuffer(x, dtype=np.uint64) for x in side["shingles"]] for side in (left, right))
-        inter = _intersections(a, b)
-        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - inter
-        # in whole numbers of shingles, so that a similarity of just the threshold counts
-        linked = inter >= np.ceil(threshold * union - 1e-6)
         ids, other = left["id"].to_numpy(), right["id"].to_numpy()
-        if i == j:
-            np.fill_diagonal(linked, False)
-        rows = [(ids, linked @ right["copies"].to_numpy())]
-        if i != j:
-            rows.append((other, linked.T @ left["copies"].to_numpy()))
-        at = np.argwhere(linked if i != j else np.triu(linked))
-        edges = _forest(len(ids) + len(other), at + np.array([0, 0 if i == j else len(ids)]))
-        names = np.concatenate([ids, other]) if i != j else ids
+        mine, theirs, edges = _compared(a, None if i == j else b, (left["copies"].to_numpy(), right["copies"].to_numpy()), threshold, SIDE)
+        rows = [(ids, mine)] if i == j else [(ids, mine), (other, theirs)]
+        names = ids if i == j else np.concatenate([ids, other])
         return pd.concat([pd.DataFrame({"id": x, "to": x, "links": n}) for x, n in rows] + [pd.DataFrame({"id": names[[e[0] for e in edges]], "to": names[[e[1] for e in edges]], "links": 0})] * bool(edges))
 
     return groups.groupBy("group", "i", "j").applyInPandas(verify, "id long, to long, links long")

@@ -538,6 +538,29 @@ def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (c, _) in brute_links(texts).items() if c == d)
 
 
+@pytest.mark.parametrize("side", [1, 7, 64, 1024])
+def test_blocks_of_many_texts_are_compared_in_parts(side):
+    rng = np.random.default_rng(side)
+    base = rng.integers(0, 1 << 62, (5, 30)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(30) < 0.05, rng.integers(0, 1 << 62, 30).astype(np.uint64), base[rng.integers(5)])) for _ in range(150)]
+    copies = rng.integers(1, 4, 150)
+    alike = np.array([[10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y)) for y in sets] for x in sets]) & ~np.eye(150, dtype=bool)
+
+    def parts(edges, n):
+        top = list(range(n))
+        for a, b in edges:
+            top = [top[a] if x == top[b] else x for x in top]
+        return {frozenset(i for i, x in enumerate(top) if x == t) for t in top}
+
+    links, again, edges = neardup._compared(sets, None, (copies, copies), 0.8, side)
+    assert (links == alike @ copies).all() and (again == links).all()
+    assert parts(edges, 150) == parts(np.argwhere(alike), 150) and len(edges) == 150 - len(parts(edges, 150))
+    mine, theirs, edges = neardup._compared(sets[:60], sets[60:], (copies[:60], copies[60:]), 0.8, side)
+    across = alike[:60, 60:]
+    assert (mine == across @ copies[60:]).all() and (theirs == across.T @ copies[:60]).all()
+    assert parts(edges, 150) == parts(np.argwhere(across) + [0, 60], 150) and len(edges) == 150 - len(parts(edges, 150))
+
+
 def test_near_duplicate_edges(odd, empty, spark):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
