@@ -99,5 +99,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For four operators, and for the columns of others that SQL can express. The rest is trained models, a tokenizer, patterns that look around, and quotes that the tables lack: brute-force tests stand for them."""
+    """For six operators, and for the columns of others that SQL can express. The rest is trained models, a tokenizer and patterns that look around: brute-force tests stand for them."""
     return oracles.oracle_sql()
