@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, mixing, neardup, oracles, packing, pii, quotes, rules, shards
+from . import ann, changepoints, langid, licenses, mixing, neardup, oracles, packing, pii, quotes, rules, shards, topk, veccodes
 from .common import small_batches, stored
 
 
@@ -77,6 +77,20 @@ def op10_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_change_points(spark: SparkSession, folder: str) -> DataFrame:
+    kept = _table(spark, folder, "sale_lines").where("flag = 'kept'")
+    return changepoints.change_points(kept, "vendor_id", "shipped_at", "quantity")
+
+
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return topk.nearest_exact(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector"))
+
+
+def op13_filtering_lloyd(spark: SparkSession, folder: str) -> DataFrame:
+    return veccodes.compressed(_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label"))
+
+
 def base_quality(spark: SparkSession, folder: str) -> DataFrame:
     """What op3 counts before its learned rules."""
     stats = rules.judge(_table(spark, folder, "documents"), rules.DecisionList(()))
@@ -94,10 +108,10 @@ def base_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_additive_quantisation, op2_quotation_linking, op3_decision_list, op4_language_id, op5_efraimidis_spirakis, op6_positional_licenses, op7_checked_spans, op8_shortest_pack_first, op9_jaccard_join, op10_rendezvous)
+    operators = (op1_additive_quantisation, op2_quotation_linking, op3_decision_list, op4_language_id, op5_efraimidis_spirakis, op6_positional_licenses, op7_checked_spans, op8_shortest_pack_first, op9_jaccard_join, op10_rendezvous, op11_change_points, op12_exact_top_k, op13_filtering_lloyd)
     return {f.__name__: f for f in (*operators, base_quality, base_licenses, base_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """For six operators, and for the columns of others that SQL can express. The rest is trained models, a tokenizer and patterns that look around: brute-force tests stand for them."""
+    """For nine operators, and for the columns of others that SQL can express. The rest is trained models, a tokenizer and patterns that look around: brute-force tests stand for them."""
     return oracles.oracle_sql()
