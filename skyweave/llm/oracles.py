@@ -137,6 +137,44 @@ walk AS (SELECT conv_id, turn, [turn] AS path FROM tree WHERE reply_to IS NULL U
 places AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS place FROM walk)
 SELECT b.conv_id, b.turn, role, body, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to, place FROM b LEFT JOIN tree USING (conv_id, turn) LEFT JOIN places USING (conv_id, turn)"""
 
+#: One row for each vendor goes through its end days, with the best numbers so far (cost, then segments) and where each one's last segment starts.
+CHANGES = """WITH RECURSIVE daily AS (SELECT vendor_id, CAST(CAST(shipped_at AS DATE) - DATE '1970-01-01' AS BIGINT) AS day, CAST(sum(quantity) AS HUGEINT) AS q FROM sale_lines WHERE flag = 'kept' AND quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL),
+span AS (SELECT vendor_id, min(day) AS first, max(day) AS last FROM daily GROUP BY vendor_id),
+filled AS (SELECT s.vendor_id, s.first, d.day, coalesce(q, 0) AS q FROM (SELECT vendor_id, first, unnest(range(first, last + 1)) AS day FROM span) d JOIN span s ON s.vendor_id IS NOT DISTINCT FROM d.vendor_id LEFT JOIN daily ON daily.vendor_id IS NOT DISTINCT FROM d.vendor_id AND daily.day = d.day),
+running AS (SELECT vendor_id, first, day, sum(q) OVER w AS s, sum(q * q) OVER w AS qq FROM filled WINDOW w AS (PARTITION BY vendor_id ORDER BY day)),
+series AS (SELECT vendor_id, first, CAST(count(*) AS BIGINT) AS n, list_prepend(0::HUGEINT, list(s ORDER BY day)) AS s, list_prepend(0::HUGEINT, list(qq ORDER BY day)) AS qq FROM running GROUP BY vendor_id, first),
+steps AS (SELECT vendor_id, first, n, s, qq, least(7, n) - 1 AS j, [-20000000000::BIGINT] AS best, [0::BIGINT] AS back FROM (SELECT * FROM series)
+ UNION ALL SELECT vendor_id, first, n, s, qq, j, list_append(list_resize(best, j, 4000000000000000000::BIGINT), list_min(reach)), list_append(list_resize(back, j, 0::BIGINT), list_position(reach, list_min(reach)) - 1)
+ FROM (SELECT vendor_id, first, n, s, qq, j + 1 AS j, best, back, list_transform(range(0, j + 1 - least(7, n) + 1), lambda i: CASE WHEN i > 0 AND i < least(7, n) THEN 4000000000000000000::BIGINT ELSE best[i + 1] + 20000000001 + CAST(1000000 * (j + 1 - i) * floor(1000 * ln(CAST(1 + ((j + 1 - i) * (qq[j + 2] - qq[i + 1]) - (s[j + 2] - s[i + 1]) * (s[j + 2] - s[i + 1])) // ((j + 1 - i) * (j + 1 - i)) AS DOUBLE))) AS BIGINT) END) AS reach FROM steps WHERE j < n)),
+done AS (SELECT * FROM steps WHERE j = n),
+cuts AS (SELECT vendor_id, first, s, qq, back, best[n + 1] // 1000000 AS best_cost, n AS b, back[n + 1] AS a FROM done UNION ALL SELECT vendor_id, first, s, qq, back, best_cost, a, back[a + 1] FROM cuts WHERE a > 0),
+parts AS (SELECT vendor_id, first, best_cost, a, b - a AS n_days, CAST(s[b + 1] - s[a + 1] AS BIGINT) AS total, CAST(1 + ((b - a) * (qq[b + 1] - qq[a + 1]) - (s[b + 1] - s[a + 1]) * (s[b + 1] - s[a + 1])) // ((b - a) * (b - a)) AS BIGINT) AS spread FROM cuts)
+SELECT vendor_id, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY a) AS INTEGER) AS segment_no, first + a AS first_day, n_days, total, spread, CAST(n_days * floor(1000 * ln(CAST(spread AS DOUBLE))) AS BIGINT) AS cost, count(*) OVER (PARTITION BY vendor_id) AS n_segments, best_cost FROM parts"""
+
+_WHOLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+TOP = f"""WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS whole FROM embeddings WHERE vec_id IS NOT NULL AND {_WHOLE} GROUP BY vec_id),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.whole, c.whole) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.whole) = len(c.whole)),
+listed AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM listed WHERE rank <= 5"""
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0 to an and the codebooks b1 to bn between them. Distances are whole numbers in doubles, less what all entries share."""
+    assign = lambda i: f", a{i} AS MATERIALIZED (SELECT row, part, piece, arg_min(entry, struct_pack(d := far, e := entry)) AS entry, list_inner_product(piece, piece) + min(far) AS error FROM (SELECT row, part, p.piece, entry, b.square - 2 * list_inner_product(p.piece, b.piece) AS far FROM pieces p JOIN (SELECT *, list_inner_product(piece, piece) AS square FROM b{i}) b USING (part)) GROUP BY row, part, piece)"
+    move = lambda i: f", b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.piece, b.piece) AS piece FROM b{i} b LEFT JOIN (SELECT part, entry, list(mean ORDER BY nth) AS piece FROM (SELECT part, entry, nth, floor(sum(x) / count(*)) AS mean FROM (SELECT part, entry, unnest(piece) AS x, unnest(range(len(piece))) AS nth FROM a{i}) GROUP BY part, entry, nth) GROUP BY part, entry) m USING (part, entry))"
+    return "".join(assign(i) + move(i) for i in range(n)) + assign(n)
+
+
+CODES = f"""WITH good AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS whole FROM embeddings WHERE {_WHOLE}),
+usual AS (SELECT len(whole) AS n FROM good GROUP BY n ORDER BY count(*) DESC, n LIMIT 1),
+kept AS (SELECT good.* FROM good JOIN usual ON len(whole) = n),
+pieces AS MATERIALIZED (SELECT row, CAST(p AS INTEGER) AS part, whole[p * (len(whole) // 4) + 1 : (p + 1) * (len(whole) // 4)] AS piece FROM kept, range(4) r(p)),
+starts AS (SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, whole) - 1 AS entry FROM kept),
+b0 AS MATERIALIZED (SELECT part, entry, piece FROM pieces JOIN starts USING (row) WHERE entry < 256){_rounds(4)},
+books AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, nth)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(piece) AS x, unnest(range(len(piece))) AS nth FROM b4)),
+coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a4 GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (row), books"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_additive_quantisation": NEAREST, "op2_quotation_linking": QUOTES, "op5_efraimidis_spirakis": MIX, "op6_positional_licenses": NOTICES, "op9_jaccard_join": JACCARD, "op10_rendezvous": RENDEZVOUS, "base_quality": QUALITY, "base_licenses": LICENCES, "base_personal_data": PERSONAL}
+    return {"op11_change_points": CHANGES, "op12_exact_top_k": TOP, "op13_filtering_lloyd": CODES, "op1_additive_quantisation": NEAREST, "op2_quotation_linking": QUOTES, "op5_efraimidis_spirakis": MIX, "op6_positional_licenses": NOTICES, "op9_jaccard_join": JACCARD, "op10_rendezvous": RENDEZVOUS, "base_quality": QUALITY, "base_licenses": LICENCES, "base_personal_data": PERSONAL}

@@ -64,7 +64,8 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale:
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     met = cands.select("vec_id", F.col("whole").alias("cand"), F.size("whole").alias("length"), part("vec_id", blocks).alias("block"), every(groups).alias("group")).groupBy("group", "block", "length")
-    width = max(0, (2 * bound + 1 - 1).bit_length() - BITS)
+    whole = (2 * bound).bit_length()  # a range of 2**whole values, in bins of 2**width
+    width = max(0, whole - BITS)
     state = asked.select("query_id", F.lit(-bound).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
 
     def spread(state: DataFrame):
@@ -82,11 +83,10 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale:
                 out[own[s, None] == ids[None, t]] = -(2**62)  # below every range
                 yield s, t, out
 
-    def counted(shift: int):
+    def counted(shift: int, bins: int):
         def count(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(c):
                 return pd.DataFrame({"query_id": [], "bin": [], "n": []})
-            bins = 1 << BITS
             n, low = np.zeros((len(q), bins), dtype=np.int64), q["low"].to_numpy()
             for s, _, score in scores(q, c):
                 at = (score - low[s, None]) >> shift
@@ -100,7 +100,7 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale:
         return count
 
     while True:
-        seen = spread(state).cogroup(met).applyInPandas(counted(width), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        seen = spread(state).cogroup(met).applyInPandas(counted(width, 1 << (whole - width)), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         above = seen.withColumn("above", F.sum("n").over(down) - F.col("n"))
         found = state.join(above.withColumnRenamed("n", "here"), "query_id", "left").where("bin is null or above < need").groupBy("query_id", "low", "need").agg(F.min_by(F.struct("bin", "above", "here"), "bin").alias("at"))
@@ -109,7 +109,7 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale:
         state = stored(found.select("query_id", F.when(short, -bound - 1).otherwise(F.col("low") + F.col("at.bin") * (1 << width)).cast("long").alias("low"), F.when(short, F.col("need")).otherwise(F.col("need") - F.col("at.above")).alias("need")), "range")
         if width == 0:
             break
-        width = max(0, width - BITS)
+        whole, width = width, max(0, width - BITS)
 
     def kept(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
