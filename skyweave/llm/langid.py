@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,32 +151,32 @@ def fit_languages(docs: DataFrame, *, most_each: int = 750, seed: int = 0) -> La
     """Learn from text and lang of the documents that have both and are not held out.
 
     The IDF counts all of them. Weights and temperature are fitted on a bounded sample: of each language most_each rows, those of the
-    smallest hashes of doc_id, so that a rare language is learned too; it goes to the driver as features, FEATURES at most for each text. Every fifth row of
-    it only sets the temperature. Whole texts are used. No rows, or one language alone, give a model that predicts nothing, or that language.
+    smallest hashes of doc_id and text, so that a rare language is learned too; rows repeated in full count once; it goes to the driver as features, FEATURES at most for each text. Every fifth row of
+    a language only sets the temperature, so that no language of few rows goes without learning. Whole texts are used. No rows, or one language alone, give a model that predicts nothing, or that language.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / float(2**53)
+    known = known.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / float(2**53))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(np.flatnonzero(c), c) for c in (_counts(t) for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([on.astype("<u2").tobytes() for on, _ in kept], pa.binary()), pa.array([c[on].astype("<u4").tobytes() for on, c in kept], pa.binary()), batch.column(2)],
-                ["doc_id", "features", "counts", "lang"])
+                ["place", "features", "counts", "lang"])
 
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # of distinct rows, to 2 %: repeated ones would make the share that is wanted look smaller than it is
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
     rows = []
     with small_batches(docs.sparkSession):
         frequency, n_docs = document_frequencies(known)
         if sizes:
-            # hashes below twice the share that is wanted leave about 2 * most_each ids of each language, never fewer than are wanted in practice
+            # hashes below twice the share that is wanted leave about 2 * most_each distinct rows of each language; half of that would do
             cut = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, 2.0 * most_each / n)]), F.col("lang"))
-            likely = known.select("doc_id", "lang", place.alias("place")).where(F.col("place") < cut).distinct().collect()
-            ids = [x[1:] for x in _first([(r["lang"], (r["place"], r["doc_id"], r["lang"])) for r in likely], most_each)]
-            chosen = docs.sparkSession.createDataFrame(ids, known.select("doc_id", "lang").schema)
-            drawn = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, features binary, counts binary, lang string")
-            at = {x: k for k, x in enumerate(ids)}
-            found = [(r["lang"], (at[r["doc_id"], r["lang"]], bytes(r["features"]), bytes(r["counts"]), r["lang"])) for r in drawn.distinct().collect()]
+            likely = known.select("place", "lang").where(F.col("place") < cut).distinct().collect()
+            places = _first([(r["lang"], (r["place"], r["lang"])) for r in likely], most_each)
+            chosen = docs.sparkSession.createDataFrame(places, known.select("place", "lang").schema)
+            drawn = known.join(F.broadcast(chosen), ["place", "lang"], "left_semi").select("place", "text", "lang").mapInArrow(counted, "place double, features binary, counts binary, lang string")
+            found = [(r["lang"], (r["place"], bytes(r["features"]), bytes(r["counts"]), r["lang"])) for r in drawn.distinct().collect()]
             rows = sorted(_first(found, most_each))
     idf = np.where(frequency > 0, np.log((n_docs + 1) / (frequency + 1)) + 1, 0.0)
     languages = tuple(sorted({r[3] for r in rows}))
@@ -183,8 +184,10 @@ def fit_languages(docs: DataFrame, *, most_each: int = 750, seed: int = 0) -> La
     for _, features, counts, lang in rows:
         on = np.frombuffer(features, dtype="<u2").astype(np.int64)
         data.append((on, _weighted(np.frombuffer(counts, dtype="<u4"), idf[on]), languages.index(lang)))
-    fit, rest = [x for k, x in enumerate(data) if k % 5], data[::5] if len(data) >= 10 else []
-    weights = train(fit if rest else data, len(languages)) if languages else np.zeros((FEATURES + 1, 0))
+    seen: Counter[str] = Counter()
+    nth = [(seen.update([lang]), seen[lang] - 1)[1] for *_, lang in rows]
+    fit, rest = [x for k, x in zip(nth, data) if k % 5 < 4], [x for k, x in zip(nth, data) if k % 5 == 4]
+    weights = train(fit, len(languages)) if languages else np.zeros((FEATURES + 1, 0))
     logits = np.array([x @ weights[on] + weights[-1] for on, x, _ in rest])
     return LanguageModel(languages, idf, weights, temperature_of(logits, np.array([y for *_, y in rest])))
 
