@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import let, many_buckets, ranked, stored, uniform, whole_row, words_of
 
+#: A source's quality weights are summed up in so many steps of the range from 0 to 1.
+STEPS = 20
 #: Sources up to which their plan is broadcast, and rows of their bucket sums up to which these are; above, the joins shuffle.
 BROADCAST_SOURCES, BROADCAST_ROWS = 262_144, 262_144
 
@@ -43,28 +45,38 @@ def quality_weight(words: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs (with no columns of these names) with _size and _at: what orders a source's documents, the exponential key first."""
+    """docs (with no columns of these names) with _size, _quality and _at: what orders a source's documents, the exponential key first."""
     row = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("size"), quality_weight(w).alias("quality")))
-    at = F.struct((-F.log(uniform(F.col("doc_id"), str(seed))) / F.col("_row.quality")).alias("key"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return docs.withColumn("_row", row).withColumn("_size", F.col("_row.size")).withColumn("_at", at).drop("_row")
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    at = F.struct((-F.log(uniform(own, str(seed))) / F.col("_row.quality")).alias("key"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return docs.withColumn("_row", row).withColumn("_size", F.col("_row.size")).withColumn("_quality", F.col("_row.quality")).withColumn("_at", at).drop("_row")
+
+
+def _bucket(weights: Column, buckets: int) -> Column:
+    """The bucket of a key among evenly filled ones: how likely a key below it is, given how many of its source's documents have which weight."""
+    likely = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w["share"] * (1 - F.exp(-w["weight"] * F.col("_at.key"))))
+    return F.floor(likely * buckets)
 
 
 def _plan(slim: DataFrame, weights: Sequence[float], most_epochs: float) -> DataFrame:
     """One row for each source: source_size, target, epochs, and _last, the place of the last document of the part epoch."""
     spark = slim.sparkSession
-    counts = slim.groupBy("source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()
+    steps = slim.groupBy("source", F.floor(F.col("_quality") * STEPS).alias("_step")).agg(F.sum("_size").alias("n"), F.count("*").alias("rows"), F.sum("_quality").alias("weight"))
+    counts = steps.groupBy("source").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.collect_list(F.struct("rows", "weight")).alias("weights")).collect()
     sizes = [(r["source"], r["n"]) for r in counts]
     wanted = targets(sizes, weights, most_epochs)
     sent = F.broadcast if len(sizes) <= BROADCAST_SOURCES else lambda df: df
-    table = spark.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0) for s, n in sizes], "_source string, source_size long, target double, epochs int")
-    # keys of weight 0.55, the mean of its range, fall evenly into the buckets; the order is that of the keys in any case
+    shares = [[(w["rows"] / r["rows"], w["weight"] / w["rows"]) for w in sorted(r["weights"], key=lambda w: w["weight"] / w["rows"])] for r in counts]
+    table = spark.createDataFrame([(s, n, wanted[s], int(wanted[s] // n) if n else 0, w) for (s, n), w in zip(sizes, shares)], "_source string, source_size long, target double, epochs int, _weights array<struct<share:double,weight:double>>")
     buckets = many_buckets(max((r["rows"] for r in counts), default=0))
-    bucket = F.floor((1 - F.exp(-F.col("_at.key") * 0.55)) * buckets)
-    placed = ranked(slim, ["source"], ["_at"], bucket, "_before", F.col("_size"), len(sizes) * buckets <= BROADCAST_ROWS)
+    # rows alike are one row here, with the words of all: they are taken together
+    alike = slim.groupBy("source", "_at", "_size").agg((F.count("*") * F.col("_size")).alias("_words"))
+    same = alike["source"].eqNullSafe(table["_source"])
+    own = alike.join(sent(table), same).withColumn("_bucket", _bucket(F.col("_weights"), buckets)).drop("_weights")
+    placed = ranked(stored(own, "keys"), ["source"], ["_at"], F.col("_bucket"), "_before", F.col("_words"), len(sizes) * buckets <= BROADCAST_ROWS)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     taken = (F.col("_size") > 0) & (rest - F.col("_before") > F.col("_size") / 2)
-    same = placed["source"].eqNullSafe(table["_source"])
-    return sent(stored(placed.join(sent(table), same).groupBy("_source", "source_size", "target", "epochs").agg(F.max(F.when(taken, F.col("_at"))).alias("_last")), "plan"))
+    return sent(stored(placed.groupBy("_source", "source_size", "target", "epochs").agg(F.max(F.when(taken, F.col("_at"))).alias("_last")), "plan"))
 
 
 def _taken(keyed: DataFrame, plan: DataFrame) -> DataFrame:
