@@ -64,6 +64,11 @@ def many_buckets(rows: int) -> int:
     return max(1, math.isqrt(rows))
 
 
+def long_list(values: Sequence[int]) -> Column:
+    """A list of whole numbers as one literal: the optimizer folds it, and the driver makes one call into the JVM, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import many_buckets, ranked, small_batches, stored
+from .common import long_list, many_buckets, ranked, small_batches, stored
 
 #: Id put after each document.
 END = 0
@@ -160,10 +160,10 @@ def pack(cut: DataFrame, *, width: int = 1024) -> DataFrame:
     starts = (slots["length"] * base + slots["first"]).to_numpy()
     many, sequence, offset, first = (slots[k].to_numpy() for k in ("many", "sequence", "offset", "first"))
     # lengths of many pieces (most are whole ones) have as many buckets as keep each at the same size
-    buckets = {k: b for k, n in histogram.items() if (b := many_buckets(n)) > 1}
-    of = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for kb in buckets.items() for x in kb]), F.col("length")), F.lit(1)) if buckets else F.lit(1).cast("long")
+    buckets = [many_buckets(histogram.get(k, 0)) for k in range(width + 1)]
+    of = F.get(long_list(buckets), F.col("length").cast("int"))
     hashed = cut.withColumn("_u", F.shiftrightunsigned(F.xxhash64("doc_id", "start", "ids_crc32"), 11) / float(2**53))
-    with_rank = ranked(hashed, ["length"], ["_u", "doc_id", "start", "ids_crc32"], F.floor(F.col("_u") * of), "_rank", few=len(histogram) + sum(buckets.values()) <= BROADCAST_ROWS)
+    with_rank = ranked(hashed, ["length"], ["_u", "doc_id", "start", "ids_crc32"], F.floor(F.col("_u") * of), "_rank", few=sum(buckets) <= BROADCAST_ROWS)
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         length, rank = length.to_numpy(), rank.to_numpy()
