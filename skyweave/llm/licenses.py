@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -94,6 +95,11 @@ def licence_words(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     return sorted(((w, math.log((n_docs + 1) / (of.get(w, 0) + 1))) for w in vocabulary), key=lambda x: (-x[1], x[0]))
 
 
+def _table(values: list | dict, kind: str) -> Column:
+    """A nested table as one literal, which the optimizer folds; built from its parts it would take a call into the JVM for each."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _phrase_starts(words: Column, phrases: list[list[str]]) -> Column:
     """Sorted starts (and numbers of the phrase) of places where a phrase's words stand consecutively."""
 
@@ -130,11 +136,11 @@ def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATE
         for _, p, w in rarest:
             posting.setdefault(w, []).append((t, p))
     looked_up = sorted(posting, key=rank.__getitem__)
-    postings = F.create_map(*[x for w in looked_up for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in posting[w]]))])
+    postings = _table({w: [{"t": t, "p": p} for t, p in posting[w]] for w in looked_up}, "map<string,array<struct<t:int,p:int>>>")
     phrases = [p.split() for p in BASE]
 
     at = lambda words, run, x: F.coalesce(F.get(words, run["o"] + x["p"]) == x["w"], F.lit(False))  # noqa: E731  template word x is where run (t, o) puts it
-    listed = lambda places: F.array(*[F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in own]) for own in places])
+    listed = lambda places: _table([[{"p": p, "w": w} for p, w in own] for own in places], "array<array<struct<p:int,w:string>>>")
     key_words = listed([[(p + j, w) for p, k in own for j, w in enumerate(k)] for own in keys])
     all_words = listed([list(enumerate(t.words)) for t in templates])
 
