@@ -36,7 +36,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
     Key: doc_id alone; a null doc_id is a key like any other. Size: UTF-8 bytes of the text plus 1; a null
     text has none, so size 1 and the checksum of no bytes, as an empty one. Rows repeated in full lie in
     one shard, in slots of their own. An empty table gives an empty result. Extra columns are not read.
-    Slots follow a digest of doc_id. grown: weights of the shard set to compare with (null result where None).
+    Slots follow a digest of doc_id and text, so many rows of one key are no single task. grown: weights of the shard set to compare with (null result where None).
     """
     key, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = stored(docs.select(
@@ -45,7 +45,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
         F.crc32(text).alias("text_crc32"),
         shard_of(key, weights).alias("shard"),
         (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        uniform(key, "slot").alias("order"),
+        uniform(F.concat_ws(":", key, F.crc32(text)), "slot").alias("order"),
     ), "shards")
     buckets = many_buckets(slim.count() // len(weights) + 1)
     return ranked(slim, ["shard"], ["order", "doc_id", "text_crc32", "size"], F.floor(F.col("order") * buckets), "slot", few=len(weights) * buckets <= BROADCAST_ROWS).drop("order")
