@@ -66,6 +66,7 @@ def change_points(rows: DataFrame, key: str, day: str, value: str, *, least: int
     rows: a key, a day (date) and a whole number; rows that have no day or no value take no part, repeated ones count each time, a null key is a
     key like any other, other columns are not read. A series of fewer than 2 * least days is one segment. key, segment_no (from 1), first_day (days since
     1970), n_days, total, spread (V), cost, n_segments, best_cost (of the whole series, penalties included). An empty table gives no segments.
+    A spread that no long holds is null; its cost is right all the same.
 
     Sums by key and day are made before anything meets by key, so a task gets a row for each day of a key, however many rows the key has. A series is
     held by one task: its work grows with the square of its days, its memory with the days.
@@ -88,7 +89,7 @@ def change_points(rows: DataFrame, key: str, day: str, value: str, *, least: int
         length = np.array(ends) - np.array(starts)
         out = {
             "key": pd.Series([None if pd.isna(name[0]) else name[0]] * len(starts), dtype=object), "segment_no": np.arange(1, len(starts) + 1, dtype=np.int32), "first_day": first + np.array(starts), "n_days": length,
-            "total": [sum(values[a:b]) for a, b in zip(starts, ends)], "spread": spread, "cost": costs(length, np.array([float(v) for v in spread])), "n_segments": len(starts), "best_cost": best,
+            "total": [sum(values[a:b]) for a, b in zip(starts, ends)], "spread": pd.Series([v if v < 1 << 63 else None for v in spread], dtype=object), "cost": costs(length, np.array([float(v) for v in spread])), "n_segments": len(starts), "best_cost": best,
         }
         return pd.DataFrame(out)
 
