@@ -18,11 +18,11 @@ d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))
 sums AS (SELECT row, doc_id, CAST(length(digits) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(digits, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM d, steps),
 race AS (SELECT row, CAST(s AS INTEGER) AS s, -ln({_uniform("doc_id", "s")}) AS time FROM d, range(17) r(s)),
 won AS (SELECT row, first(s ORDER BY time, s) FILTER (s < 16) AS shard, first(s ORDER BY time, s) AS grown_shard FROM race GROUP BY row)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {_uniform("doc_id", "'slot'")}, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM sums JOIN won USING (row)"""
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {_uniform("concat_ws(':', doc_id, text_crc32)", "'slot'")}, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM sums JOIN won USING (row)"""
 
-MIX = f"""WITH w AS (SELECT doc_id, source, coalesce({_WORDS}, []) AS words FROM documents),
-q AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS size, CASE WHEN len(words) > 0 AND length(array_to_string(words, '')) / len(words) BETWEEN 2 AND 12 THEN greatest(0.1::DOUBLE, least(1::DOUBLE, list_unique(words) / least(len(words), 400))) ELSE 0.1::DOUBLE END AS quality FROM w),
-keyed AS (SELECT *, -ln({_uniform("doc_id", "0")}) / quality AS key FROM q),
+MIX = f"""WITH w AS (SELECT doc_id, source, md5(coalesce(text, '')) AS hash, coalesce({_WORDS}, []) AS words FROM documents),
+q AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS size, concat(doc_id, ':', hash) AS own, CASE WHEN len(words) > 0 AND length(array_to_string(words, '')) / len(words) BETWEEN 2 AND 12 THEN greatest(0.1::DOUBLE, least(1::DOUBLE, list_unique(words) / least(len(words), 400))) ELSE 0.1::DOUBLE END AS quality FROM w),
+keyed AS (SELECT *, -ln({_uniform("own", "0")}) / quality AS key FROM q),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM q GROUP BY source),
 -- sources whose limit is reached at the lowest shares come first; at each, what is left for it and those after it
 shares AS (SELECT *, (SELECT sum(n) FROM sources) - coalesce(sum(3 * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS whole FROM sources WINDOW o AS (ORDER BY 3 * n / weight, source NULLS LAST)),

@@ -66,6 +66,15 @@ def test_shards_against_brute_force(docs, odd, empty, rows):
         shards.shard_of(F.lit(1), [1.0, 0.0])
 
 
+def test_slots_of_one_key_spread(spark):
+    """Rows of one key lie in one shard; what orders its slots is another for each text."""
+    frame = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    out = shards.assign_shards(frame, [1.0] * 4)
+    assert sorted(r["slot"] for r in out.collect()) == list(range(3000)) and out.select("shard").distinct().count() == 1
+    orders = frame.select(common.uniform(F.concat_ws(":", "doc_id", F.crc32("text")), "slot").alias("u"))
+    assert max(r["count"] for r in orders.groupBy(F.floor(F.col("u") * 54)).count().collect()) < 3 * 3000 / 54
+
+
 def test_weighted_shards_get_their_part(spark):
     n = Counter(r["s"] for r in spark.range(20_000).select(shards.shard_of(F.col("id"), [1.0, 3.0]).alias("s")).collect())
     assert abs(n[1] / 20_000 - 0.75) < 0.02
@@ -279,7 +288,7 @@ def mix_key(doc_id, text):
     words = WORD.findall(text or "")
     mean = len("".join(words)) / len(words) if words else 0
     quality = max(0.1, min(1.0, len(set(words)) / min(len(words), 400))) if 2 <= mean <= 12 else 0.1
-    u = (int(hashlib.md5(f"{'' if doc_id is None else doc_id}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    u = (int(hashlib.md5(f"{'' if doc_id is None else doc_id}:{hashlib.md5((text or '').encode()).hexdigest()}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
     return -np.log(u) / quality
 
 
@@ -302,7 +311,8 @@ def test_mix_against_brute_force(docs, odd, empty, rows):
         for s in sizes:
             keyed = sorted({(mix_key(d, t), d is not None, d or 0, t or "") for d, t, x in source if x == s and WORD.search(t or "")})
             rest, n = want[s] - (want[s] // sizes[s] * sizes[s] if sizes[s] else 0), 0
-            for _, _, d, t in keyed:
+            for _, known, d, t in keyed:
+                d = d if known else None
                 times = sum((x, y or "", z) == (d, t, s) for x, y, z in source)
                 if rest - n > len(WORD.findall(t)) / 2:
                     chosen[s, d] += times
@@ -318,6 +328,24 @@ def test_mix_against_brute_force(docs, odd, empty, rows):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("texts", [lambda i: "a", lambda i: " ".join(f"w{k}" for k in range(20 + i % 7)), lambda i: f"{i} b" if i % 2 else "same text again"])
+def test_no_bucket_of_keys_is_much_larger(spark, texts):
+    """Whatever the weights of a source: all 0.1, all 1, half of the rows alike."""
+    rows = [(None if i % 3 == 0 else i, texts(i) + ("" if i % 2 else f" x{i}"), "s") for i in range(6000)]
+    slim = common.stored(mixing._keyed(spark.createDataFrame(rows, "doc_id long, text string, source string"), 0), "slim")
+    weights = [(r["_quality"], r["n"]) for r in slim.groupBy("_quality").agg(F.count("*").alias("n")).collect()]
+    column = F.array(*[F.struct(F.lit(n / 6000).alias("share"), F.lit(float(w)).alias("weight")) for w, n in weights])
+    full = [r["count"] for r in slim.select("_at").distinct().groupBy(mixing._bucket(column, 60).alias("b")).count().collect()]
+    assert max(full) <= 2 * 6000 / 60 and sum(full) >= 3000
+
+
+def test_repeated_rows_meet_as_one(spark):
+    rows = [(7, "one two three four", "s")] * 900 + [(i, f"word{i} and two", "s") for i in range(100)] + [(1, "another source", "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(frame, weights=(1, 1)).collect()
+    assert len(out) == 1001 and len({r["copies"] for r in out if r["doc_id"] == 7 and r["size"] == 4}) == 1
+
+
 def test_mixed_repeats_documents(docs):
     plan = {r["doc_id"]: max(r["copies"], r["size"] == 0) for r in mixing.mix(docs).collect()}
     out = mixing.mixed(docs)
@@ -402,6 +430,16 @@ def test_rare_languages_are_learned(spark):
     assert model.languages == ("aa", "bb") and model.predict("xyv qwer zu")[0] == "bb" and model.predict("tori kala")[0] == "aa"
 
 
+def test_languages_of_repeated_ids_and_rows_are_learned(spark):
+    """20,000 rows of a language under 8 ids; 20,000 times one row of another, which is known, though one row teaches little."""
+    ids = [i for i in range(60) if langid.fold(i)][:9]
+    rows = [(i, f"kala mena tori {i % 11}x", "aa") for i in range(2000)] + [(i, f"zu xyv qwer {i % 13}x", "bb") for i in range(2000)]
+    rows += [(ids[i % 8], f"omb ilf hrat{'o' * (i % 977)}", "cc") for i in range(20_000)] + [(ids[8], "dduu ddee dduu", "dd")] * 20_000
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_each=100)
+    assert model.languages == ("aa", "bb", "cc", "dd")
+    assert [model.predict(t)[0] for t in ("tori kala", "xyv zu", "ilf omb")] == ["aa", "bb", "cc"]
+
+
 def test_the_session_keeps_its_batch_size(spark, docs):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
