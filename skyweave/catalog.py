@@ -5,13 +5,16 @@ The events table is a daily cube (target 2024-01-16, windows of five days), the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr as X
-from .operators import correct, focal, fusion, holdout, metrics, mosaic, segment, temporal
+from .functions import projection
+from .operators import areas, correct, focal, fusion, holdout, metrics, mosaic, resample, segment, temporal, tiles
 from .plans import pipeline
 from .sources import cubes
 
@@ -30,13 +33,20 @@ class Events:
         self.spark, self.folder = spark, folder
         self.obs = self.obs_in()
         self.cell = self.cell_in()
-        self.grid = cubes.dense_grid(self.obs, cubes.EVENT_BANDS)
 
-    def obs_in(self, first: int | None = None, last: int | None = None) -> DataFrame:
-        return cubes.event_observations(self.spark, self.folder, first, last)
+    @cached_property
+    def shape(self) -> tuple[int, int]:
+        return cubes.rows_of(self.spark, self.folder, "events", "user_id", cubes.EVENT_COLUMNS), cubes.EVENT_COLUMNS
 
-    def cell_in(self, first: int | None = None, last: int | None = None) -> DataFrame:
-        return mosaic.daily_mosaic(self.obs_in(first, last).where(X.cloud_shadow_clear(F.col("qa"))))
+    @cached_property
+    def grid(self) -> DataFrame:
+        return cubes.dense_grid(self.spark, self.shape, cubes.EVENT_BANDS)
+
+    def obs_in(self, first: int | None = None, last: int | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+        return cubes.event_observations(self.spark, self.folder, first, last, rows)
+
+    def cell_in(self, first: int | None = None, last: int | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+        return mosaic.daily_mosaic(self.obs_in(first, last, rows).where(X.cloud_shadow_clear(F.col("qa"))))
 
     def at(self, d: int, name: str = "observed") -> DataFrame:
         return self.cell_in(d, d).select(*KEYS, F.col("value").alias(name))
@@ -74,6 +84,10 @@ class Parts:
         self.spark, self.folder = spark, folder
         self.grid = cubes.part_grid(spark, folder)
 
+    @cached_property
+    def coarse_shape(self) -> tuple[int, int]:
+        return -(-cubes.rows_of(self.spark, self.folder, "part", "p_partkey", cubes.PART_COLUMNS) // 5), cubes.PART_COLUMNS // 5
+
     def cell_in(self, first: int, last: int) -> DataFrame:
         return cubes.part_cells(self.spark, self.folder, first, last)
 
@@ -90,6 +104,14 @@ class Parts:
         own = self.cell_in(first, last).join(self.grid, ["band", "px"])
         return own.groupBy("band", "d", F.expr("cast(y div 5 as int)").alias("cy"), F.expr("cast(x div 5 as int)").alias("cx")).agg((F.avg("value") / 100000.0).alias("value"))
 
+    def sharp_and_coarse(self, fine: int, days: dict[str, int], name: str) -> tuple[DataFrame, DataFrame]:
+        """The fine image of a year on the grid, and the coarse images of some years beside each other, from one pass over these years."""
+        years = sorted({fine, *days.values()})
+        cells = self.cell_in(years[0], years[-1]).where(F.col("d").isin(years))
+        one = cells.groupBy("band", "px").agg((F.max(F.when(F.col("d") == fine, F.col("value"))) / 100000.0).alias(name))
+        block = cells.join(self.grid, ["band", "px"]).groupBy("band", F.expr("cast(y div 5 as int)").alias("cy"), F.expr("cast(x div 5 as int)").alias("cx")).agg(*[(F.avg(F.when(F.col("d") == d, F.col("value"))) / 100000.0).alias(c) for c, d in days.items()])
+        return self.grid.select("band", "px", "y", "x").join(one, ["band", "px"], "left").select(*KEYS, name), block
+
     def sharp(self, d: int, name: str) -> DataFrame:
         return self.grid.select("band", "px", "y", "x").join(self.cell_in(d, d).select("band", "px", (F.col("value") / 100000.0).alias(name)), ["band", "px"], "left").select(*KEYS, name)
 
@@ -109,7 +131,7 @@ class Parts:
 
 EV = f"""WITH obs AS (SELECT event_id AS source_id, ts, CAST(ts AS DATE) AS day, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INT) AS d, event_type AS band, CAST(user_id // 15 AS INT) AS y, CAST(user_id % 15 AS INT) AS x, CAST(json_extract(props, '$.k') AS INT) AS qa, value AS dn FROM events),
 cell AS (SELECT day, d, band, y, x, arg_max(dn, source_id) AS value FROM obs WHERE (qa & 24) = 0 GROUP BY ALL),
-grid AS (SELECT * FROM (SELECT DISTINCT y, x FROM obs), (SELECT DISTINCT band FROM obs)),
+grid AS (SELECT band, CAST(i // 15 AS INT) AS y, CAST(i % 15 AS INT) AS x FROM (SELECT unnest(range(0, (max(user_id) // 15 + 1) * 15)) AS i FROM events), (SELECT DISTINCT band FROM obs)),
 br AS (SELECT band, y, x, arg_max(value, d) FILTER (d < {T}) AS vb, max(d) FILTER (d < {T}) AS db, arg_min(value, d) FILTER (d > {T}) AS va, min(d) FILTER (d > {T}) AS da FROM cell WHERE abs(d - {T}) BETWEEN 1 AND {N} GROUP BY ALL),
 br2 AS (SELECT g.band, g.y, g.x, c.value AS observed, vb, va, {T} - db AS ab, da - {T} AS aa, vb + (CAST({T} - db AS DOUBLE) / (({T} - db) + (da - {T}))) * (va - vb) AS strict FROM grid g LEFT JOIN br USING (band, y, x) LEFT JOIN (SELECT * FROM cell WHERE d = {T}) c USING (band, y, x)),
 tmp AS (SELECT *, coalesce(strict, vb, va) AS carry, CAST(CASE WHEN strict IS NOT NULL THEN 1 ELSE 0 END AS INT) AS st0, CAST(CASE WHEN strict IS NOT NULL THEN 1 WHEN vb IS NOT NULL THEN 2 WHEN va IS NOT NULL THEN 3 ELSE 0 END AS INT) AS st FROM br2),
@@ -143,7 +165,7 @@ sd AS (SELECT band, seg, CASE WHEN n >= 30 THEN coalesce(mt - ml, gt) ELSE gt EN
 
 
 def _bilinear(year: int, name: str) -> str:
-    return f""", o_{name} AS (SELECT * FROM (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)), e_{name} AS (SELECT max(cy) AS my, max(cx) AS mx FROM pc WHERE d = {year}),
+    return f""", o_{name} AS (SELECT * FROM (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)), e_{name} AS (SELECT max(y // 5) AS my, 9 AS mx FROM pgrid),
 {name} AS (SELECT g.band, g.y, g.x, CASE WHEN count(c.value) = 4 THEN sum(w * c.value) END AS value FROM (SELECT band, y, x, CASE dy WHEN 1 THEN ((y+0.5)/5-0.5) - floor((y+0.5)/5-0.5) ELSE 1 - (((y+0.5)/5-0.5) - floor((y+0.5)/5-0.5)) END * CASE dx WHEN 1 THEN ((x+0.5)/5-0.5) - floor((x+0.5)/5-0.5) ELSE 1 - (((x+0.5)/5-0.5) - floor((x+0.5)/5-0.5)) END AS w,
  greatest(0, least(floor((y+0.5)/5-0.5) + dy, my)) AS cy, greatest(0, least(floor((x+0.5)/5-0.5) + dx, mx)) AS cx FROM (SELECT band, y, CAST(x AS DOUBLE) AS x FROM pgrid), o_{name}, e_{name}) g LEFT JOIN (SELECT * FROM pc WHERE d = {year}) c ON c.band = g.band AND c.cy = g.cy AND c.cx = g.cx GROUP BY ALL)"""
 
@@ -261,8 +283,46 @@ _parts("crop_mask", lambda p: p.grid.where(F.col("seg").isin(1, 4)).select(*KEYS
 # joins
 _events("reference_anti_join", lambda e: e.cell.join(e.scenes.where(F.col("d") == T).select("d"), "d", "left_anti").select("d", *KEYS, "value"), f"SELECT d, band, y, x, value FROM cell WHERE d <> {T}")
 _events("sparse_window", lambda e: e.cell.where(F.abs(F.col("d") - T) >= 10).select("d", *KEYS, "value"), f"SELECT d, band, y, x, value FROM cell WHERE abs(d - {T}) >= 10")
-_parts("bilinear_resample", lambda p: _rounded(focal.bilinear(p.coarse_in(1998, 1998), p.grid, 5), "value", n=4), _bilinear(1998, "bl") + " SELECT band, y, CAST(x AS INT) AS x, round(value, 4) AS value FROM bl")
+_parts("bilinear_resample", lambda p: _rounded(resample.bilinear(p.coarse_in(1998, 1998), p.grid, 5, p.coarse_shape), "value", n=4), _bilinear(1998, "bl") + " SELECT band, y, CAST(x AS INT) AS x, round(value, 4) AS value FROM bl")
 _events("aoi_semi_join", lambda e: e.cell.join(e.grid.where("(x + y) % 4 = 0").select("y", "x").distinct(), ["y", "x"], "left_semi").select("d", *KEYS, "value"), "SELECT d, band, y, x, value FROM cell WHERE (x + y) % 4 = 0")
+#: A hook around a bay, with a hole, and an island in that hole; corners lie on no cell's centre.
+_AOI = '{"type": "MultiPolygon", "coordinates": [[[[1.2, 0.6], [13.7, 0.9], [13.1, 8.8], [9.4, 9.3], [9.9, 4.2], [6.1, 4.7], [5.7, 9.1], [1.4, 8.6], [1.2, 0.6]], [[2.3, 1.7], [5.2, 1.3], [4.6, 4.1], [2.2, 3.9], [2.3, 1.7]]], [[[2.8, 2.1], [4.3, 2.2], [3.6, 3.3]]]]}'
+
+
+def _aoi(e: Events) -> DataFrame:
+    grid = projection.Grid(projection.Geographic(), (1, 0, 0, 0, 1, 0), e.shape[1], max(1, e.shape[0]))
+    area = e.spark.createDataFrame([(0, _AOI)], "area int, geometry string")
+    found = areas.spans(area, areas.rings_of(F.col("geometry")), grid)
+    return areas.within(e.cell_in(rows=areas.row_range(_AOI, grid)), found, grid).select("d", *KEYS, "value")
+
+
+def _ring_edges() -> str:
+    """The AOI's edges as SQL rows."""
+    rings = [ring for polygon in json.loads(_AOI)["coordinates"] for ring in polygon]
+    return ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]]))
+
+
+_CROSSES = "(y1 > y + 0.5::DOUBLE) <> (y2 > y + 0.5::DOUBLE) AND x + 0.5::DOUBLE < (x2 - x1) * (y + 0.5::DOUBLE - y1) / (y2 - y1) + x1"
+_events("aoi_polygon", _aoi, f" SELECT d, band, y, x, value FROM cell WHERE (SELECT count(*) FROM (VALUES {_ring_edges()}) e(x1, y1, x2, y2) WHERE {_CROSSES}) % 2 = 1")
+
+
+def _zones(p: Parts) -> DataFrame:
+    """Areas of eight suppliers each, their rings through the suppliers' places in order (they cross themselves), and the sums of the parts within."""
+    height = cubes.rows_of(p.spark, p.folder, "part", "p_partkey", cubes.PART_COLUMNS)
+    grid = projection.Grid(projection.Geographic(), (1, 0, 0, 0, 1, 0), cubes.PART_COLUMNS, max(1, height))
+    key, area = F.col("s_suppkey"), F.expr("s_suppkey div 8")
+    x, y = (area * 17) % 50 + ((key * 37) % 120) / 10.0 - 6.0, (area * 29) % height + ((key * 91) % 120) / 10.0 - 6.0
+    corners = cubes.read(p.spark, p.folder, "supplier").select(area.alias("area"), key.alias("key"), F.array(x, y).alias("point"))
+    own = corners.groupBy("area").agg(F.array_sort(F.collect_list(F.struct("key", "point"))).alias("ring"))
+    found = areas.spans(own, F.array(F.col("ring.point")), grid)
+    values = p.grid.join(p.cell_in(1998, 1998).select("band", "px", "value"), ["band", "px"])
+    return areas.by_area(values, found, grid).groupBy("area", "band").agg(F.count("*").alias("n"), _r(F.sum("value"), 2).alias("total"), F.max("value").alias("most"))
+
+
+_parts("zonal_sums", _zones, f""", h AS (SELECT max(p_partkey) // 50 + 1 AS h FROM part), c AS (SELECT s_suppkey // 8 AS area, s_suppkey AS k, (s_suppkey // 8 * 17) % 50 + (s_suppkey * 37 % 120) / 10.0::DOUBLE - 6.0::DOUBLE AS cx, (s_suppkey // 8 * 29) % h + (s_suppkey * 91 % 120) / 10.0::DOUBLE - 6.0::DOUBLE AS cy FROM supplier, h),
+e AS (SELECT area, cx AS x1, cy AS y1, coalesce(lead(cx) OVER o, first_value(cx) OVER o) AS x2, coalesce(lead(cy) OVER o, first_value(cy) OVER o) AS y2 FROM c WINDOW o AS (PARTITION BY area ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+v AS (SELECT band, y, x, value FROM pcell JOIN pgrid USING (band, px) WHERE d = 1998), met AS (SELECT area, band, y, x, value FROM v JOIN e ON {_CROSSES} GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT area, band, count(*) AS n, round(sum(value), 2) AS total, max(value) AS most FROM met GROUP BY area, band""")
 _POINTS = [(y, (3 * y + k) % 15) for y in range(10) for k in (0, 7)]
 _events("sample_points", lambda e: e.cell.join(F.broadcast(e.spark.createDataFrame(_POINTS, "y int, x int")), ["y", "x"]).select("d", *KEYS, "value"), f"SELECT d, band, y, x, value FROM cell JOIN (VALUES {', '.join(map(str, _POINTS))}) p(y, x) USING (y, x)")
 
@@ -289,7 +349,7 @@ _events("common_support", lambda e: mosaic.common_support(e.cell.where(F.col("ba
 _SERIES = f""", days AS (SELECT g.band, g.y, g.x, CAST({FIRST} + i AS INT) AS d FROM grid g, range(0, 30) r(i)), own AS (SELECT days.*, c.value, CASE WHEN c.value IS NOT NULL THEN days.d END AS vd FROM days LEFT JOIN cell c USING (band, y, x, d)),
 wd AS (SELECT *, last_value(value IGNORE NULLS) OVER p AS vb, max(vd) OVER p AS db, first_value(value IGNORE NULLS) OVER f AS va, min(vd) OVER f AS da FROM own WINDOW p AS (PARTITION BY band, y, x ORDER BY d RANGE BETWEEN {N} PRECEDING AND 1 PRECEDING), f AS (PARTITION BY band, y, x ORDER BY d RANGE BETWEEN 1 FOLLOWING AND {N} FOLLOWING)),
 series AS (SELECT *, vb + (CAST(d - db AS DOUBLE) / ((d - db) + (da - d))) * (va - vb) AS prediction FROM wd)"""
-_events("series_fill", lambda e: temporal.series_fill(e.cell, e.grid, FIRST, FIRST + 29, N), _SERIES + " SELECT band, y, x, d, value, prediction, coalesce(value, prediction) AS filled FROM series")
+_events("series_fill", lambda e: temporal.series_fill(e.cell_in(FIRST - N, FIRST + 29 + N), e.grid, FIRST, FIRST + 29, N), _SERIES + " SELECT band, y, x, d, value, prediction, coalesce(value, prediction) AS filled FROM series")
 _events("clearest_scene", lambda e: e.scenes.orderBy("cloud", "d").limit(1).select("d", _r(F.col("cloud")).alias("cloud")), "SELECT d, round(cloud, 7) AS cloud FROM scenes ORDER BY scenes.cloud, d LIMIT 1")
 _events("golden_day", lambda e: e.scenes.where("cloud < 100").select("d", _r(F.col("cloud"), 6).alias("cloud_pct")).orderBy("cloud_pct", "d").limit(1), "SELECT d, round(cloud, 6) AS cloud_pct FROM scenes WHERE cloud < 100 ORDER BY 2, 1 LIMIT 1")
 _events("sample_pixels", lambda e: segment.sample_pixels(e.grid.select("y", "x").distinct(), 50), " SELECT y, x FROM (SELECT DISTINCT y, x FROM grid) ORDER BY md5(concat_ws(':', y, x)), y, x LIMIT 50")
@@ -324,6 +384,18 @@ def _patched(e: Events) -> DataFrame:
 _events("edge_blend", lambda e: _rounded(focal.edge_blend(_patched(e)).select(*KEYS, "blended"), "blended", n=9), _PATCHED + _focal("pt", 1.5, "patched") + " SELECT pt.band, pt.y, pt.x, round(coalesce(raw, focal), 9) AS blended FROM pt LEFT JOIN foc USING (band, y, x)")
 _events("feather_safe", lambda e: _rounded(focal.feather(_patched(e)).select(*KEYS, "feathered"), "feathered"), _PATCHED + ", mk AS (SELECT band, y, x, CASE WHEN raw IS NULL THEN 0.0 ELSE 1.0 END AS m FROM pt)" + _focal("mk", 5.0, "m") + " SELECT pt.band, pt.y, pt.x, round(coalesce(raw, 0) * CASE WHEN raw IS NULL THEN 0 ELSE focal END + patched * (1 - CASE WHEN raw IS NULL THEN 0 ELSE focal END), 7) AS feathered FROM pt LEFT JOIN foc USING (band, y, x)")
 
+# the same neighbourhoods on tiles: the grids here are small, and so are the tiles
+_SIDE = 32
+for _name, _tiled in {
+    "focal_mean": lambda e: _rounded(tiles.focal(e.cell_in(T, T), 1.5, side=_SIDE), "focal"),
+    "focal_max": lambda e: tiles.focal(e.cell_in(T, T).where("value > 60"), 6.0, "max", side=_SIDE),
+    "focal_square": lambda e: _rounded(tiles.fill_square(e.target.select(*KEYS, F.col("observed").alias("value")), 10, side=_SIDE), "value"),
+    "edge_blend": lambda e: _rounded(tiles.edge_blend(_patched(e), side=_SIDE), "blended", n=9),
+    "feather_safe": lambda e: _rounded(tiles.feather(_patched(e), side=_SIDE), "feathered"),
+}.items():
+    _add(f"tiled_{_name}", lambda spark, folder, f=_tiled: f(Events(spark, folder)), _SQL[_name])
+_add("tiled_moving_fit", lambda spark, folder: _rounded(tiles.moving_fit(_fit_pairs(Parts(spark, folder)), 15, side=_SIDE), "alpha", "beta", n=3), _SQL["moving_window_fit"])
+
 # time
 _AGES = "CAST(ab AS DOUBLE) AS before_age_days, CAST(aa AS DOUBLE) AS after_age_days, CAST((vb IS NOT NULL)::INT + (va IS NOT NULL)::INT AS INT) AS support_count"
 _events("temporal_strict", lambda e: e.filled().select(*KEYS, "prediction", "status"), "SELECT band, y, x, strict AS prediction, st0 AS status FROM tmp")
@@ -357,21 +429,77 @@ _C = lambda name: F.col(name)
 _parts("dual_fusion", lambda p: _rounded(p.pair.select(*KEYS, fusion.dual_residual(_C("l1"), _C("m1"), _C("l2"), _C("m2"), _C("mt"), _W1, _W2).alias("fused")), "fused", n=4), ", v AS (SELECT band, y, x, mt + 0.75::DOUBLE * (l1 - m1) + 0.25::DOUBLE * (l2 - m2) AS v FROM pair) SELECT band, y, x, round(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, v)) END, 4) AS fused FROM v")
 _parts("fusion_single_residual", lambda p: _rounded(p.pair.select(*KEYS, fusion.single_residual(_C("l1"), _C("m1"), _C("mt")).alias("fused")), "fused", n=4), ", v AS (SELECT band, y, x, mt + (l1 - m1) AS v FROM pair) SELECT band, y, x, round(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, v)) END, 4) AS fused FROM v")
 
-_parts("residual_colour", lambda p: _rounded(p.pair.select(*KEYS, X.residual_colour(_C("l1") - _C("m1")).alias("shade")), "shade", n=4), " SELECT band, y, x, round(CASE WHEN l1 - m1 IS NOT NULL THEN greatest(0.0, least(1.0, (l1 - m1 + 0.15::DOUBLE) / 0.3::DOUBLE)) END, 4) AS shade FROM pair")
+_parts("residual_colour", lambda p: _rounded(p.pair.select(*KEYS, X.residual_colour(_C("l1") - _C("m1")).alias("shade")), "shade", n=3), " SELECT band, y, x, round(CASE WHEN l1 - m1 IS NOT NULL THEN greatest(0.0, least(1.0, (l1 - m1 + 0.15::DOUBLE) / 0.3::DOUBLE)) END, 3) AS shade FROM pair")
 _parts("fusion_same_date", lambda p: _rounded(p.pair.select(*KEYS, fusion.single_residual(_C("l1"), _C("m1"), _C("m1")).alias("fused")), "fused"), " SELECT band, y, x, round(CASE WHEN l1 IS NOT NULL AND m1 IS NOT NULL THEN greatest(0.0, least(1.0, l1)) END, 7) AS fused FROM pair")
 
 
 def _single_delta(p: Parts) -> DataFrame:
-    m = [focal.bilinear(p.coarse_in(d, d), p.grid, 5).withColumnRenamed("value", n) for d, n in ((1996, "mg"), (1998, "mt"))]
-    return _rounded(p.sharp(1996, "lg").join(m[0], KEYS).join(m[1], KEYS).select(*KEYS, fusion.single_delta(_C("lg"), _C("mg"), _C("mt")).alias("fused")), "fused", n=4)
+    sharp, block = p.sharp_and_coarse(1996, {"mg": 1996, "mt": 1998}, "lg")
+    return _rounded(sharp.join(resample.bilinear(block, p.grid, 5, p.coarse_shape, ("mg", "mt")), KEYS).select(*KEYS, fusion.single_delta(_C("lg"), _C("mg"), _C("mt")).alias("fused")), "fused", n=4)
 
 
 _parts("fusion_single_delta", _single_delta, _bilinear(1996, "b1") + _bilinear(1998, "b2") + " SELECT g.band, g.y, g.x, round(f.value + (b2.value - b1.value), 4) AS fused FROM pgrid g LEFT JOIN (SELECT * FROM fine WHERE d = 1996) f USING (band, y, x) JOIN b1 ON b1.band = g.band AND b1.y = g.y AND b1.x = g.x JOIN b2 ON b2.band = g.band AND b2.y = g.y AND b2.x = g.x")
 
 
 def _fuse(e: Events) -> DataFrame:
-    blocks = e.blocks.join(e.coarse_in(), ["band", "cy", "cx"]).select(*KEYS, "d", "value")
-    return _rounded(fusion.fuse_date(e.cell, blocks, e.grid, T - 6, T, FIRST, FIRST + 29, N).select(*KEYS, "fused"), "fused")
+    golden, first, last = T - 6, max(FIRST, T - 6 - N), min(FIRST + 29, T + N)
+    return _rounded(fusion.fuse_date(e.cell_in(golden, golden), e.coarse_in(first, last), e.blocks, golden, T, FIRST, FIRST + 29, N, ("band", "cy", "cx")).select(*KEYS, "fused"), "fused")
+
+
+#: The parts' grid as cells of 30 m in a UTM zone, the events' as cells of 501 m, 16.7 times as wide, on the sphere's sinusoidal plane, its corner 1.7 and 2.3 cells off.
+_ZONE, _EAST, _NORTH = projection.utm(33), 520_000.0, 5_205_000.0
+_PLANE, _WIDE_STEP, _LEFT, _TOP = projection.Sinusoidal(), 501.0, 1_157_160.0, 5_226_850.0
+
+
+def _grids(e: Events, p: Parts) -> tuple[projection.Grid, projection.Grid]:
+    rows = max(1, cubes.rows_of(p.spark, p.folder, "part", "p_partkey", cubes.PART_COLUMNS))
+    return projection.Grid(_PLANE, (_WIDE_STEP, 0, _LEFT, 0, -_WIDE_STEP, _TOP), e.shape[1], max(1, e.shape[0])), projection.Grid(_ZONE, (30, 0, _EAST, 0, -30, _NORTH), cubes.PART_COLUMNS, rows)
+
+
+def _composite(e: Events, days: dict[str, tuple[int, int]]) -> DataFrame:
+    """Means of some ranges of days beside each other, from one pass over all of them."""
+    cells = e.cell_in(min(a for a, _ in days.values()), max(b for _, b in days.values()))
+    return cells.groupBy("band", F.col("y").alias("cy"), F.col("x").alias("cx")).agg(*[F.avg(F.when(F.col("d").between(*r), F.col("value"))).alias(name) for name, r in days.items()])
+
+
+def _regrid(e: Events) -> DataFrame:
+    coarse, fine = _grids(e, Parts(e.spark, e.folder))
+    cells = cubes.dense_grid(e.spark, (fine.height, fine.width), cubes.EVENT_BANDS)
+    return _rounded(resample.regrid(_composite(e, {"value": (T - 2 * N, T + 2 * N)}), cells, coarse, fine), "value", n=3)
+
+
+def _regrid_sql(names: dict[str, tuple[int, int]]) -> str:
+    """Fractional places by the projections' formulas, four neighbours each."""
+    radius, _, inverse, latitude = _ZONE.series()
+    turned = lambda f, g, series, sign, a, b: "".join(f" {sign} {c!r}::DOUBLE * {f}({2 * j} * {a}) * {g}({2 * j} * {b})" for j, c in enumerate(series, 1))
+    lat = "".join(f" + {c!r}::DOUBLE * sin({2 * j} * chi)" for j, c in enumerate(latitude, 1))
+    means = ", ".join(f"avg(value) FILTER (d BETWEEN {a} AND {b}) AS {n}" for n, (a, b) in names.items())
+    mixed = ", ".join(f"CASE WHEN count(c.{n}) = 4 THEN sum(w * c.{n}) END AS {n}" for n in names)
+    return f""", co AS (SELECT band, y AS cy, x AS cx, {means} FROM cell GROUP BY ALL), size AS (SELECT max(user_id) // 15 AS my, 14 AS mx FROM events), pr AS (SELECT max(p_partkey) // 50 + 1 AS h FROM part),
+f0 AS (SELECT CAST(i // 50 AS INT) AS y, CAST(i % 50 AS INT) AS x FROM (SELECT unnest(range(0, h * 50)) AS i FROM pr)),
+f1 AS (SELECT y, x, ({_NORTH} - 30 * (y + 0.5)::DOUBLE) / {0.9996 * radius!r}::DOUBLE AS n, ({_EAST} + 30 * (x + 0.5)::DOUBLE - 500000) / {0.9996 * radius!r}::DOUBLE AS e FROM f0),
+f2 AS (SELECT y, x, n{turned("sin", "cosh", inverse, "-", "n", "e")} AS xi, e{turned("cos", "sinh", inverse, "-", "n", "e")} AS eta FROM f1),
+f3 AS (SELECT y, x, asin(sin(xi) / cosh(eta)) AS chi, radians({_ZONE.meridian}) + atan2(sinh(eta), cos(xi)) AS lon FROM f2), f4 AS (SELECT y, x, lon, chi{lat} AS lat FROM f3),
+f5 AS (SELECT y, x, ({_TOP} - {_PLANE.radius} * lat) / {_WIDE_STEP} - 0.5 AS gy, ({_PLANE.radius} * lon * cos(lat) - {_LEFT}) / {_WIDE_STEP} - 0.5 AS gx FROM f4),
+f6 AS (SELECT y, x, CASE dy WHEN 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END * CASE dx WHEN 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END AS w, CASE WHEN gy BETWEEN -0.5 AND my + 0.5 THEN greatest(0, least(floor(gy) + dy, my)) END AS cy, CASE WHEN gx BETWEEN -0.5 AND mx + 0.5 THEN greatest(0, least(floor(gx) + dx, mx)) END AS cx FROM f5, size, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)),
+re AS (SELECT b.band, f6.y, f6.x, {mixed} FROM f6 CROSS JOIN (SELECT DISTINCT band FROM obs) b LEFT JOIN co c ON c.band = b.band AND c.cy = f6.cy AND c.cx = f6.cx GROUP BY ALL)"""
+
+
+_events("regrid_sinusoidal", _regrid, _regrid_sql({"value": (T - 2 * N, T + 2 * N)}) + " SELECT band, y, x, round(value, 3) AS value FROM re")
+_PAIR, _ALIKE = {"mg": (T - 2 * N, T - 1), "mt": (T, T + 2 * N)}, {"view": "A", "click": "N", "signup": "R"}
+
+
+def _fuse_regridded(e: Events) -> DataFrame:
+    """Difference transfer onto the fine grid from coarse images of another projection: both composites in one pass, one join."""
+    p = Parts(e.spark, e.folder)
+    coarse, fine = _grids(e, p)
+    alike = F.create_map(*[F.lit(x) for kv in _ALIKE.items() for x in kv])
+    both = _composite(e, _PAIR).where(F.col("band").isin(*_ALIKE)).withColumn("band", alike[F.col("band")])
+    at = resample.regrid(both, p.grid, coarse, fine, ("mg", "mt"))
+    return _rounded(p.sharp(1998, "lg").join(at, KEYS).select(*KEYS, fusion.single_delta(_C("lg"), _C("mg"), _C("mt")).alias("fused")), "fused", n=3)
+
+
+_add("fuse_regridded", lambda spark, folder: _fuse_regridded(Events(spark, folder)), EV.rstrip() + PT.replace("WITH ", ", ", 1) + _regrid_sql(_PAIR) + f" SELECT g.band, g.y, g.x, round(f.value + (mt - mg), 3) AS fused FROM pgrid g LEFT JOIN (SELECT * FROM fine WHERE d = 1998) f USING (band, y, x) JOIN re ON re.y = g.y AND re.x = g.x AND g.band = CASE re.band {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in _ALIKE.items())} END")
 
 
 def _fill_sql(t: int, name: str) -> str:
@@ -401,19 +529,19 @@ def _season_window(e: Events) -> DataFrame:
     blocks = e.blocks.where(two)
     own = e.coarse_in(T, T).select("band", "cy", "cx", F.col("value").alias("coarse"))
     pairs = blocks.join(e.at(T, "fine"), KEYS, "left").join(own, ["band", "cy", "cx"], "left").select(*KEYS, "fine", "coarse")
-    coarse = blocks.join(e.coarse_in().where((F.col("d") - FIRST) % 8 == 0), ["band", "cy", "cx"]).select(*KEYS, "d", "value")
+    coarse = blocks.join(e.coarse_in(FIRST, FIRST + 29).where((F.col("d") - FIRST) % 8 == 0), ["band", "cy", "cx"]).select(*KEYS, "d", "value")
     fused = fusion.window_fusion(focal.moving_fit(pairs, 15), coarse)
     return _rounded(fusion.fused_index(fused, "view", "click", ["d", "y", "x"]), "ndvi", n=5)
 
 
 _events("season_window_ndvi", _season_window, f""", ec AS (SELECT band, d, CAST(y // 5 AS INT) AS cy, CAST(x // 5 AS INT) AS cx, avg(value) AS value FROM cell WHERE band IN ('view', 'click') GROUP BY ALL),
 fp AS (SELECT g.band, g.y, g.x, f.value AS fine, c.value AS coarse FROM grid g LEFT JOIN (SELECT * FROM cell WHERE d = {T}) f USING (band, y, x) LEFT JOIN (SELECT * FROM ec WHERE d = {T}) c ON c.band = g.band AND c.cy = g.y // 5 AND c.cx = g.x // 5 WHERE g.band IN ('view', 'click')),
-""" + _MOVING[_MOVING.index("mv AS"):] + f""", fu AS (SELECT ab.band, ab.y, ab.x, c.d, alpha * c.value + (mf - alpha * mc) AS fused FROM ab JOIN (SELECT * FROM ec WHERE (d - {FIRST}) % 8 = 0) c ON c.band = ab.band AND c.cy = ab.y // 5 AND c.cx = ab.x // 5),
+""" + _MOVING[_MOVING.index("mv AS"):] + f""", fu AS (SELECT ab.band, ab.y, ab.x, c.d, alpha * c.value + (mf - alpha * mc) AS fused FROM ab JOIN (SELECT * FROM ec WHERE d BETWEEN {FIRST} AND {FIRST + 29} AND (d - {FIRST}) % 8 = 0) c ON c.band = ab.band AND c.cy = ab.y // 5 AND c.cx = ab.x // 5),
 w AS (SELECT d, y, x, max(fused) FILTER (band = 'view') AS a, max(fused) FILTER (band = 'click') AS b FROM fu GROUP BY ALL) SELECT d, y, x, round((a - b) / nullif(a + b, 0), 5) + 0.0 AS ndvi FROM w""")
 
 
 def _season(e: Events) -> DataFrame:
-    days = temporal.series_fill(e.cell.where(F.col("band").isin("view", "click")), e.grid.where(F.col("band").isin("view", "click")), FIRST, FIRST + 29, N, 8)
+    days = temporal.series_fill(e.cell_in(FIRST - N, FIRST + 29 + N).where(F.col("band").isin("view", "click")), e.grid.where(F.col("band").isin("view", "click")), FIRST, FIRST + 29, N, 8)
     wide = days.groupBy("d", "y", "x").pivot("band", ["view", "click"]).agg(F.max("filled"))
     return _rounded(wide.select("d", "y", "x", X.normalized_difference(F.col("view"), F.col("click")).alias("ndvi")), "ndvi")
 

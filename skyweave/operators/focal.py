@@ -81,32 +81,6 @@ def moving_fit(pairs: DataFrame, radius: int) -> DataFrame:
     return s.withColumn("alpha", alpha).withColumn("beta", (F.col("sv") - F.col("alpha") * F.col("sm")) / F.col("n")).select(*pairs.columns, "alpha", "beta")
 
 
-def bilinear(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
-    """Coarse values (band, cy, cx, value) at fine cells (band, y, x): four neighbours, clamped at the edge, all of which must be valid.
-
-    Each coarse cell goes to the squares of four that it is a corner of, so that fine cells meet their square's four values in one join.
-    """
-    edge = coarse.agg(F.max("cy").alias("my"), F.max("cx").alias("mx"))
-
-    def corners(c: str, most: str):
-        """(start of a square, whether c is its far side) along one axis; beyond the edges the last cell stands for both sides."""
-        one = lambda at, far: F.struct(at.cast("long").alias("at"), F.lit(far).alias("far"))
-        inner = F.array(one(F.col(c), 0), one(F.col(c) - 1, 1))
-        low = F.when(F.col(c) == 0, F.array(one(F.lit(-1), 0))).otherwise(F.array().cast("array<struct<at:bigint,far:int>>"))
-        high = F.when(F.col(c) == F.col(most), F.array(one(F.col(c), 1))).otherwise(F.array().cast("array<struct<at:bigint,far:int>>"))
-        return F.explode(F.concat(inner, low, high))
-
-    sent = coarse.crossJoin(F.broadcast(edge)).withColumn("_y", corners("cy", "my")).withColumn("_x", corners("cx", "mx"))  # of one row
-    is_ = lambda fy, fx: F.max(F.when((F.col("_y.far") == fy) & (F.col("_x.far") == fx), F.col("value")))
-    squares = sent.groupBy("band", F.col("_y.at").alias("_oy"), F.col("_x.at").alias("_ox")).agg(is_(0, 0).alias("v00"), is_(0, 1).alias("v01"), is_(1, 0).alias("v10"), is_(1, 1).alias("v11"))
-    gy, gx = (F.col("y") + 0.5) / factor - 0.5, (F.col("x") + 0.5) / factor - 0.5
-    wy, wx = gy - F.floor(gy), gx - F.floor(gx)
-    start = lambda g, most: F.least(F.floor(g), F.col(most).cast("long"))
-    j = fine.select("band", "y", "x").crossJoin(F.broadcast(edge)).select("band", "y", "x", start(gy, "my").alias("_oy"), start(gx, "mx").alias("_ox")).join(squares, ["band", "_oy", "_ox"], "left")
-    value = F.col("v00") * ((1 - wy) * (1 - wx)) + F.col("v01") * ((1 - wy) * wx) + F.col("v10") * (wy * (1 - wx)) + F.col("v11") * (wy * wx)
-    return j.select("band", "y", "x", value.alias("value"))
-
-
 def edge_blend(stages: DataFrame, radius: float = 1.5, patched: str = "patched", raw: str = "raw") -> DataFrame:
     """The focal mean of the patched image where raw is missing, raw where it is valid. stages has a row for each cell of the grid."""
     return focal_on_grid(stages, radius, patched, "_focal").withColumn("blended", F.coalesce(raw, "_focal")).drop("_focal")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, normalized_difference
-from .temporal import interpolate_on_grid
+from .temporal import fill_days
 
 
 def pair_weights(t1: int, t2: int, when: int) -> tuple[float, float]:
@@ -30,15 +32,15 @@ def single_residual(l1: Column, m1: Column, mt: Column, bounds: tuple[float, flo
     return v if bounds is None else clip(v, *bounds)
 
 
-def fuse_date(fine: DataFrame, coarse: DataFrame, grid: DataFrame, golden: int, when: int, first: int, last: int, max_distance: int = 32) -> DataFrame:
-    """Difference transfer from a golden day to `when`: coarse gaps of both days are filled in time from the season [first, last], then added to the golden fine image."""
-    season = coarse.where(F.col("d").between(first, last))
-
-    def filled(day: int, name: str) -> DataFrame:
-        return interpolate_on_grid(season, grid, day, max_distance).select("band", "y", "x", F.col("filled").alias(name))
+def fuse_date(fine: DataFrame, coarse: DataFrame, grid: DataFrame, golden: int, when: int, first: int, last: int, max_distance: int = 32, keys: Sequence[str] = ("band", "y", "x")) -> DataFrame:
+    """Difference transfer from a golden day to `when`: coarse gaps of both days are filled in time from the season [first, last], in one pass, then added to the golden fine image.
 
+    keys: columns of coarse and grid that name a coarse cell, so that filling works on coarse cells and only its result meets the fine grid.
+    """
+    season = coarse.where(F.col("d").between(first, last))
     sharp = fine.where(F.col("d") == golden).select("band", "y", "x", F.col("value").alias("l_golden"))
-    j = grid.join(sharp, ["band", "y", "x"], "left").join(filled(golden, "m_golden"), ["band", "y", "x"]).join(filled(when, "m_target"), ["band", "y", "x"])
+    both = fill_days(season, {"m_golden": golden, "m_target": when}, max_distance, keys)
+    j = grid.join(sharp, ["band", "y", "x"], "left").join(both, list(keys), "left")
     return j.withColumn("fused", single_delta(F.col("l_golden"), F.col("m_golden"), F.col("m_target")))
 
 

@@ -87,6 +87,20 @@ def interpolate_on_grid(cells: DataFrame, grid: DataFrame, when: int | str, max_
     return _estimates(j, t, [*grid.columns, "observed", *days], allow_one_sided)
 
 
+def fill_days(cells: DataFrame, days: dict[str, int], max_distance: int = 32, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys and, for each name, the value of its day: as observed, or else interpolated between the nearest others. One pass over cells serves all days; keys without any value have no row."""
+    n = checked_window(max_distance)
+    at = lambda test, c: F.when(test, F.col(c))
+    own, parts = lambda d: F.col("d") == d, []
+    for name, t in days.items():
+        before, after = F.col("d").between(t - n, t - 1), F.col("d").between(t + 1, t + n)
+        parts += [F.max(at(own(t), "value")).alias(f"_o_{name}"), F.max_by(at(before, "value"), at(before, "d")).alias(f"_vb_{name}"), F.max(at(before, "d")).alias(f"_db_{name}"), F.min_by(at(after, "value"), at(after, "d")).alias(f"_va_{name}"), F.min(at(after, "d")).alias(f"_da_{name}")]
+    near = F.greatest(*[F.col("d").between(t - n, t + n) for t in days.values()]) if len(days) > 1 else F.col("d").between(*[t + s * n for t in days.values() for s in (-1, 1)])
+    g = cells.where(near & F.col("value").isNotNull()).groupBy(*keys).agg(*parts)
+    filled = lambda c, t: F.coalesce(F.col(f"_o_{c}"), interpolated(F.col(f"_vb_{c}"), F.col(f"_va_{c}"), t - F.col(f"_db_{c}"), F.col(f"_da_{c}") - t))
+    return g.select(*keys, *[filled(name, t).alias(name) for name, t in days.items()])
+
+
 def check_unique_days(cells: DataFrame, keys: Sequence[str] = KEYS) -> None:
     if not cells.groupBy(*keys, "d").count().where("count > 1").isEmpty():
         raise ValueError("a day occurs twice in a series")

@@ -18,6 +18,7 @@ EPOCH = "1970-01-01"
 BANDS, UNITS = ("SR_B5", "SR_B4", "SR_B3"), "surface_reflectance"
 #: Bands of the cubes made from the driver's tables.
 EVENT_BANDS, PART_BANDS = ("click", "error", "purchase", "signup", "view"), ("A", "N", "R")
+EVENT_COLUMNS, PART_COLUMNS = 15, 50
 RESOLUTION = 30
 
 
@@ -29,19 +30,27 @@ def _midnight(d: int) -> Column:
     return F.lit(datetime.datetime(1970, 1, 1) + datetime.timedelta(days=d)).cast("timestamp_ntz")
 
 
-def event_observations(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Events as observations: users are grid cells of 15 columns, types are bands, props.k is the quality mask. Days first to last alone are read, where given."""
+def event_observations(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Events as observations: users are grid cells of 15 columns, types are bands, props.k is the quality mask. Days first to last and grid rows from rows[0] to rows[1] alone are read, where given."""
     e = read(spark, folder, "events")
     e = e if first is None else e.where(F.col("ts") >= _midnight(first))
     e = e if last is None else e.where(F.col("ts") < _midnight(last + 1))
+    e = e if rows is None else e.where(F.col("user_id").between(rows[0] * EVENT_COLUMNS, (rows[1] + 1) * EVENT_COLUMNS - 1))
     return e.select(
         F.col("event_id").alias("source_id"), "ts", F.to_date("ts").alias("day"), F.datediff(F.to_date("ts"), F.lit(EPOCH).cast("date")).alias("d"), F.col("event_type").alias("band"),
         F.expr("cast(user_id div 15 as int)").alias("y"), F.expr("cast(user_id % 15 as int)").alias("x"), F.get_json_object("props", "$.k").cast("int").alias("qa"), finite(F.col("value")).alias("dn"))
 
 
-def dense_grid(cells: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """Every cell with every band of the sensor; outputs start from it, so that what is missing is not lost."""
-    return cells.select("y", "x").distinct().withColumn("band", F.explode(F.lit(list(bands))))
+def dense_grid(spark: SparkSession, shape: tuple[int, int], bands: Sequence[str]) -> DataFrame:
+    """Every cell of a grid of `shape` (rows, columns) with every band of the sensor; outputs start from it, so that what is missing is not lost. No observation is read."""
+    place = spark.range(shape[0] * shape[1])
+    return place.select(F.expr(f"cast(id div {shape[1]} as int)").alias("y"), F.expr(f"cast(id % {shape[1]} as int)").alias("x")).withColumn("band", F.explode(F.lit(list(bands))))
+
+
+def rows_of(spark: SparkSession, folder: str, table: str, key: str, columns: int) -> int:
+    """How many grid rows of `columns` cells the greatest key of a table needs: what a manifest would say. One aggregate over one column; no rows, no grid."""
+    most = read(spark, folder, table).agg(F.max(key)).first()[0]
+    return 0 if most is None else most // columns + 1
 
 
 def part_observations(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:

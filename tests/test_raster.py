@@ -9,64 +9,66 @@ from pyspark.sql import functions as F
 
 from skyweave import catalog
 from skyweave.functions import expr as X
-from skyweave.operators import correct, focal, fusion, holdout, metrics, mosaic, segment, temporal
+from skyweave.operators import correct, focal, fusion, holdout, metrics, mosaic, resample, segment, temporal
 from skyweave.plans import pipeline
 from skyweave.sources import cubes
 
-DAY = {d: (datetime.date.fromisoformat(d) - datetime.date(1970, 1, 1)).days for d in ("2022-05-01", "2022-07-01", "2022-07-04", "2022-07-05", "2022-07-06", "2022-07-11", "2022-09-01", "2022-12-29", "2023-01-01", "2023-01-04")}
 CELLS = "band string, y int, x int, d int, value double"
 
 
-def run(spark, series, when="2022-07-06", window=32, carry=False, observed=None):
-    """series: day -> values by x."""
-    width = max([len(v) for v in series.values()], default=len(observed or [None]))
-    cells = spark.createDataFrame([("b", 0, x, DAY[d], v) for d, vs in series.items() for x, v in enumerate(vs)], CELLS).withColumn("value", X.finite(F.col("value")))
-    target = spark.createDataFrame([("b", 0, x, (observed or [None] * width)[x]) for x in range(width)], "band string, y int, x int, observed double")
-    return temporal.interpolate(cells, target, DAY[when], window, allow_one_sided=carry).orderBy("x").collect()
-
-
-def test_nearest_clear_days(spark):
-    out = run(spark, {"2022-07-01": [0.2, 0.2], "2022-07-05": [None, 0.4], "2022-07-11": [0.8, 0.8]})
-    assert [r["prediction"] for r in out] == pytest.approx([0.5, 0.4 + 0.4 / 6])
-    assert [(r["before_age_days"], r["after_age_days"]) for r in out] == [(5, 5), (1, 5)]
-
-
-def test_target_day_is_left_out_across_years(spark):
-    assert run(spark, {"2023-01-04": [0.9], "2022-12-29": [0.3], "2023-01-01": [999.0]}, "2023-01-01")[0]["prediction"] == pytest.approx(0.6)
-
-
-@pytest.mark.parametrize(("day", "value", "status"), [("2022-07-01", 0.4, 2), ("2022-07-11", 0.7, 3)])
-def test_one_side(spark, day, value, status):
-    strict, carried = run(spark, {day: [value]})[0], run(spark, {day: [value]}, carry=True)[0]
-    assert (strict["prediction"], strict["status"], strict["support_count"]) == (None, 0, 1)
-    assert (carried["prediction"], carried["status"], carried["filled_origin"]) == (value, status, status + 1)
-
-
-def test_nothing_to_fill_from(spark):
-    assert run(spark, {"2022-07-01": [None]}, carry=True)[0]["status"] == 0
-    assert run(spark, {"2022-05-01": [0.3], "2022-09-01": [0.7]}, carry=True)[0]["prediction"] is None
-    out = run(spark, {}, observed=[0.0, None], carry=True)
-    assert [(r["filled"], r["status"], r["filled_origin"]) for r in out] == [(0.0, 0, 1), (None, 0, 0)]
-
-
-def test_window_is_inclusive(spark):
-    s = {"2022-07-01": [0.2], "2022-07-11": [0.8]}
-    assert run(spark, s, window=5)[0]["prediction"] == pytest.approx(0.5) and run(spark, s, window=4)[0]["prediction"] is None
-
-
-def test_infinite_values_are_missing(spark):
-    out = run(spark, {"2022-07-01": [0.2, 0.2, float("inf")], "2022-07-04": [None, float("nan"), 0.4], "2022-07-11": [0.8, 0.8, 0.8]})
-    assert [r["prediction"] for r in out] == pytest.approx([0.5, 0.5, 0.4 + (2 / 7) * 0.4])
-
-
-def test_linear_series_are_found_exactly(spark):
-    rng = np.random.default_rng(42)
-    a, b = rng.random(30), rng.random(30)
-    days = [19000, 19004, 19012]
-    cells = spark.createDataFrame([("b", 0, x, d, float(a[x] + b[x] * (d - 19000))) for d in days for x in range(30)], CELLS)
-    target = spark.createDataFrame([("b", 0, x, None if x < 9 else 5.0) for x in range(30)], "band string, y int, x int, observed double")
-    for r in temporal.interpolate(cells, target, 19007, 32).collect():
-        assert r["prediction"] == pytest.approx(a[r["x"]] + 7 * b[r["x"]], abs=1e-13) and (r["x"] < 9 or r["filled"] == 5.0)
+def nearest_two(series, target, window, carry):
+    """What is predicted for a target day from (day, value) pairs, by a plain loop: value, ages, sides found, status."""
+    before = after = None
+    for day, value in series:
+        if value is None or not np.isfinite(value) or day == target or abs(day - target) > window:
+            continue
+        if day < target and (before is None or day > before[0]):
+            before = (day, value)
+        if day > target and (after is None or day < after[0]):
+            after = (day, value)
+    ages = (before and float(target - before[0]), after and float(after[0] - target))
+    sides = (before is not None) + (after is not None)
+    if sides == 2:
+        return before[1] + (after[1] - before[1]) * ages[0] / (ages[0] + ages[1]), *ages, sides, 1
+    if carry and sides:
+        return (before or after)[1], *ages, sides, 2 if before else 3
+    return None, *ages, sides, 0
+
+
+@pytest.mark.parametrize("carry", [False, True])
+@pytest.mark.parametrize("window", [1, 9, 40])
+def test_interpolation_against_a_loop(spark, carry, window):
+    """Generated series around a turn of the year, given in any order: gaps, infinities, days at the window's edge, the target day itself."""
+    rng = np.random.default_rng(100 + window + carry)
+    target = (datetime.date(2019, 12, 30) - datetime.date(1970, 1, 1)).days
+    series = {}
+    for x in range(120):
+        days = rng.choice(np.arange(target - 50, target + 51), rng.integers(0, 14), replace=False)
+        series[x] = [(int(d), [None, float("nan"), float("inf"), 0.0, float(rng.normal())][rng.integers(0, 5)]) for d in days]
+    series[120], series[121], series[122] = [(target - window, 2.0), (target + window, 5.0)], [(target - window - 1, 2.0), (target + window + 1, 5.0)], [(target, 7.0)]
+    rows = [("b", 0, x, d, v) for x, own in series.items() for d, v in own]
+    cells = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], CELLS).withColumn("value", X.finite(F.col("value")))
+    observed = {x: (None if x % 3 else 0.25 * x) for x in series}
+    aim = spark.createDataFrame([("b", 0, x, v) for x, v in observed.items()], "band string, y int, x int, observed double")
+    out = temporal.interpolate(cells, aim, "2019-12-30", window, allow_one_sided=carry).collect()
+    assert len(out) == len(series)
+    for r in out:
+        value, age_before, age_after, sides, status = nearest_two(series[r["x"]], target, window, carry)
+        assert r["prediction"] == (value if value is None else pytest.approx(value, abs=1e-12))
+        assert (r["before_age_days"], r["after_age_days"], r["support_count"], r["status"]) == (age_before, age_after, sides, status)
+        own = observed[r["x"]]
+        assert r["filled"] == (own if own is not None else r["prediction"]) and r["filled_origin"] == (1 if own is not None else status + 1 if status else 0)
+
+
+def test_lines_in_time_come_back(spark):
+    """On a straight line any two days give every day between them."""
+    rng = np.random.default_rng(8)
+    level, rise = rng.normal(size=25), rng.normal(size=25)
+    line = lambda x, d: float(level[x] + rise[x] * (d - 18_250))
+    cells = spark.createDataFrame([("b", 0, x, d, line(x, d)) for x in range(25) for d in (18_241, 18_249, 18_263)], CELLS)
+    aim = spark.createDataFrame([("b", 0, x, None) for x in range(25)], "band string, y int, x int, observed double")
+    for r in temporal.interpolate(cells, aim, 18_255, 20).collect():
+        assert r["filled"] == pytest.approx(line(r["x"], 18_255), abs=1e-9) and r["status"] == 1
 
 
 def test_arguments_are_checked(spark):
@@ -117,31 +119,42 @@ def test_holdout_counts(spark):
         assert g.where(holdout.holdout(F.col("x"), F.col("y"), 167, 167, pattern)).count() == n
 
 
-def test_report_cube(spark):
-    base = np.linspace(0.1, 0.4, 768).reshape(3, 16, 16)
-    rows = [(b, y, x, DAY[d], None if (y, x) == (8, 8) and k != 1 else float(base[i, y, x] + 0.05 * k)) for i, b in enumerate(cubes.BANDS) for y in range(16) for x in range(16) for k, d in enumerate(("2022-07-01", "2022-07-06", "2022-07-11"))]
+def test_layers_of_a_drifting_scene(spark):
+    """A scene that brightens evenly is predicted exactly wherever two days are seen; cells that one side lacks stay missing in every layer."""
+    rng = np.random.default_rng(21)
+    days, lost = (18_700, 18_703, 18_712), {(2, 5), (9, 0), (10, 11)}
+    start, rate = rng.uniform(0.05, 0.3, (3, 11, 13)), rng.uniform(0, 0.01, (3, 11, 13))
+    rows = [(b, y, x, d, None if (y, x) in lost and d == days[2 - (x % 2) * 2] else float(start[i, y, x] + rate[i, y, x] * (d - days[0]))) for i, b in enumerate(cubes.BANDS) for y in range(11) for x in range(13) for d in days]
     cells = spark.createDataFrame(rows, CELLS)
-    truth = cells.where(F.col("d") == DAY["2022-07-06"]).select("band", "y", "x", F.col("value").alias("truth"), F.lit(True).alias("held"))
-    out = temporal.interpolate(cells, truth.select("band", "y", "x", F.lit(None).cast("double").alias("observed")), DAY["2022-07-06"])
+    truth = cells.where(F.col("d") == days[1]).select("band", "y", "x", F.col("value").alias("truth"), F.lit(True).alias("held"))
+    out = temporal.interpolate(cells, truth.select("band", "y", "x", F.lit(None).cast("double").alias("observed")), days[1])
     scored = truth.join(out.select("band", "y", "x", "prediction"), ["band", "y", "x"])
-    assert tuple(metrics.coverage(scored, 3).first())[:3] == (256, 255, 1)
-    assert all(r["rmse"] < 1e-14 for r in metrics.band_scores(scored, 3).collect())
-    hole = out.where("y = 8 and x = 8").collect()
-    assert {(r["filled"], r["status"]) for r in hole} == {(None, 0)}
+    assert tuple(metrics.coverage(scored, 3).first())[:3] == (143, 140, 3)
+    assert all(r["rmse"] < 1e-13 for r in metrics.band_scores(scored, 3).collect())
+    assert {(r["y"], r["x"]) for r in out.where("filled is null and status = 0").collect()} == lost
     layers = pipeline.report_layers(out, truth)
-    assert layers.where("filled = -9999").count() == 3 and metrics.violations(out).first()[0] == 0
+    assert layers.where("filled = -9999").count() == 9 and metrics.violations(out).first()[0] == 0
 
 
-def test_scores(spark):
-    p = {(1, 0): 1.2, (1, 1): None, (1, 2): 1.0} | {(0, x): 99.0 for x in range(3)} | {(2, x): 1.0 for x in range(3)}
-    rows = [(b, y, x, 1.0, p[y, x], y == 1) for b in "abc" for y in range(3) for x in range(3)]
+def test_scores_against_a_loop(spark):
+    """Only withheld cells whose bands all have truth are eligible, of these only those whose bands are all predicted are scored."""
+    rng = np.random.default_rng(22)
+    some = lambda v, share: None if rng.random() < share else float(v)
+    rows = [(b, y, x, some(rng.normal(), 0.1), some(rng.normal(), 0.1), bool((x + y) % 3)) for b in "abcd" for y in range(9) for x in range(12)]
     scored = spark.createDataFrame(rows, "band string, y int, x int, truth double, prediction double, held boolean")
-    c = metrics.coverage(scored, 3).first()
-    assert (c["eligible_pixels"], c["scored_pixels"], c["unresolved_pixels"]) == (3, 2, 1)
-    for r in metrics.band_scores(scored, 3).collect():
-        assert r["rmse"] == pytest.approx(0.02**0.5) and r["r2"] is None
-    none = metrics.band_scores(scored.withColumn("prediction", F.lit(None).cast("double")), 3).first()
-    assert none["rmse"] is None
+    at = {}
+    for b, y, x, t, p, h in rows:
+        at.setdefault((y, x), []).append((b, t, p, h))
+    eligible = [own for own in at.values() if own[0][3] and all(t is not None for _, t, _, _ in own)]
+    whole = [own for own in eligible if all(p is not None for _, _, p, _ in own)]
+    assert tuple(metrics.coverage(scored, 4).first()) == (len(eligible), len(whole), len(eligible) - len(whole), pytest.approx(len(whole) / len(eligible)))
+    for r in metrics.band_scores(scored, 4).collect():
+        t, p = np.array([(t, p) for own in whole for b, t, p, _ in own if b == r["band"]]).T
+        assert r["rmse"] == pytest.approx(np.sqrt(np.mean((p - t) ** 2))) and r["mae"] == pytest.approx(np.mean(abs(p - t))) and r["bias"] == pytest.approx(np.mean(p - t))
+        assert r["pearson_r"] == pytest.approx(np.corrcoef(t, p)[0, 1]) and r["r2"] == pytest.approx(1 - np.sum((p - t) ** 2) / np.sum((t - t.mean()) ** 2))
+    flat = metrics.band_scores(scored.withColumn("truth", F.lit(0.5)), 4).first()
+    assert flat["r2"] is None and flat["rmse"] is not None
+    assert metrics.band_scores(scored.withColumn("prediction", F.lit(None).cast("double")), 4).first()["rmse"] is None
 
 
 def test_fusion_identities(spark):
@@ -216,9 +229,9 @@ def test_bilinear_against_brute_force(spark):
     rng = np.random.default_rng(9)
     values = {(y, x): float(rng.normal()) for y in range(4) for x in range(5) if rng.random() < 0.85}
     coarse = spark.createDataFrame([("b", y, x, v) for (y, x), v in values.items()], "band string, cy int, cx int, value double")
-    fine = spark.createDataFrame([("b", y, x) for y in range(24) for x in range(30)], "band string, y int, x int")
-    my, mx = (max(k[i] for k in values) for i in (0, 1))
-    for r in focal.bilinear(coarse, fine, 5).collect():
+    fine = spark.createDataFrame([("b", y, x) for y in range(20) for x in range(25)], "band string, y int, x int")
+    my, mx = 3, 4
+    for r in resample.bilinear(coarse, fine, 5, (4, 5)).collect():
         gy, gx = (r["y"] + 0.5) / 5 - 0.5, (r["x"] + 0.5) / 5 - 0.5
         four = [((gy - np.floor(gy) if dy else 1 - gy + np.floor(gy)) * (gx - np.floor(gx) if dx else 1 - gx + np.floor(gx)), values.get((min(my, max(0, int(np.floor(gy)) + dy)), min(mx, max(0, int(np.floor(gx)) + dx))))) for dy in (0, 1) for dx in (0, 1)]
         assert r["value"] == (None if any(v is None for _, v in four) else pytest.approx(sum(w * v for w, v in four)))
@@ -227,7 +240,7 @@ def test_bilinear_against_brute_force(spark):
 def test_bilinear_keeps_a_plane(spark):
     coarse = spark.createDataFrame([("b", y, x, float(y + 2 * x)) for y in range(4) for x in range(4)], "band string, cy int, cx int, value double")
     fine = spark.createDataFrame([("b", y, x) for y in range(5, 15) for x in range(5, 15)], "band string, y int, x int")
-    for r in focal.bilinear(coarse, fine, 5).collect():
+    for r in resample.bilinear(coarse, fine, 5, (4, 4)).collect():
         assert r["value"] == pytest.approx((r["y"] + 0.5) / 5 - 0.5 + 2 * ((r["x"] + 0.5) / 5 - 0.5))
 
 
