@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr as X
-from .functions import projection
-from .operators import areas, correct, focal, fusion, holdout, metrics, mosaic, resample, segment, temporal, tiles
-from .plans import pipeline
-from .sources import cubes
+from .functions import fingerprint, projection
+from .operators import areas, correct, focal, fusion, holdout, metrics, mosaic, pyramid, resample, segment, temporal, tiles
+from .plans import pipeline, refresh
+from .sources import cubes, scenes, shared
 
 T, N, FIRST = 19738, 5, 19723
 KEYS = ["band", "y", "x"]
@@ -548,6 +548,64 @@ def _season(e: Events) -> DataFrame:
 
 _events("season_ndvi", _season, _SERIES + f", w AS (SELECT d, y, x, max(coalesce(value, prediction)) FILTER (band = 'view') AS a, max(coalesce(value, prediction)) FILTER (band = 'click') AS b FROM series WHERE (d - {FIRST}) % 8 = 0 AND band IN ('view', 'click') GROUP BY ALL) SELECT d, y, x, round((a - b) / nullif(a + b, 0), 7) AS ndvi FROM w")
 
+
+# archives, their index, and what follows from them
+def _archive(e: Events) -> str:
+    path = shared.new_path(e.spark, "archive")
+    scenes.write_archive(e.obs.select("source_id", "d", "band", "y", "x", "dn", "qa"), path, ~X.cloud_shadow_clear(F.col("qa")), tile_rows=8)
+    return path
+
+
+_events("indexed_scenes", lambda e: scenes.read_archive(e.spark, _archive(e), most_cloud=70, days=(FIRST + 5, FIRST + 14), box=(2, 8, 4, 10)).select("source_id", "d", "band", "y", "x", "dn"), _SQL["scan_scene_filter"][len(EV):])
+_events("indexed_clearest", lambda e: _rounded(scenes.clearest(scenes.index_of(e.spark, _archive(e))), "cloud"), _SQL["clearest_scene"][len(EV):])
+
+
+def _refreshed(e: Events) -> DataFrame:
+    """A cube built before the observations of some days were all there, or right, or as few, then brought up to them."""
+    path, some = shared.new_path(e.spark, "cube"), F.col("d").between(T - 4, T - 1)
+    now = e.obs.where(X.cloud_shadow_clear(F.col("qa")) & F.col("dn").isNotNull()).select("source_id", "d", *KEYS, "dn")
+    late, wrong, extra = (some & (F.col("source_id") % 10 == k) for k in (3, 5, 7))
+    more = now.where(extra).withColumn("source_id", -1 - F.col("source_id")).withColumn("dn", F.col("dn") * 2).withColumn("x", (F.col("x") + 1) % cubes.EVENT_COLUMNS)
+    refresh.create(now.where(~late).withColumn("dn", F.when(wrong, F.col("dn") + 1).otherwise(F.col("dn"))).unionByName(more), e.grid, path, FIRST, FIRST + 29, N)
+    changes = now.where(late | wrong).withColumn("withdrawn", F.lit(False)).unionByName(more.withColumn("withdrawn", F.lit(True)))
+    refresh.refresh(e.spark, path, changes, FIRST, FIRST + 29, N)
+    return refresh.filled_series(e.spark, path)
+
+
+_events("refreshed_cube", _refreshed, _SQL["series_fill"][len(EV):])
+
+
+def _row_text(columns: dict[str, str]) -> str:
+    parts = [f"coalesce('{len(c)}:{c}=' || length({v}) || ':' || {v}, '{len(c)}:{c}=-')" for c, v in sorted(columns.items())]
+    return f"md5(concat_ws(';', {', '.join(parts)}))"
+
+
+def _fingerprint_sql(by: str, table: str, columns: list[str]) -> str:
+    digest = _row_text({c: f"CAST({c} AS VARCHAR)" for c in columns})
+    sums = ", ".join(f"coalesce(sum(CAST(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) AS HUGEINT)), 0) AS s{i}" for i in range(4))
+    return f"SELECT {by}, n, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS digest FROM (SELECT {by}, count(*) AS n, {sums} FROM (SELECT {by}, {digest} AS h FROM {table}) GROUP BY {by})"
+
+
+_TABLES = {"events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"], "part": ["p_partkey", "p_size"]}
+
+
+def _inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of what a run reads, for its record."""
+    own = [fingerprint.fingerprint(cubes.read(spark, folder, t), columns=c).select(F.lit(t).alias("name"), "n", "digest") for t, c in _TABLES.items()]
+    return own[0].unionByName(own[1]).unionByName(own[2])
+
+
+_add("input_fingerprints", _inputs, " UNION ALL ".join(f"({_fingerprint_sql('name', f'(SELECT {chr(39)}{t}{chr(39)} AS name, * FROM {t})', c)})" for t, c in _TABLES.items()))
+_events("daily_fingerprints", lambda e: fingerprint.fingerprint(e.obs.select("source_id", "d", "band", "y", "x", "qa", "dn"), "d", columns=["source_id", "band", "y", "x", "qa", "dn"]), _fingerprint_sql("d", "obs", ["source_id", "band", "y", "x", "qa", "dn"]))
+
+
+def _levels(e: Events) -> DataFrame:
+    return pyramid.build(e.cell, 3, ("band",))
+
+
+_events("overview_levels", lambda e: _rounded(_levels(e), "total", n=2), ", lv AS (SELECT CAST(k AS INT) AS level, band, CAST(y >> k AS INT) AS y, CAST(x >> k AS INT) AS x, value FROM cell, range(4) r(k) WHERE value IS NOT NULL) SELECT level, band, y, x, round(sum(value), 2) AS total, count(*) AS \"count\", min(value) AS least, max(value) AS most FROM lv GROUP BY ALL")
+_events("overview_region", lambda e: _rounded(pyramid.region(_levels(e), (1, 8, 2, 13)).drop("mean"), "total", n=2), "SELECT band, count(value) AS n, round(sum(value), 2) AS total, min(value) AS least, max(value) AS most FROM cell WHERE y BETWEEN 1 AND 8 AND x BETWEEN 2 AND 13 GROUP BY band")
+
 # holdouts and scores
 _events("holdout_cloud", lambda e: e.grid.select(*KEYS, holdout.holdout(F.col("x"), F.col("y"), 15, 10, "cloud").alias("held")), "SELECT band, y, x, held FROM grid JOIN held USING (y, x)")
 _events("holdout_stripes", lambda e: e.grid.select(*KEYS, holdout.holdout(F.col("x"), F.col("y"), 15, 10, "stripes").alias("held")), "SELECT band, y, x, (x + y // 2) % 10 < 3 AS held FROM grid")

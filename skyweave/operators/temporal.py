@@ -108,9 +108,13 @@ def check_unique_days(cells: DataFrame, keys: Sequence[str] = KEYS) -> None:
 
 def series_fill(cells: DataFrame, grid: DataFrame, first: int, last: int, max_distance: int, step: int = 1) -> DataFrame:
     """Every day of a range filled for every band and cell from its other days. One shuffle and sort by band and cell serve all frames."""
+    return fill_rows(cells, grid.withColumn("d", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step)))), max_distance)
+
+
+def fill_rows(cells: DataFrame, rows: DataFrame, max_distance: int) -> DataFrame:
+    """rows (band, y, x, d) with value, prediction (from the other days within max_distance) and filled."""
     n = checked_window(max_distance)
-    days = grid.withColumn("d", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))))
-    own = days.withColumn("asked", F.lit(True)).join(cells.select("band", "y", "x", "d", "value"), ["band", "y", "x", "d"], "full")
+    own = rows.select("band", "y", "x", "d").withColumn("asked", F.lit(True)).join(cells.select("band", "y", "x", "d", "value"), ["band", "y", "x", "d"], "full")
     over = Window.partitionBy("band", "y", "x").orderBy("d")
     past, future = over.rangeBetween(-n, -1), over.rangeBetween(1, n)
     valid = F.when(F.col("value").isNotNull(), F.col("d"))

@@ -44,6 +44,6 @@ def write_layers(layers: DataFrame, path: str) -> None:
     layers.write.partitionBy("band").parquet(path)
 
 
-def run_record(parameters: dict, reference_days: list[str], metrics: dict, sources: dict[str, bytes]) -> str:
-    """A JSON record of a run; a missing number is null, never NaN."""
-    return json.dumps({"parameters": parameters, "reference_days": reference_days, "metrics": metrics, "sha256": {k: hashlib.sha256(v).hexdigest() for k, v in sources.items()}}, allow_nan=False, sort_keys=True)
+def run_record(parameters: dict, reference_days: list[str], metrics: dict, sources: dict[str, bytes | str]) -> str:
+    """A JSON record of a run; a missing number is null, never NaN. sources: a table's fingerprint as it is, or the bytes of a small file, whose digest is taken."""
+    return json.dumps({"parameters": parameters, "reference_days": reference_days, "metrics": metrics, "sha256": {k: v if isinstance(v, str) else hashlib.sha256(v).hexdigest() for k, v in sources.items()}}, allow_nan=False, sort_keys=True)
