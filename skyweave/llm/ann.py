@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors in a block of codes, and queries in a block of queries. A pair of blocks is a task's unit of work. Blocks of codes are large, so that few
-#: of them leave a shortlist for each query; a task scores SCORED codes against ASKED queries at once.
-CODES, QUERIES = 262_144, 1_024
+#: Vectors in a block of codes, and queries in a block of queries, at most. A pair of blocks is a task's unit of work. Blocks of codes are large, so that few
+#: of them leave a shortlist for each query, blocks of queries so that codes are sent few times; while blocks are fewer than the tasks that run at once, queries are dealt
+#: out further, LEAST to a block at least. A task scores SCORED codes against ASKED queries at once.
+CODES, QUERIES, LEAST = 262_144, 8_192, 1_024
 SCORED, ASKED = 16_384, 64
 #: Components of all queries up to which these are broadcast for the exact comparison; above, that join shuffles.
 BROADCAST_COMPONENTS = 8_000_000
@@ -130,7 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shortlist: i
     codes = stored(distinct.select("number", "vector").mapInPandas(encode, "number long, code binary, norm float, length double"), "codes")
     blocks = max(1, -(-codes.count() // CODES))
     n_asked = asked.count()
-    groups = max(1, -(-n_asked // QUERIES))
+    groups = max(1, -(-n_asked // QUERIES), min(-(-n_asked // LEAST), -(-2 * spark.sparkContext.defaultParallelism // blocks)))
     # each block of queries meets each block of codes; this is the query set against all rows, in blocks
     met = codes.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     spread = asked.withColumn("group", F.pmod(F.xxhash64("asked"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
