@@ -16,7 +16,7 @@ from .functions import expr as X
 from .functions import fingerprint, projection
 from .operators import areas, correct, focal, fusion, holdout, metrics, mosaic, pyramid, resample, segment, temporal, tiles
 from .plans import pipeline, refresh
-from .sources import cubes, scenes, shared
+from .sources import cubes, scenes, shared, zorder
 
 T, N, FIRST = 19738, 5, 19723
 KEYS = ["band", "y", "x"]
@@ -599,6 +599,16 @@ _add("input_fingerprints", _inputs, " UNION ALL ".join(f"({_fingerprint_sql('nam
 _events("daily_fingerprints", lambda e: fingerprint.fingerprint(e.obs.select("source_id", "d", "band", "y", "x", "qa", "dn"), "d", columns=["source_id", "band", "y", "x", "qa", "dn"]), _fingerprint_sql("d", "obs", ["source_id", "band", "y", "x", "qa", "dn"]))
 
 
+def _zordered_chip(e: Events) -> DataFrame:
+    path = shared.new_path(e.spark, "zordered")
+    zorder.write(e.cell.select("d", *KEYS, "value"), path, files=4, within=("band", "d"))
+    return zorder.read_box(e.spark, path, (3, 7, 5, 9)).select("d", *KEYS, "value")
+
+
+_events("zordered_chip", _zordered_chip, _SQL["chip_filter"][len(EV):])
+_events("zorder_keys", lambda e: e.grid.select("y", "x").distinct().select("y", "x", zorder.key(F.col("y"), F.col("x")).alias("z")), f"SELECT DISTINCT y, x, CAST(list_sum(list_transform(range(0, 31), lambda i: (((CAST(y AS BIGINT) + {zorder.HALF}) >> i) & 1) * (2::BIGINT << (2 * i)) + (((CAST(x AS BIGINT) + {zorder.HALF}) >> i) & 1) * (1::BIGINT << (2 * i)))) AS BIGINT) AS z FROM grid")
+
+
 def _levels(e: Events) -> DataFrame:
     return pyramid.build(e.cell, 3, ("band",))
 
