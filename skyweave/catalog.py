@@ -16,7 +16,7 @@ from .functions import expr as X
 from .functions import fingerprint, projection
 from .operators import areas, correct, focal, fusion, holdout, metrics, mosaic, pyramid, resample, segment, temporal, tiles
 from .plans import pipeline, refresh
-from .sources import cubes, scenes, shared, zorder
+from .sources import cubes, raster, scenes, shared, zorder
 
 T, N, FIRST = 19738, 5, 19723
 KEYS = ["band", "y", "x"]
@@ -609,6 +609,17 @@ _events("zordered_chip", _zordered_chip, _SQL["chip_filter"][len(EV):])
 _events("zorder_keys", lambda e: e.grid.select("y", "x").distinct().select("y", "x", zorder.key(F.col("y"), F.col("x")).alias("z")), f"SELECT DISTINCT y, x, CAST(list_sum(list_transform(range(0, 31), lambda i: (((CAST(y AS BIGINT) + {zorder.HALF}) >> i) & 1) * (2::BIGINT << (2 * i)) + (((CAST(x AS BIGINT) + {zorder.HALF}) >> i) & 1) * (1::BIGINT << (2 * i)))) AS BIGINT) AS z FROM grid")
 
 
+def _rasters(e: Events) -> DataFrame:
+    """The days around the target as raster files, one for each day, and read again."""
+    path = shared.new_path(e.spark, "rasters")
+    days = e.cell_in(T - N, T + N).withColumn("image", X.pass_label(F.col("day"), "cube"))
+    raster.write_rasters(days, path, width=e.shape[1], height=max(1, e.shape[0]), bands=list(cubes.EVENT_BANDS), transform=[30, 0, 600_000, 0, -30, 5_000_010], epsg=32633)
+    return raster.read_rasters(e.spark, path).where("value is not null")
+
+
+_events("raster_files", _rasters, f"SELECT 'cube_' || replace(CAST(day AS VARCHAR), '-', '') AS image, band, y, x, value FROM cell WHERE d BETWEEN {T - N} AND {T + N}")
+
+
 def _levels(e: Events) -> DataFrame:
     return pyramid.build(e.cell, 3, ("band",))
 
