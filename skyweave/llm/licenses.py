@@ -35,6 +35,16 @@ class Template:
         return [(next(i for i in range(len(own)) if own[i : i + len(k)] == k), k) for k in (key.split() for key in self.keys)]
 
 
+#: Identifiers of public licences as they stand in one-line notices. Longer ones that start like one of them (`GPL-2.0-or-later`) count as that one.
+IDENTIFIERS = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "Zlib", "BSL-1.0", "0BSD")
+
+
+def _identifier(name: str) -> Template:
+    """The one-line notice of a licence, all of which must be there."""
+    line = "spdx license identifier " + " ".join(name.lower().replace("-", " ").replace(".", " ").split())
+    return Template(f"{name.lower()}-spdx", line, (line,))
+
+
 #: Notices of public licences, as words.
 TEMPLATES = (
     Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission is hereby granted free of charge to any person obtaining a copy",)),
@@ -73,7 +83,7 @@ TEMPLATES = (
     Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license version 1 1",)),
     Template("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unencumbered software released into the public domain",)),
-)
+) + tuple(_identifier(name) for name in IDENTIFIERS)
 
 
 def _lower(text: Column) -> Column:

@@ -157,6 +157,12 @@ def test_notices_are_found_in_place_only(spark):
     assert got[5]["labels"] == "mpl-2.0" and 0 < got[5]["score"] < 1
 
 
+def test_identifier_lines(spark):
+    texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: (MIT OR Apache-2.0)", "/* spdx-license-identifier: bsd-3-clause */ SPDX-License-Identifier: CC-BY-SA-4.0", "SPDX-License-Identifier: X11", "an SPDX license identifier, MIT or other"]
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["labels"] for r in sorted(out.collect(), key=lambda r: r["doc_id"])] == ["mit-spdx", "apache-2.0-spdx", "gpl-2.0-spdx", "mit-spdx", "bsd-3-clause-spdx,cc-by,cc-by-sa-4.0,cc-by-sa-4.0-spdx", "", "mit-spdx"]
+
+
 def test_every_notice_of_a_file_is_found(spark, docs, rows):
     joined = " and so on ".join(t.text for t in licenses.TEMPLATES)
     prose = "any author can charge a fee for the following purpose if the conditions are met and the code granted "
