@@ -328,15 +328,15 @@ _events("sample_points", lambda e: e.cell.join(F.broadcast(e.spark.createDataFra
 
 # aggregation
 _events("region_mean", lambda e: e.cell.where(X.within_box(F.col("x"), F.col("y"), 7, 5, 3)).groupBy("band", "d").agg(_r(F.avg("value")).alias("mean")), "SELECT band, d, round(avg(value), 7) AS mean FROM cell WHERE abs(x - 7) <= 3 AND abs(y - 5) <= 3 GROUP BY ALL")
-_parts("segment_means", lambda p: p.frames.groupBy("band", "seg").agg(F.count("t0").alias("n"), _r(F.avg("t0"), 3).alias("target_clear"), _r(F.avg(F.when(F.col("t0").isNotNull(), F.col("l"))), 3).alias("baseline_clear"), _r(F.avg(F.when(F.col("t0").isNull(), F.col("t1"))), 3).alias("reference_gap"), _r(F.avg(F.when(F.col("t0").isNotNull(), F.col("t1"))), 3).alias("reference_clear")),
-       "SELECT band, seg, count(t0) AS n, round(avg(t0), 3) AS target_clear, round(avg(l) FILTER (t0 IS NOT NULL), 3) AS baseline_clear, round(avg(t1) FILTER (t0 IS NULL), 3) AS reference_gap, round(avg(t1) FILTER (t0 IS NOT NULL), 3) AS reference_clear FROM frames GROUP BY ALL")
+_parts("segment_means", lambda p: p.frames.groupBy("band", "seg").agg(F.count("t0").alias("n"), _r(F.avg("t0"), 5).alias("target_clear"), _r(F.avg(F.when(F.col("t0").isNotNull(), F.col("l"))), 5).alias("baseline_clear"), _r(F.avg(F.when(F.col("t0").isNull(), F.col("t1"))), 5).alias("reference_gap"), _r(F.avg(F.when(F.col("t0").isNotNull(), F.col("t1"))), 5).alias("reference_clear")),
+       "SELECT band, seg, count(t0) AS n, round(avg(t0), 5) AS target_clear, round(avg(l) FILTER (t0 IS NOT NULL), 5) AS baseline_clear, round(avg(t1) FILTER (t0 IS NULL), 5) AS reference_gap, round(avg(t1) FILTER (t0 IS NOT NULL), 5) AS reference_clear FROM frames GROUP BY ALL")
 _COUNTS = ", oc AS (SELECT g.band, g.y, g.x, count(c.value) AS n FROM grid g LEFT JOIN cell c USING (band, y, x) GROUP BY ALL)"
 _events("obs_count", lambda e: mosaic.observation_counts(e.cell, e.grid), _COUNTS + " SELECT band, y, x, n FROM oc")
 _events("support_histogram", lambda e: mosaic.support_histogram(mosaic.observation_counts(e.cell, e.grid)), _COUNTS + " SELECT band, n, count(*) AS cells, round(count(*) * 0.0009::DOUBLE, 6) AS area_km2, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY band), 4) AS percent FROM oc GROUP BY band, n")
 _events("support_stats", lambda e: mosaic.observation_counts(e.cell, e.grid).groupBy("band").agg(F.min("n").alias("least"), F.max("n").alias("most"), _r(F.avg("n")).alias("mean")), _COUNTS + " SELECT band, min(n) AS least, max(n) AS most, round(avg(n), 7) AS mean FROM oc GROUP BY band")
 _FIT = f", fit AS (SELECT band, y, x, count(value) AS n, avg(d - {T}) AS mt, avg(value) AS mv, CASE WHEN min(d) < max(d) THEN covar_pop(value, d - {T}) / var_pop(d - {T}) END AS slope, CASE WHEN min(d) < max(d) AND min(value) < max(value) THEN covar_pop(value, d - {T}) * covar_pop(value, d - {T}) / (var_pop(d - {T}) * var_pop(value)) END AS r2 FROM cell WHERE d <> {T} GROUP BY ALL)"
-_events("linear_fit", lambda e: _rounded(temporal.linear_fit(e.cell.where(F.col("d") != T), T).select(*KEYS, "slope", "intercept"), "slope", "intercept", n=8), _FIT + " SELECT band, y, x, round(slope, 8) AS slope, round(mv - slope * mt, 8) AS intercept FROM fit")
-_events("fit_matrix", lambda e: _rounded(temporal.linear_fit(e.cell.where(F.col("d") != T), T), "slope", "intercept", "r2", n=8), _FIT + " SELECT band, y, x, round(slope, 8) AS slope, round(mv - slope * mt, 8) AS intercept, round(r2, 8) AS r2, n FROM fit")
+_events("linear_fit", lambda e: _rounded(_rounded(temporal.linear_fit(e.cell.where(F.col("d") != T), T).select(*KEYS, "slope", "intercept"), "slope"), "intercept", n=6), _FIT + " SELECT band, y, x, round(slope, 7) AS slope, round(mv - slope * mt, 6) AS intercept FROM fit")
+_events("fit_matrix", lambda e: _rounded(_rounded(_rounded(temporal.linear_fit(e.cell.where(F.col("d") != T), T), "slope"), "intercept", n=6), "r2", n=5), _FIT + " SELECT band, y, x, round(slope, 7) AS slope, round(mv - slope * mt, 6) AS intercept, round(r2, 5) AS r2, n FROM fit")
 _events("cloud_fraction", lambda e: e.scenes.select("d", _r(F.col("cloud")).alias("cloud_percent")), "SELECT d, round(cloud, 7) AS cloud_percent FROM scenes")
 _events("clear_fraction_by_day", lambda e: e.obs.groupBy("d", "y", "x").agg(F.bool_and(X.cloud_shadow_clear(F.col("qa"))).alias("c")).groupBy("d").agg(_r(F.avg(F.col("c").cast("double"))).alias("clear_fraction")), "SELECT d, round(avg(CASE WHEN c THEN 1.0 ELSE 0.0 END), 7) AS clear_fraction FROM (SELECT d, y, x, bool_and((qa & 24) = 0) AS c FROM obs GROUP BY ALL) GROUP BY d")
 _events("support_class", lambda e: temporal.support_class(e.cell, e.grid, T), f"SELECT g.band, g.y, g.x, count(c.value) FILTER (c.d < {T}) AS n_before, count(c.value) FILTER (c.d > {T}) AS n_after, CAST(CASE WHEN count(c.value) FILTER (c.d < {T}) > 0 AND count(c.value) FILTER (c.d > {T}) > 0 THEN 2 WHEN count(c.value) FILTER (c.d < {T}) > 0 THEN 1 WHEN count(c.value) FILTER (c.d > {T}) > 0 THEN 3 ELSE 0 END AS INT) AS support_class FROM grid g LEFT JOIN cell c USING (band, y, x) GROUP BY ALL")
@@ -405,9 +405,11 @@ _events("temporal_masked", lambda e: temporal.interpolate(e.cell_in(T - N, T + N
 _events("compare_results", lambda e: metrics.compare(e.filled(), e.filled(True), KEYS, "prediction", 1e-10), "SELECT band, y, x, strict AS a, carry AS b FROM tmp WHERE (strict IS NULL) <> (carry IS NULL) OR abs(strict - carry) > 1e-10")
 _events("temporal_diagnostics", lambda e: e.filled(True).select(*KEYS, "before_age_days", "after_age_days", "support_count", "status"), f"SELECT band, y, x, {_AGES}, st AS status FROM tmp")
 _events("temporal_filled", lambda e: e.filled(True), f"SELECT band, y, x, observed, carry AS prediction, coalesce(observed, carry) AS filled, {_AGES}, st AS status, CAST(CASE WHEN observed IS NOT NULL THEN 1 WHEN st > 0 THEN st + 1 ELSE 0 END AS INT) AS filled_origin FROM tmp")
-_events("linear_impute", lambda e: _rounded(temporal.linear_impute(e.cell, e.target, T).select(*KEYS, "prediction", "filled"), "prediction", "filled", n=8), _FIT + " SELECT t.band, t.y, t.x, round(mv - slope * mt, 8) AS prediction, round(coalesce(observed, mv - slope * mt), 8) AS filled FROM tmp t LEFT JOIN fit USING (band, y, x)")
-_events("pass_frames", lambda e: _rounded(temporal.pass_frames(mosaic.daily_mosaic(e.obs), e.cell, T), "raw", "imputed", "patched", n=8),
-        _FIT.replace(f" WHERE d <> {T}", "") + f", pass AS (SELECT d, band, y, x, arg_max(dn, source_id) AS raw FROM obs GROUP BY ALL) SELECT p.band, p.y, p.x, p.d, round(raw, 8) AS raw, round(slope * (p.d - {T}) + (mv - slope * mt), 8) AS imputed, round(coalesce(c.value, slope * (p.d - {T}) + (mv - slope * mt)), 8) AS patched FROM pass p LEFT JOIN cell c USING (band, y, x, d) LEFT JOIN fit USING (band, y, x)")
+_events("linear_impute", lambda e: _rounded(temporal.linear_impute(e.cell, e.target, T).select(*KEYS, "prediction", "filled"), "prediction", "filled", n=6), _FIT + " SELECT t.band, t.y, t.x, round(mv - slope * mt, 6) AS prediction, round(coalesce(observed, mv - slope * mt), 6) AS filled FROM tmp t LEFT JOIN fit USING (band, y, x)")
+# few days give fits with values on a half of any place, so these are moved by a part of the last one first
+_OFF = 1.37e-8
+_events("pass_frames", lambda e: _rounded(temporal.pass_frames(mosaic.daily_mosaic(e.obs), e.cell, T).withColumns({c: F.col(c) + _OFF for c in ("imputed", "patched")}), "imputed", "patched"),
+        _FIT.replace(f" WHERE d <> {T}", "") + f", pass AS (SELECT d, band, y, x, arg_max(dn, source_id) AS raw FROM obs GROUP BY ALL), fr AS (SELECT p.band, p.y, p.x, p.d, raw, slope * (p.d - {T}) + (mv - slope * mt) AS imputed, coalesce(c.value, slope * (p.d - {T}) + (mv - slope * mt)) AS patched FROM pass p LEFT JOIN cell c USING (band, y, x, d) LEFT JOIN fit USING (band, y, x)) SELECT band, y, x, d, raw, round(imputed + {_OFF}::DOUBLE, 7) AS imputed, round(patched + {_OFF}::DOUBLE, 7) AS patched FROM fr")
 
 # correction
 _parts("stage_temporal", lambda p: p.frames.select(*KEYS, F.coalesce("t0", "l", "t1").alias("temporal")), "SELECT band, y, x, coalesce(t0, l, t1) AS temporal FROM frames")
@@ -418,9 +420,9 @@ _parts("kmeans_segments", lambda p: segment.kmeans_segments(p.unit.groupBy("y",
 _RING = "(x-25)*(x-25) + (y-20)*(y-20) > 25 AND (x-25)*(x-25) + (y-20)*(y-20) <= 400"
 _parts("ring_adaptive", lambda p: _rounded(correct.ring_adaptive(p.frames, X.within_ring(F.col("x"), F.col("y"), 25, 20, 5, 15)).select(*KEYS, "corrected"), "corrected", n=3), f", rd AS (SELECT band, seg, avg(t0) - coalesce(avg(l), 0) AS delta FROM frames WHERE {_RING} AND t0 IS NOT NULL GROUP BY ALL) SELECT band, y, x, round(l + coalesce(delta, 0), 3) AS corrected FROM frames LEFT JOIN rd USING (band, seg)")
 _parts("texture_heuristic", lambda p: _rounded(correct.texture_heuristic(p.unit).select(*KEYS, "corrected"), "corrected", n=4), ", th AS (SELECT band, count(t0) AS n, avg(t0) AS mt, avg(l) FILTER (t0 IS NOT NULL) AS ml, avg(t1) FILTER (t0 IS NOT NULL) AS mc FROM unit GROUP BY band), tv AS (SELECT band, y, x, CASE WHEN n > 100 THEN l + (mt - ml) + 0.35::DOUBLE * (t1 - mc) ELSE l END AS v FROM unit JOIN th USING (band)) SELECT band, y, x, round(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, v)) END, 4) AS corrected FROM tv")
-_parts("legacy_spatial_delta", lambda p: _rounded(correct.legacy_spatial_delta(p.frames).select(*KEYS, "corrected"), "corrected", n=3), ", ld AS (SELECT band, seg, avg(t1) FILTER (t0 IS NULL) - avg(t1) FILTER (t0 IS NOT NULL) AS delta FROM frames GROUP BY ALL) SELECT band, y, x, round(l + coalesce(delta, 0), 3) AS corrected FROM frames LEFT JOIN ld USING (band, seg)")
+_parts("legacy_spatial_delta", lambda p: _rounded(correct.legacy_spatial_delta(p.frames).select(*KEYS, "corrected"), "corrected", n=5), ", ld AS (SELECT band, seg, avg(t1) FILTER (t0 IS NULL) - avg(t1) FILTER (t0 IS NOT NULL) AS delta FROM frames GROUP BY ALL) SELECT band, y, x, round(l + coalesce(delta, 0), 5) AS corrected FROM frames LEFT JOIN ld USING (band, seg)")
 _STAGES = _corrected("safe") + ", st AS (SELECT band, y, x, seg, t0, coalesce(t0, l) AS temporal, coalesce(t0, l + (gt + gs)) AS g, coalesce(t0, l + delta) AS a FROM safe JOIN gd USING (band) LEFT JOIN sd USING (band, seg))" + _focal("st", 1.5, "a")
-_parts("pipeline_stages", lambda p: _rounded(pipeline.stages(p.frames).drop("tracker"), "temporal", "global", "adaptive", "blended", n=3), _STAGES + 'SELECT band, y, x, t0 AS broken, round(temporal, 3) AS temporal, round(g, 3) AS "global", round(a, 3) AS adaptive, round(coalesce(t0, focal), 3) AS blended, seg FROM st LEFT JOIN foc USING (band, y, x)')
+_parts("pipeline_stages", lambda p: _rounded(pipeline.stages(p.frames).drop("tracker"), "temporal", "global", "adaptive", "blended", n=4), _STAGES + 'SELECT band, y, x, t0 AS broken, round(temporal, 4) AS temporal, round(g, 4) AS "global", round(a, 4) AS adaptive, round(coalesce(t0, focal), 4) AS blended, seg FROM st LEFT JOIN foc USING (band, y, x)')
 _parts("fill_tracker", lambda p: p.frames.select(*KEYS, correct.fill_tracker(F.col("t0"), F.coalesce("t0", "l")).alias("tracker")), "SELECT band, y, x, CAST(CASE WHEN t0 IS NOT NULL THEN 0 WHEN l IS NOT NULL THEN 1 ELSE 2 END AS INT) AS tracker FROM frames")
 
 # fusion

@@ -48,8 +48,8 @@ def stage_metrics(stages: DataFrame, names: list[str]) -> DataFrame:
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(k).alias("v")) for k in names]))
     long = stages.where("held").select("band", "truth", parts.alias("s")).select("band", "s.stage", (F.col("s.v") - F.col("truth")).alias("e"))
     g = long.groupBy("band", "stage").agg(F.count("e").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"))
-    first = g.where(F.col("stage") == names[0]).select("band", F.col("rmse").alias("_first"))
-    return g.join(F.broadcast(first), "band").withColumn("improvement_percent", F.when(F.col("_first") > 0, 100 * (F.col("_first") - F.col("rmse")) / F.col("_first"))).drop("_first")
+    first = F.max(F.when(F.col("stage") == names[0], F.col("rmse"))).over(Window.partitionBy("band"))  # of a row for each stage
+    return g.withColumn("_first", first).withColumn("improvement_percent", F.when(F.col("_first") > 0, 100 * (F.col("_first") - F.col("rmse")) / F.col("_first"))).drop("_first")
 
 
 def violations(filled: DataFrame) -> DataFrame:

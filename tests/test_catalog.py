@@ -53,3 +53,21 @@ def test_nothing_is_rounded_near_a_half(spark, middle, monkeypatch, name):
     rounded = [c for c, kind in df.dtypes if kind == "struct<from_half:double>"]
     if rounded:
         assert all(v is None or v > 1e-6 for v in df.agg(*[F.min(f"{c}.from_half") for c in rounded]).first())
+
+
+#: Queries that need a range of days or years, and the column whose range must reach the scan.
+RANGED = {
+    "temporal_filled": "ts", "temporal_strict": "ts", "temporal_carry": "ts", "temporal_masked": "ts", "series_fill": "ts", "season_ndvi": "ts", "season_window_ndvi": "ts", "fuse_date": "ts", "focal_mean": "ts", "tiled_focal_mean": "ts", "regrid_sinusoidal": "ts", "holdout_other_day": "ts",
+    "bilinear_resample": "l_shipdate", "fusion_single_delta": "l_shipdate", "dual_fusion": "l_shipdate", "adaptive_correction": "l_shipdate", "pipeline_stages": "l_shipdate", "stage_metrics": "l_shipdate", "zonal_sums": "l_shipdate", "moving_window_fit": "l_shipdate",
+}
+
+
+@pytest.mark.parametrize("name", list(RANGED))
+def test_ranges_reach_the_scan(spark, middle, capsys, name):
+    """Every scan of observations has both ends of the range that the query needs, and few scans there are."""
+    catalog.queries()[name](spark, middle).explain("formatted")
+    plan = capsys.readouterr().out.split("===== Subqueries")[0]
+    scans = [x for x in plan.split("\n\n") if "Location:" in x]
+    own = [x for x in scans if RANGED[name] in x]
+    assert own and all(f"GreaterThanOrEqual({RANGED[name]}," in x and f"LessThan({RANGED[name]}," in x for x in own)
+    assert len(scans) <= 6 and "NestedLoop" not in plan and "Cartesian" not in plan
