@@ -417,6 +417,20 @@ _parts("global_correction", lambda p: _rounded(correct.global_correction(p.frame
 _parts("global_temporal_only", lambda p: _rounded(correct.global_correction(p.frames, "temporal_bias").select(*KEYS, "corrected"), "corrected", n=3), _corrected("frames", False) + "SELECT band, y, x, round(l + gt, 3) AS corrected FROM frames JOIN gd USING (band)")
 _parts("adaptive_correction", lambda p: _rounded(correct.adaptive_correction(p.frames).select(*KEYS, "seg", "corrected"), "corrected", n=3), _corrected("frames") + "SELECT band, y, x, seg, round(l + delta, 3) AS corrected FROM frames LEFT JOIN sd USING (band, seg)")
 _parts("kmeans_segments", lambda p: segment.kmeans_segments(p.unit.groupBy("y", "x").pivot("band", ["A", "N", "R"]).agg(F.max("t1")), ["A", "N", "R"]))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    far = "(f.f0 - c.f0) * (f.f0 - c.f0) + (f.f1 - c.f1) * (f.f1 - c.f1) + (f.f2 - c.f2) * (f.f2 - c.f2)"
+    nearest = lambda cells, r: f"SELECT f.*, (SELECT arg_min(c.i, struct_pack(d := {far}, i := c.i)) FROM c{r} c) AS seg FROM {cells} f"
+    steps = "".join(f", a{r} AS MATERIALIZED ({nearest('sm', r)}), c{r + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.f0, c.f0) AS f0, coalesce(m.f1, c.f1) AS f1, coalesce(m.f2, c.f2) AS f2 FROM c{r} c LEFT JOIN (SELECT seg AS i, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2 FROM a{r} GROUP BY seg) m USING (i))" for r in range(rounds))
+    return f""", px AS (SELECT y, x, max(t1) FILTER (band = 'A') AS a, max(t1) FILTER (band = 'N') AS n, max(t1) FILTER (band = 'R') AS r FROM unit GROUP BY ALL HAVING a IS NOT NULL AND n IS NOT NULL AND r IS NOT NULL),
+st AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(n) AS mn, stddev_pop(n) AS sn, avg(r) AS mr, stddev_pop(r) AS sr FROM px), fe AS MATERIALIZED (SELECT y, x, (a - ma) / sa AS f0, (n - mn) / sn AS f1, (r - mr) / sr AS f2 FROM px, st),
+sm AS MATERIALIZED (SELECT * FROM fe ORDER BY md5(concat_ws(':', y, x)), y, x LIMIT 5000), od AS (SELECT *, row_number() OVER (ORDER BY f0 + f1 + f2, y, x) - 1 AS nth, count(*) OVER () AS m FROM sm),
+c0 AS MATERIALIZED (SELECT i, f0, f1, f2 FROM range(4) t(i) JOIN od ON nth = (2 * i + 1) * m // 8){steps}, c{rounds + 1} AS (SELECT row_number() OVER (ORDER BY f0, f1, f2) - 1 AS i, f0, f1, f2 FROM c{rounds})
+SELECT y, x, CAST(seg AS INT) AS seg FROM ({nearest('fe', rounds + 1)})"""
+
+
+_parts("lloyd_segments", lambda p: segment.lloyd_segments(p.unit.groupBy("y", "x").pivot("band", ["A", "N", "R"]).agg(F.max("t1")), ["A", "N", "R"]), _lloyd_sql(10))
 _RING = "(x-25)*(x-25) + (y-20)*(y-20) > 25 AND (x-25)*(x-25) + (y-20)*(y-20) <= 400"
 _parts("ring_adaptive", lambda p: _rounded(correct.ring_adaptive(p.frames, X.within_ring(F.col("x"), F.col("y"), 25, 20, 5, 15)).select(*KEYS, "corrected"), "corrected", n=3), f", rd AS (SELECT band, seg, avg(t0) - coalesce(avg(l), 0) AS delta FROM frames WHERE {_RING} AND t0 IS NOT NULL GROUP BY ALL) SELECT band, y, x, round(l + coalesce(delta, 0), 3) AS corrected FROM frames LEFT JOIN rd USING (band, seg)")
 _parts("texture_heuristic", lambda p: _rounded(correct.texture_heuristic(p.unit).select(*KEYS, "corrected"), "corrected", n=4), ", th AS (SELECT band, count(t0) AS n, avg(t0) AS mt, avg(l) FILTER (t0 IS NOT NULL) AS ml, avg(t1) FILTER (t0 IS NOT NULL) AS mc FROM unit GROUP BY band), tv AS (SELECT band, y, x, CASE WHEN n > 100 THEN l + (mt - ml) + 0.35::DOUBLE * (t1 - mc) ELSE l END AS v FROM unit JOIN th USING (band)) SELECT band, y, x, round(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, v)) END, 4) AS corrected FROM tv")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Centre and radii along x and y of the cloud pattern's ellipses, as shares of the grid.
+ELLIPSES = ((0.49, 0.51, 0.23, 0.28), (0.65, 0.40, 0.14, 0.17))
+
 
 def holdout(x: Column, y: Column, width: int, height: int, pattern: str = "cloud") -> Column:
     """cloud: two ellipses; stripes: slanted; scene: all."""
@@ -20,7 +23,7 @@ def holdout(x: Column, y: Column, width: int, height: int, pattern: str = "cloud
         a, b = (u - cx) / rx, (v - cy) / ry
         return a * a + b * b < 1
 
-    return ellipse(0.49, 0.51, 0.23, 0.28) | ellipse(0.65, 0.40, 0.14, 0.17)
+    return ellipse(*ELLIPSES[0]) | ellipse(*ELLIPSES[1])
 
 
 def diagonal_gap(x: Column, y: Column, spacing: int = 40, width: int = 15, scale: int = 30) -> Column:

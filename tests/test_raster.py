@@ -332,6 +332,26 @@ def test_segments_do_not_depend_on_partitions(spark):
     assert all(s == int(np.argmin([np.sum(((points[k] - m) / scale) ** 2) for m in mean])) for k, s in runs[0].items())
 
 
+def test_fixed_start_segments_against_a_loop(spark):
+    rng = np.random.default_rng(23)
+    points = np.concatenate([rng.normal(m, 0.3, (150, 2)) for m in ((0, 0), (3, 1), (-2, 4))])
+    rows = [(i // 25, i % 25, float(a), float(b)) for i, (a, b) in enumerate(points)] + [(99, 0, None, 1.0)]
+    frame = spark.createDataFrame(rows, "y int, x int, a double, b double")
+    z = (points - points.mean(axis=0)) / points.std(axis=0)
+    order = sorted(range(450), key=lambda i: (z[i].sum(), rows[i][0], rows[i][1]))
+    centres = z[[order[(2 * i + 1) * 450 // 6] for i in range(3)]]
+    for _ in range(10):
+        own = ((z[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+        centres = np.array([z[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(3)])
+    centres = np.array(sorted(map(tuple, centres)))
+    want = ((z[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+    for parts in (1, 7):
+        got = {(r["y"], r["x"]): r["seg"] for r in segment.lloyd_segments(frame.repartition(parts), ["a", "b"], k=3).collect()}
+        assert got == {rows[i][:2]: int(want[i]) for i in range(450)}
+    assert segment.lloyd_segments(frame.where("y = 99"), ["a", "b"]).count() == 0
+    assert {r["seg"] for r in segment.lloyd_segments(frame.where("y = 0 and x < 2"), ["a", "b"]).collect()} == {0, 1}
+
+
 def test_sampling_is_repeatable(spark):
     cells = spark.range(900).select((F.col("id") % 30).cast("int").alias("y"), F.expr("cast(id div 30 as int)").alias("x"))
     runs = [sorted((r["y"], r["x"]) for r in segment.sample_pixels(cells.repartition(n), 50).collect()) for n in (1, 5, 13)]
