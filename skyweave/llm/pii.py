@@ -25,8 +25,8 @@ def _digits(match: Column) -> Column:
 
 
 def _mod97(match: Column) -> Column:
-    """The IBAN check: first four characters last, letters as two digits, remainder 1 by 97."""
-    plain = F.regexp_replace(match, " ", "")
+    """The IBAN check: first four characters last, letters as two digits whatever their case, remainder 1 by 97."""
+    plain = F.upper(F.regexp_replace(match, "[ -]", ""))
     moved = F.concat(F.substring(plain, 5, 100), F.substring(plain, 1, 4))
     step = lambda a, c: F.when(c == "", a).when(c.between("0", "9"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
     return F.aggregate(F.split(moved, ""), F.lit(0), step) == 1
@@ -43,6 +43,9 @@ _IBAN_LENGTHS = {
 }
 _GROUP = r"\x20?[A-Z0-9]"
 _IBAN_KNOWN = "(?:" + "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:{_GROUP}{{4}}){{{n // 4 - 1}}}" + (rf"{_GROUP}{{{n % 4}}}" if n % 4 else "") for n, codes in _IBAN_LENGTHS.items()) + r")\b"
+#: In groups of four, joined by blanks, hyphens or nothing, in any case: a known code's length and, so that words do not pass, ten digits.
+_IBAN_LOOSE = r"(?i:" + "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:[\x20-]?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"[\x20-]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in _IBAN_LENGTHS.items()) + r")\b"
+_IBAN_LEAST_DIGITS = 10
 #: Of other codes and lengths: as many groups as there are, but none that begins an IBAN of known length.
 _IBAN_OTHER = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_IBAN_KNOWN}){_GROUP}{{4}}){{2,7}}(?:{_GROUP}{{1,3}})?\b"
 
@@ -54,9 +57,17 @@ def _iban_part(match: Column) -> Column:
         parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
         return F.get(F.filter(parts, lambda p: p.rlike(f"^{_IBAN_OTHER}$") & _mod97(p)), F.lit(0))
 
-    return F.when(match.rlike(f"^{_IBAN_KNOWN}$"), match).otherwise(F.coalesce(let(F.split(match, " "), longest), match))
+    return F.when(match.rlike(f"^(?:{_IBAN_KNOWN}|{_IBAN_LOOSE})$"), match).otherwise(F.coalesce(let(F.split(match, " "), longest), match))
 
 
+def _iban(match: Column) -> Column:
+    return _mod97(match) & (~match.rlike("[a-z-]") | (F.length(_digits(match)) >= _IBAN_LEAST_DIGITS))
+
+
+#: A private key's header, with its body and foot where they follow; keys in program texts have \\n for a line's end.
+_KEY_BODY = r"[A-Za-z0-9+/=:,.\\\x20\x09-\x0D]"
+_PRIVATE_KEY = rf"-----BEGIN\x20(?:[A-Z0-9]{{1,12}}\x20){{0,4}}PRIVATE\x20KEY-----(?:{_KEY_BODY}*+(?:-(?!----){_KEY_BODY}*+){{0,16}}-----END\x20(?:[A-Z0-9]{{1,12}}\x20){{0,4}}PRIVATE\x20KEY-----)?"
+
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -87,9 +98,9 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: _count(m, 9, 15), context=r"(?i)phone|call|tel|mobile"),
 )
 EXTRA = (
-    Kind("iban", rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN_KNOWN}|{_IBAN_OTHER})", "", lambda m: _mod97(m), context=r"(?i)iban|account|bank", part=_iban_part),
-    Kind("secret", r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|(?i:\b(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\x20\x09-\x0D]{6,})", "", lambda m: F.lit(True), context=r"(?i)key|login"),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", lambda m: F.lit(True), prior=0.3, context=r"(?i)ssn|social security|taxpayer"),
+    Kind("iban", rf"\b(?=[A-Za-z]{{2}}[0-9]{{2}})(?:{_IBAN_KNOWN}|{_IBAN_LOOSE}|{_IBAN_OTHER})", "", _iban, context=r"(?i)iban|account|bank", part=_iban_part),
+    Kind("secret", r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|(?i:\b(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\x20\x09-\x0D]{6,})|" + _PRIVATE_KEY, "", lambda m: F.lit(True), context=r"(?i)key|login"),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])|(?<![0-9+-])(?<![0-9][.,])(?!000|666|9)[0-9]{3}(\x20?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![.,]?[0-9]|-)", "", lambda m: F.lit(True), prior=0.3, context=r"(?i)ssn|social security|taxpayer"),
 )
 KINDS = BASE + EXTRA
 RAISE = 0.3

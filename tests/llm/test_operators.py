@@ -262,6 +262,36 @@ def test_ibans_before_other_words(spark):
     assert {k: [(x["start"], x["end"]) for x in r["pii"] if x["kind"] == "iban"] for k, r in got.items()} == {k: w for k, (_, w) in cases.items()}
 
 
+def test_ibans_in_small_letters_and_with_hyphens(spark):
+    plain = ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"]
+    joined = lambda x, by: by.join(x[i : i + 4] for i in range(0, len(x), 4))
+    forms = [f for x in plain for f in (x.lower(), joined(x, "-"), joined(x.lower(), "-"), joined(x.lower(), " "), x[:2].title() + x[2:])]
+    cases = {i: (f"pay to {f}{after}", [(7, 7 + len(f))]) for i, (f, after) in enumerate((f, after) for f in forms for after in ("", " and so on", ", thanks", "-\nnext"))}
+    wrong = [joined("DE89370400440532013001", "-"), "de89370400440532013001", "de8937040044053201300", "no12 word than just", "be20 with this here", "xx" + plain[0][2:].lower(), "ade89370400440532013000", "ref DE89-37040044-0532-013"]
+    # twelve letters that pass the check by chance are words, not an account
+    chance = next(f"at{n:02}{w}" for w in ("abcdefghijklmnop", "abcdefghijklmnoq") for n in range(2, 99) if int("".join(str(int(c, 36)) for c in w + "at" + f"{n:02}")) % 97 == 1)
+    cases |= {-1 - i: (t, []) for i, t in enumerate([*wrong, chance])}
+    got = by_id(pii.find_pii(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")))
+    assert {k: [(x["start"], x["end"]) for x in r["pii"] if x["kind"] == "iban"] for k, r in got.items()} == {k: w for k, (_, w) in cases.items()}
+
+
+def test_numbers_without_hyphens_need_their_context(spark):
+    cases = [("my ssn is 123456789", "123456789"), ("Social Security number 123 45 6789.", "123 45 6789"), ("123456789", None), ("order 123456789 of 2024", None), ("ssn 000456789", None), ("ssn 912345678", None), ("ssn 123006789", None),
+             ("ssn 123450000", None), ("ssn 1234567890", None), ("ssn +123456789", None), ("ssn 123456789-1", None), ("ssn 0.123456789", None), ("ssn 123456789.5", None), ("ssn 123 456789", None), ("ssn 123-456789", None), ("ssn 5 123456789", "123456789")]
+    got = by_id(pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")))
+    assert [[t[x["start"] : x["end"]] for x in got[i]["pii"] if x["kind"] == "ssn"] for i, (t, _) in enumerate(cases)] == [[w] if w else [] for _, w in cases]
+
+
+def test_private_keys(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA7+/abc=" * 3] * 20)
+    whole = [f"-----BEGIN {k}PRIVATE KEY-----\n{head}{body}\n-----END {k}PRIVATE KEY-----" for k in ("", "RSA ", "EC ", "ENCRYPTED ", "OPENSSH ") for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n")]
+    whole.append(whole[0].replace("\n", "\\n"))
+    header = "-----BEGIN PRIVATE KEY-----"
+    cases = [*[(f"see é😀 {x} and on", [x]) for x in whole], (header + " is how it starts; " + "so - it - goes on " * 50_000, [header]), (header * 20_000, [header] * 20_000), ("-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", []), (" ".join(whole[:3]), whole[:3])]
+    got = by_id(pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")))
+    assert [[t[x["start"] : x["end"]] for x in got[i]["pii"] if x["kind"] == "secret"] == w for i, (t, w) in enumerate(cases)] == [True] * len(cases)
+
+
 def test_masking(spark):
     out = pii.masked(pii.find_pii(spark.createDataFrame([(i, t, 3) for i, t in enumerate(PII)], "doc_id long, text string, pii int").drop("pii")))
     texts = by_id(out)
